@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import packing, quality, simhash
 from .common import table
 
 
@@ -12,5 +12,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
+def op6_simhash_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.harmonic_packing(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op6_simhash_vp_tree": op6_simhash_vp_tree,
+    "op7_harmonic_packing": op7_harmonic_packing,
+}
 ORACLES = {"op1_quality_rules": quality.ORACLE_SQL}
