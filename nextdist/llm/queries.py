@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, simhash
+from . import linededup, packing, quality, simhash
 from .common import table
 
 
@@ -20,9 +20,14 @@ def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.harmonic_packing(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op6_simhash_vp_tree": op6_simhash_vp_tree,
+    "op10_line_dedup_suffix_array": op10_line_dedup_suffix_array,
     "op7_harmonic_packing": op7_harmonic_packing,
 }
-ORACLES = {"op1_quality_rules": quality.ORACLE_SQL}
+ORACLES = {"op1_quality_rules": quality.ORACLE_SQL, "op10_line_dedup_suffix_array": linededup.ORACLE_SQL}
