@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, packing, quality, simhash
+from . import lattice, linededup, packing, quality, simhash, urlfilter
 from .common import table
 
 
@@ -24,10 +24,20 @@ def op10_line_dedup_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.url_filter(table(spark, sf_dir, "pages"), keep=["page_id"])
+
+
+def op9_embedding_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op3_url_link_graph": op3_url_link_graph,
+    "op9_embedding_lattice": op9_embedding_lattice,
     "op1_quality_rules": op1_quality_rules,
     "op6_simhash_vp_tree": op6_simhash_vp_tree,
     "op10_line_dedup_suffix_array": op10_line_dedup_suffix_array,
     "op7_harmonic_packing": op7_harmonic_packing,
 }
-ORACLES = {"op1_quality_rules": quality.ORACLE_SQL, "op10_line_dedup_suffix_array": linededup.ORACLE_SQL}
+ORACLES = {"op1_quality_rules": quality.ORACLE_SQL, "op10_line_dedup_suffix_array": linededup.ORACLE_SQL, "op3_url_link_graph": urlfilter.ORACLE_SQL, "op9_embedding_lattice": lattice.ORACLE_SQL}
