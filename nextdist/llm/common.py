@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
+def saved(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it again.
 
     This cuts the lineage: what follows survives lost executors without running
@@ -37,7 +37,7 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/nextdist/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lattice, linededup, packing, quality, simhash, urlfilter
+from . import chat, html, lattice, linededup, mixing, packing, quality, shards, simhash, urlfilter
 from .common import table
 
 
@@ -32,7 +32,27 @@ def op9_embedding_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op5_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.quotation_links(table(spark, sf_dir, "conversations"), keep=["conv_id", "turn", "role"])
+
+
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.training_order(table(spark, sf_dir, "documents")).drop("ids")
+
+
+def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("_row")
+
+
 QUERIES = {
+    "op4_soft_mixing": op4_soft_mixing,
+    "op2_html_blocks": op2_html_blocks,
+    "op5_quotation_links": op5_quotation_links,
+    "op8_training_order": op8_training_order,
     "op3_url_link_graph": op3_url_link_graph,
     "op9_embedding_lattice": op9_embedding_lattice,
     "op1_quality_rules": op1_quality_rules,
@@ -40,4 +60,4 @@ QUERIES = {
     "op10_line_dedup_suffix_array": op10_line_dedup_suffix_array,
     "op7_harmonic_packing": op7_harmonic_packing,
 }
-ORACLES = {"op1_quality_rules": quality.ORACLE_SQL, "op10_line_dedup_suffix_array": linededup.ORACLE_SQL, "op3_url_link_graph": urlfilter.ORACLE_SQL, "op9_embedding_lattice": lattice.ORACLE_SQL}
+ORACLES = {"op1_quality_rules": quality.ORACLE_SQL, "op10_line_dedup_suffix_array": linededup.ORACLE_SQL, "op5_quotation_links": chat.ORACLE_SQL, "op3_url_link_graph": urlfilter.ORACLE_SQL, "op9_embedding_lattice": lattice.ORACLE_SQL}
