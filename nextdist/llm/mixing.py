@@ -22,6 +22,8 @@ TARGETS = {"good": 0.95, "low": 0.045, "toxic": 0.005}
 MAX_FIT = 40_000
 MAX_WORDS = 4096
 MIN_DOCS = 5
+#: A word is kept when its documents in some domain are this many standard errors over their share.
+MIN_TELLS = 5.0
 SMOOTH = 0.5
 #: A document's evidence is at most this, so that posteriors stay soft.
 MAX_LOGIT = 12.0
@@ -56,10 +58,11 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_words: int = MAX_WORDS) -> DataFrame:
-    """Naive Bayes over word presence: ``(word, w_<domain>...)`` with log-ratios to the mean over domains.
+    """Naive Bayes over word presence and absence: ``(word, w_<domain>...)``.
 
-    Fitted on at most about ``max_fit`` labelled documents, chosen by their ids' hash; the ``max_words`` words that
-    tell most are kept, so the table is small by construction. The word `` bias`` has the priors.
+    Fitted on at most about ``max_fit`` labelled documents, chosen by their ids' hash. Only words that are
+    more frequent in one domain than chance explains are kept, ``max_words`` at most, so the table is small by
+    construction. The word `` bias`` has the priors and what the absence of all words says.
     """
     lab = labelled(labels)
     n = lab.count()
@@ -72,16 +75,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_words: i
     by_word = saved(seen.groupBy("word").agg(*sums, F.count("*").alias("n")).where(f"n >= {MIN_DOCS} or word = ' bias'"), "mix-counts")
     total = by_word.where("word = ' bias'").first()
     size = {d: (total[d] if total else 0) for d in DOMAINS}
-    every = sum(size.values())
-    logs = {d: F.log((F.col(d) + SMOOTH) / (size[d] + 2 * SMOOTH)) for d in DOMAINS}
-    mean = sum(logs.values()) / len(DOMAINS)
-    prior = {d: math.log((size[d] + SMOOTH) / (every + len(DOMAINS) * SMOOTH)) for d in DOMAINS}
-    w = by_word.select("word", "n", *[F.when(F.col("word") == " bias", F.lit(prior[d])).otherwise(logs[d] - mean).alias(f"w_{d}") for d in DOMAINS])
-    # how much a word tells: its spread between domains, in standard errors of a word this frequent
-    spread = F.greatest(*[f"w_{d}" for d in DOMAINS]) - F.least(*[f"w_{d}" for d in DOMAINS])
-    w = w.withColumn("tells", F.when(F.col("word") == " bias", 1e9).otherwise(spread * F.sqrt("n")))
-    w = w.where((spread > 1.5) | (F.col("word") == " bias")).orderBy(F.desc("tells"), "word").limit(max_words)
-    return saved(w.drop("n", "tells"), "mix-weights")
+    every = max(1, sum(size.values()))
+    odd = {d: (F.col(d) - F.col("n") * (size[d] / every)) / F.sqrt(F.col("n") * (size[d] / every) * (1 - size[d] / every) + 1) for d in DOMAINS}
+    w = by_word.where("word <> ' bias'").withColumn("tells", F.greatest(*odd.values())).where(f"tells >= {MIN_TELLS}")
+    w = w.orderBy(F.desc("tells"), "word").limit(max_words)
+    p = {d: (F.col(d) + SMOOTH) / (size[d] + 2 * SMOOTH) for d in DOMAINS}
+    w = saved(w.select("word", *[F.log(p[d] / (1 - p[d])).alias(f"w_{d}") for d in DOMAINS], *[F.log(1 - p[d]).alias(f"a_{d}") for d in DOMAINS]), "mix-weights")
+    absent = w.agg(*[F.sum(f"a_{d}").alias(d) for d in DOMAINS]).first()
+    bias = [math.log((size[d] + SMOOTH) / (every + len(DOMAINS) * SMOOTH)) + (absent[d] or 0.0) for d in DOMAINS]
+    w = w.select("word", *[f"w_{d}" for d in DOMAINS])
+    return w.unionByName(w.sparkSession.createDataFrame([(" bias", *bias)], w.schema))
 
 
 def posteriors(docs: DataFrame, weights: DataFrame) -> DataFrame:
@@ -139,8 +142,6 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
     """
     docs = without(docs, ["_row", "domain", *OWN]).select("doc_id", "text")
     weights = fit(docs, labels)
-    if weights.isEmpty():
-        weights = weights.unionByName(weights.sparkSession.createDataFrame([(" bias", *[0.0] * len(DOMAINS))], weights.schema))
     post = saved(posteriors(docs, weights), "mix-posteriors")
     rates = fit_rates(post, targets)
     draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
