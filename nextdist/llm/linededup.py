@@ -139,12 +139,12 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN
     docs = without(docs, [*OWN, "_row", "_gone"])
     gone = repeated_lines(docs, min_lines, min_words)
     gone = saved(gone.groupBy("_row").agg(F.collect_list("line").alias("_gone")), "lines-gone")
-    x = docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left")
+    # one plan at every size: texts are shuffled once, against a hash table of deleted line numbers
+    x = docs.withColumn("_row", F.monotonically_increasing_id()).join(gone.hint("shuffle_hash"), "_row", "left")
     lines = _lines()
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    counts = [F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_deleted")]
-    counts[1] = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_deleted")
+    counts = [F.size(lines).cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_deleted")]
     return x.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], *counts)
 
 
