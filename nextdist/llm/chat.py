@@ -99,7 +99,7 @@ def quotation_links(messages: DataFrame, keep: list[str] | None = None) -> DataF
     hit = pieces.join(near, (pieces.h == near.h) & F.col("conv_id").eqNullSafe(F.col("near_conv")) & (F.col("near_turn") < F.col("turn")), "left").drop(near.h)
     hit = hit.join(far, "h", "left")
     # an original in another conversation counts where the own one has none
-    hit = hit.withColumn("at", F.when(F.col("near_turn").isNotNull(), F.struct("conv_id", F.col("near_turn").alias("turn"))).when(~F.col("far_conv").eqNullSafe(F.col("conv_id")), F.struct(F.col("far_conv").alias("conv_id"), F.col("far_turn").alias("turn"))))
+    hit = hit.withColumn("at", F.when(F.col("near_turn").isNotNull(), F.struct("conv_id", F.col("near_turn").alias("turn"))).when(F.col("far_turn").isNotNull() & ~F.col("far_conv").eqNullSafe(F.col("conv_id")), F.struct(F.col("far_conv").alias("conv_id"), F.col("far_turn").alias("turn"))))
     votes = hit.where("at is not null").groupBy("_m", "conv_id", "level", "at").agg(F.sum("size").alias("votes"))
     best = votes.groupBy("_m").agg(F.max(F.struct(-F.col("level"), F.col("votes"), F.col("at.conv_id").eqNullSafe(F.col("conv_id")), "at")).alias("b"))
     counts = quotes.groupBy("_m").agg(F.count("*").alias("n_quotes"))

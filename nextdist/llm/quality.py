@@ -98,7 +98,7 @@ def _bucket(v: str) -> str:
 
 def sketches(features: DataFrame) -> DataFrame:
     """``(lang, source, metric, bucket, n)``: the sketch of each metric, over documents that pass the base rules."""
-    parts = ", ".join(f"'{m}', {a} * 1000 div {b}" for m, a, b, _, _ in HIGH_LIMITS)
+    parts = ", ".join(f"'{m}', {a} * 1000 div nullif({b}, 0)" for m, a, b, _, _ in HIGH_LIMITS)
     long = features.where(~_base_failed()).selectExpr("lang", "source", f"stack({len(HIGH_LIMITS)}, {parts}) as (metric, v)")
     return long.groupBy("lang", "source", "metric", F.expr(_bucket("v")).alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -158,19 +158,19 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None, min_group: int
     need = [*keep, *[c for c in ("lang", "source") if c not in keep]]
     judged = with_features(without(docs, own), need).withColumn("base_failed", _base_failed())
     x = judged.join(lim, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    fine = " and ".join(f"coalesce({a} * 1000 div {b} <= max_{m}, true)" for m, a, b, _, _ in HIGH_LIMITS)
-    x = x.withColumn("kept", F.expr(f"not base_failed and {fine} and coalesce(word_chars * 1000 div n_words >= min_word_length, true)"))
+    fine = " and ".join(f"coalesce({a} * 1000 div nullif({b}, 0) <= max_{m}, true)" for m, a, b, _, _ in HIGH_LIMITS)
+    x = x.withColumn("kept", F.expr(f"not base_failed and {fine} and coalesce(word_chars * 1000 div nullif(n_words, 0) >= min_word_length, true)"))
     return x.select(*[F.col(f"`{c}`") for c in keep], *own)
 
 
 def _oracle() -> str:
-    metrics = " union all ".join(f"select lang, source, '{m}' as metric, ({a} * 1000) // {b} as v from f where not base_failed" for m, a, b, _, _ in HIGH_LIMITS)
+    metrics = " union all ".join(f"select lang, source, '{m}' as metric, ({a} * 1000) // nullif({b}, 0) as v from f where not base_failed" for m, a, b, _, _ in HIGH_LIMITS)
     fence = lambda keys, name: f"""{name} as (select {keys}metric, any_value(total) as total, min(case when upto * 4 >= total then bucket end) as q1, min(case when upto * 4 >= total * 3 then bucket end) as q3
  from (select {keys}metric, bucket, sum(n) over (partition by {keys}metric) as total, sum(n) over (partition by {keys}metric order by bucket) as upto
  from (select {keys}metric, bucket, sum(n)::bigint as n from sk group by {keys}metric, bucket)) group by {keys}metric)"""
     pick = f"case when o.total >= {MIN_GROUP} then o.{{0}} when l.total >= {MIN_GROUP} then l.{{0}} else a.{{0}} end as {{0}}"
     highs = ", ".join(f"max(case when metric = '{m}' then least({top}, greatest({floor}, q3 + {FENCE} * (q3 - q1))) end) as max_{m}" for m, _, _, floor, top in HIGH_LIMITS)
-    fine = " and ".join(f"coalesce(({a} * 1000) // {b} <= max_{m}, true)" for m, a, b, _, _ in HIGH_LIMITS)
+    fine = " and ".join(f"coalesce(({a} * 1000) // nullif({b}, 0) <= max_{m}, true)" for m, a, b, _, _ in HIGH_LIMITS)
     return rf"""
 with d as (select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as text from documents),
 w as (select rid, unnest(ws) as w, generate_subscripts(ws, 1) as i from (select rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from d)),
@@ -188,7 +188,7 @@ sk as (select lang, source, metric, v - v % (1::bigint << greatest(length(bin(v)
 lim0 as (select o.lang, o.source, o.metric, {pick.format("q1")}, {pick.format("q3")} from o join l on o.lang is not distinct from l.lang and o.metric = l.metric join a on o.metric = a.metric),
 lim as (select lang, source, {highs}, max(case when metric = 'word_length' then least({LOW_WORD_LENGTH}, q1 - {FENCE} * (q3 - q1)) end) as min_word_length from lim0 group by lang, source)
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_lines::bigint as n_lines, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
- (not base_failed and {fine} and coalesce((word_chars * 1000) // n_words >= min_word_length, true)) as kept
+ (not base_failed and {fine} and coalesce((word_chars * 1000) // nullif(n_words, 0) >= min_word_length, true)) as kept
 from f left join lim on f.lang is not distinct from lim.lang and f.source is not distinct from lim.source
 """
 

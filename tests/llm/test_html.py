@@ -1,0 +1,34 @@
+from nextdist.llm import html as H
+
+
+def test_article_without_what_surrounds_it():
+    page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>x";</script></head><body>
+    <header><h1>Site</h1></header><nav><ul><li><a href="/a">Home</a></ul></nav><div class="cookie-notice">We use cookies</div>
+    <article><h1>Short title</h1><p>One &lt;two&gt; &amp; three&nbsp;four<br>five.<p><b>open <i>tags
+    <div class="ad-box">Buy</div><aside>Side</aside><form><p>Name</p></form><blockquote>Quoted</blockquote>
+    <section id="comments"><p>First!</p></section><p>Last <a href="x">link</a> line.</article>
+    <footer>&copy; me</footer></body></html>"""
+    assert H.main_text(page) == "Short title\nOne <two> & three four five.\nopen tags\nQuoted\nLast link line."
+
+
+def test_pages_without_an_article_go_by_stop_words_and_neighbours():
+    good = "This is the text of the page and it has a lot of the words that are in every text of a language. " * 3
+    page = f"<div>Home | About</div><p>{good}</p><p>And so on.</p><p>{good}</p><ul><li><a href=a>one link</a><li><a href=b>another link that is long enough to be seen as a block of its own</a></ul><p>zzz yyy xxx {'qqq ' * 60}</p>"
+    text = H.main_text(page).split("\n")
+    assert text == [good.strip(), "And so on.", good.strip()]
+
+
+def test_broken_and_empty_pages():
+    assert H.main_text(None) == H.main_text("") == H.main_text("<p>") == H.main_text("<script>x") == ""
+    assert H.main_text("<article>a < b <unclosed") == "a < b"
+    assert H.main_text("<article><p>x<!-- <p>no</p> -->y<p>&am &amp &#65;</article>") == "xy\n&am & A"
+    deep = "<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000
+    assert H.main_text(deep) == "deep"
+    assert H.main_text("<article><p>" + "long text " * 100_000 + "</p></article>") == ("long text " * 100_000).strip()
+
+
+def test_table(spark):
+    df = spark.createDataFrame([(1, "u", "<article>Ää</article>", "x"), (1, "u", "<article>Ää</article>", "x"), (2, None, None, None)], "page_id long, url string, html string, text string")
+    rows = H.extract_pages(df).collect()
+    assert sorted((r.page_id, r.text, r.n_chars) for r in rows) == [(1, "Ää", 2), (1, "Ää", 2), (2, "", 0)]
+    assert H.extract_pages(df.limit(0)).collect() == []

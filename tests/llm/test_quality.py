@@ -1,0 +1,78 @@
+import random
+
+import duckdb
+import pytest
+
+from nextdist.llm import quality as Q
+
+
+def brute(text):
+    blank = " \t\n\x0b\x0c\r"
+    words, w = [], ""
+    for c in text or "":
+        if c in blank:
+            words, w = (words + [w] if w else words), ""
+        else:
+            w += c
+    words = words + [w] if w else words
+    tri = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    cover = {i + k for i, t in enumerate(tri) if tri.count(t) > 1 for k in range(3)}
+    lines = [x for x in (text or "").split("\n") if x.strip(blank)]
+    dup = sum(x in lines[:i] for i, x in enumerate(lines))
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines), dup, len(cover))
+
+
+def test_features_match_brute_force():
+    rng = random.Random(5)
+    for _ in range(300):
+        t = "".join(rng.choice(["a", "b", "é", "#", " ", "\n", "\t", "\x0b", "\xa0", "😀", "a b c "]) for _ in range(rng.randint(0, 60)))
+        assert Q.text_features(t) == brute(t)
+    assert Q.text_features(None) == (0,) * 6
+    long = "word other " * 200_000
+    assert Q.text_features(long)[5] == 400_000
+
+
+def rows(n=400):
+    rng = random.Random(2)
+    vocab = [f"w{i}" for i in range(3000)]
+    out = []
+    for i in range(n):
+        t = " ".join(rng.choice(vocab) for _ in range(120))
+        if i % 40 == 7:
+            t = " ".join(w + "###" for w in t.split())
+        out.append((i, t, "en" if i % 3 else "de", "hot" if i % 2 else f"s{i % 5}", "x"))
+    return out + [(None, None, None, None, "x"), (5, "", "en", None, "x"), (1, out[1][1], "en", "hot", "x")]
+
+
+def test_verdicts_equal_the_sql_and_reject_the_odd_ones(spark):
+    docs = spark.createDataFrame(rows(), "doc_id long, text string, lang string, source string, kept string")
+    got = Q.quality_rules(docs, keep=["doc_id"])
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    cur = con.execute(Q.ORACLE_SQL)
+    names = [d[0] for d in cur.description]
+    want = sorted(repr([None if r[names.index(c)] != r[names.index(c)] else r[names.index(c)] for c in got.columns]) for r in cur.fetchall())
+    mine = got.collect()
+    assert len(mine) == len(want) == 403
+    kept = {r.doc_id: r.kept for r in mine}
+    assert all(kept[i] == (i % 40 != 7) for i in range(400))
+    assert sorted(repr([int(x) if isinstance(x, int) and not isinstance(x, bool) else x for x in r]).replace("None", "nan") for r in mine) == sorted(x.replace("None", "nan").replace(".0,", ",") for x in want)
+
+
+def test_sketches_merge(spark):
+    docs = spark.createDataFrame(rows(), "doc_id long, text string, lang string, source string, kept string")
+    whole = Q.sketches(Q.with_features(docs, ["lang", "source"]))
+    a = Q.sketches(Q.with_features(docs.where("doc_id % 2 = 0"), ["lang", "source"]))
+    b = Q.sketches(Q.with_features(docs.where("not (doc_id % 2 = 0) or doc_id is null"), ["lang", "source"]))
+    both = a.unionByName(b).groupBy("lang", "source", "metric", "bucket").sum("n")
+    assert sorted(map(repr, map(tuple, whole.collect()))) == sorted(map(repr, map(tuple, both.collect())))
+
+
+def test_empty_table(spark):
+    assert Q.quality_rules(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).collect() == []
+
+
+@pytest.mark.parametrize("v", [0, 1, 63, 64, 65, 1000, 123456789])
+def test_bucket_keeps_six_bits(spark, v):
+    b = spark.sql(f"select {Q._bucket(f'{v}L')} as b").first().b
+    assert b <= v and (v == 0 or (v - b) / v < 1 / 32)
