@@ -1,6 +1,12 @@
+import os
+import sys
+
 import pytest
 from pyspark.sql import SparkSession
 
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [HERE, os.path.dirname(HERE)]
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
