@@ -48,12 +48,24 @@ def growth_curve(windows: DataFrame, T: int, points: int, n: int, index: str = "
     return d.select("milestone", "level", (F.col("h") / F.col("total_ctx")).alias("entropy"), "total_ctx", "unique_ctx")
 
 
-def online_target_probability(windows: DataFrame, T: int) -> DataFrame:
-    """``(start, pos, prob)``: probability of the true next token as of each window, which counts itself."""
-    x = prefixes(windows.select("start", "tokens"), T)
-    seen = F.row_number().over(W.partitionBy("level", "context", "next").orderBy("start"))
-    visits = F.row_number().over(W.partitionBy("level", "context").orderBy("start"))
-    return x.select("start", (F.col("level") - 1).alias("pos"), (seen / visits).alias("prob"))
+def online_target_probability(windows: DataFrame, T: int, block: int = 1 << 18) -> DataFrame:
+    """``(start, pos, prob)``: probability of the true next token as of each window, which counts itself.
+
+    Running counts are taken inside blocks of starts and added to the counts of earlier blocks, so a
+    context that most windows share is spread over as many tasks as there are blocks.
+    """
+    x = prefixes(windows.select("start", "tokens"), T).withColumn("b", F.floor(F.col("start") / block))
+
+    def running(x: DataFrame, keys: list[str], name: str) -> DataFrame:
+        per = x.groupBy(*keys, "b").agg(F.count("*").alias("_k"))
+        earlier = W.partitionBy(*keys).orderBy("b").rowsBetween(W.unboundedPreceding, -1)  # one row per block
+        per = per.select(*keys, "b", F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_before"))
+        inside = F.row_number().over(W.partitionBy(*keys, "b").orderBy("start"))
+        return x.withColumn("_r", inside).join(per, [*keys, "b"]).withColumn(name, F.col("_before") + F.col("_r")).drop("_r", "_before")
+
+    x = running(x, ["level", "context", "next"], "seen")
+    x = running(x, ["level", "context"], "visits")
+    return x.select("start", (F.col("level") - 1).alias("pos"), (F.col("seen") / F.col("visits")).alias("prob"))
 
 
 def online_soft_labels(windows: DataFrame, T: int, min_level: int = 1) -> DataFrame:

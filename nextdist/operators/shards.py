@@ -5,9 +5,10 @@ from __future__ import annotations
 import heapq
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import numbered
+
 #: The greedy assignment is sequential by nature; beyond this many heaviest keys the rest is dealt by hash.
 MAX_GREEDY = 200_000
 
@@ -18,17 +19,9 @@ def top_pairs(pair_counts: DataFrame, k: int = 10) -> DataFrame:
 
 
 def round_robin_bins(pair_counts: DataFrame, bins: int) -> DataFrame:
-    """Pairs by falling count, dealt to the bins in turn.
-
-    Counts are ranked within blocks of equal bit length, the blocks' sizes by a prefix sum, so no
-    task sorts all pairs unless all counts are alike.
-    """
-    x = pair_counts.withColumn("_b", -F.length(F.bin("cnt")))
-    size = x.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = size.select("_b", F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(W.partitionBy("_b").orderBy(F.desc("cnt"), "t0", "t1")) - 1
-    x = x.withColumn("_r", rank).join(F.broadcast(before), "_b")  # at most 64 rows
-    return x.select("t0", "t1", "cnt", ((F.col("_before") + F.col("_r")) % bins).cast("int").alias("bin"))
+    """Pairs by falling count, dealt to the bins in turn; ties by the pair. No task ranks all pairs."""
+    x = numbered(pair_counts.select("t0", "t1", "cnt"), [F.desc("cnt"), F.col("t0"), F.col("t1")], "_rank", "pair-ranks")
+    return x.select("t0", "t1", "cnt", (F.col("_rank") % bins).cast("int").alias("bin"))
 
 
 def greedy_bins(pair_counts: DataFrame, bins: int, max_greedy: int = MAX_GREEDY) -> DataFrame:

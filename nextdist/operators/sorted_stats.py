@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import saved
 from .counts import context_totals, level_sums, with_averages
 
 ROWS_PER_PARTITION = 500_000
@@ -79,7 +80,7 @@ def level_stats_sorted(windows: DataFrame, T: int, rows_per_partition: int = ROW
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["level", *_SUMS, "context", "next", "cnt"])
 
     schema = "level int, total_entropy double, total_uniformity double, " + ", ".join(f"{c} long" for c in _SUMS[2:]) + ", context array<int>, next int, cnt long"
-    found = x.mapInArrow(run, schema).persist()
+    found = saved(x.mapInArrow(run, schema), "sorted-stats")
     inner = found.where("context is null").groupBy("level").agg(*[F.sum(c).alias(c) for c in _SUMS])
     edge = found.where("context is not null").groupBy("level", "context", "next").agg(F.sum("cnt").alias("cnt"))
     edge = level_sums(context_totals(edge)).select("level", *_SUMS)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import is_blank, strip
 
-BLOCK = 1 << 20
 #: A vocabulary up to this many rows is small enough to send to every task.
 BROADCAST_VOCAB = 200_000
 
@@ -82,9 +81,12 @@ def truncate(seqs: DataFrame, max_len: int = 2048) -> DataFrame:
 def exclusive_offsets(sizes: DataFrame, key: str, n: str, block: int = 100_000) -> DataFrame:
     """``(key, offset)``: the sum of ``n`` over all smaller keys, in two levels.
 
-    Keys are ranked within range blocks of ``key`` values; only block totals meet in one window.
+    The keys' range is cut into blocks of about ``block`` keys each if they are spread evenly; sums run
+    inside blocks, and one window sees the blocks' totals only.
     """
-    x = sizes.withColumn("_b", F.floor(F.col(key) / block))
+    lo, hi, rows = sizes.agg(F.min(key), F.max(key), F.count("*")).first()
+    width = max(1.0, (float(hi) - float(lo) + 1) / max(1, -(-rows // block))) if rows else 1.0
+    x = sizes.withColumn("_b", F.floor(F.col(key).cast("double") / width))
     total = x.groupBy("_b").agg(F.sum(n).alias("_s"))
     before = F.coalesce(F.sum("_s").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     total = total.select("_b", before.alias("_before"))
