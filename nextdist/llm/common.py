@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD_CLASS = "[^\\x20\\x09-\\x0D]+"
+from ..sources.shared import discard, numbered, saved, shared_dir
+
+__all__ = ["components", "discard", "numbered", "saved", "shared_dir", "table", "without"]
+
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,69 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from ``spark.checkpoint.dir``.
-
-    Only where the setting is missing (tests, one machine) is a folder made here.
-    """
-    conf = spark.sparkContext.getConf()
-    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="nextdist-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def saved(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it again.
-
-    This cuts the lineage: what follows survives lost executors without running
-    ``df`` again, and ids made by ``monotonically_increasing_id`` stay as written.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/nextdist/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a frame that :func:`saved` returned and nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """Drop input columns whose names an operator gives to its own results."""
     own = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in own])
 
 
-def numbered(df: DataFrame, order: list[Column], name: str, tag: str) -> DataFrame:
-    """Add ``name``: 0, 1, 2, ... over all rows in the given order, without one task seeing all rows.
-
-    Rows are range-partitioned and sorted, then written; the id that Spark gives
-    (partition and place in it) becomes a global number by a prefix sum over the
-    partitions' row counts, a table with one row per partition.
-    """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    placed = saved(placed.withColumn("_at", F.monotonically_increasing_id()), tag)
-    part = F.shiftright("_at", 33)
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before: dict[int, int] = {}
-    total = 0
-    for p, rows in sorted(sizes.collect()):  # one row per partition
-        before[p], total = total, total + rows
-    shift = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else None
-    start = shift[part] if shift is not None else F.lit(0)
-    here = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn(name, (start + here).cast("long")).drop("_at")
-
-
 def components(edges: DataFrame, tag: str) -> DataFrame:
     """Connected components of an undirected graph given as ``(a, b)`` longs.
 
