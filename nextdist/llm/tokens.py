@@ -18,7 +18,8 @@ _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 #: Separators on which libraries differ, a letter whose lower case depends on its place, and special tokens.
 _ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f\x85Σİ]|<\\|")
 _SIMPLE = re.compile("[\x00-ɏ‐-‧]*")
-MAX_CACHED = 400_000
+#: Words that a worker keeps at most (about 200 bytes each); all are forgotten when there are more.
+MAX_CACHED = 1_000_000
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -41,42 +42,48 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn_pieces(self, new: list[str]) -> None:
+        """Pieces that the tokenizer does not cut further; each one's last id is one that ends a word."""
         for i in range(0, len(new), 256):
             part = new[i : i + 256]
             ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(part) and len(ids) == cut[-1]:
-                lo = 0
-                for p, hi in zip(part, cut.tolist(), strict=True):
-                    self.pieces[p] = ids[lo:hi].tobytes()
-                    lo = hi
+            cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cut) == len(part) and 4 * len(ids) == cut[-1]:
+                raw = ids.tobytes()
+                self.words.update(zip(part, map(raw.__getitem__, map(slice, [0, *cut], cut)), strict=True))
             else:
-                for p in part:
-                    self.pieces[p] = self._whole(p)
+                self.words.update((p, self._whole(p)) for p in part)
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > MAX_CACHED:
+    def _learn(self, new: set[str]) -> None:
+        if len(self.words) + len(new) > MAX_CACHED:
             self.words.clear()
-        if len(self.pieces) > MAX_CACHED:
-            self.pieces.clear()
-        cut, odd = {}, []
-        for w in words:
-            if _SIMPLE.fullmatch(w):
-                cut[w] = _PIECES.findall(w if w.isascii() else unicodedata.normalize("NFC", w))
+        alone, cut, odd = [], [], []
+        for w in new:
+            if not w.isascii():
+                if not _SIMPLE.fullmatch(w):
+                    odd.append(w)
+                    continue
+                if not unicodedata.is_normalized("NFC", w):
+                    cut.append((w, _PIECES.findall(unicodedata.normalize("NFC", w))))
+                    continue
+            if w.isalpha():
+                alone.append(w)
+            elif w[:-1].isalpha() and w[-1] in ".,;:!?":
+                cut.append((w, [w[:-1], w[-1]]))
             else:
-                odd.append(w)
-        need = {p for ps in cut.values() for p in ps}
-        self._learn_pieces([p for p in need if p not in self.pieces])
-        for w, ps in cut.items():
-            self.words[w] = self.pieces[ps[0]] if len(ps) == 1 else b"".join([self.pieces[p] for p in ps])
+                cut.append((w, _PIECES.findall(w)))
+        known = self.words
+        need = {p for _, ps in cut for p in ps if p not in known}
+        need.update(alone)
+        self._learn_pieces(list(need))
+        for w, ps in cut:
+            known[w] = b"".join([known[p] for p in ps])
         for w in odd:
-            self.words[w] = self._whole(w)
+            known[w] = self._whole(w)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without special tokens."""
@@ -89,7 +96,7 @@ class WordEncoder:
                 else:
                     split.append(w := (t or "").lower().split())
                     new.update(w)
-            new.difference_update(self.words)
+            new = new.difference(self.words)  # looks each new word up
             if new:
                 if len(self.words) + len(new) > MAX_CACHED:
                     new.update(*(w for w in split if not isinstance(w, str)))
