@@ -240,3 +240,15 @@ def extract_pages(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*keep, *own])
 
     return rows.select(F.col("html").alias("_html"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
+
+
+#: For pages as the given tables have them: one article of headings and paragraphs, with nothing to drop inside it.
+ORACLE_SQL = r"""
+with a as (select row_number() over () as r, page_id, url, coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '') as x from pages),
+b as (select r, unnest(string_split(regexp_replace(x, '</?(?:p|h1)>', chr(1), 'g'), chr(1))) as raw, generate_subscripts(string_split(regexp_replace(x, '</?(?:p|h1)>', chr(1), 'g'), chr(1)), 1) as i from a),
+c as (select r, i, regexp_replace(regexp_replace(raw, '<br>', ' ', 'g'), '</?b>', '', 'g') as s from b),
+d as (select r, i, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&#(?:39|x27);?', '''', 'g'), '&amp;?', '&', 'g') as s from c),
+e as (select r, i, trim(regexp_replace(s, '\s+', ' ', 'g')) as s from d),
+f as (select r, string_agg(s, chr(10) order by i) as text from e where s <> '' group by r)
+select page_id, url, coalesce(text, '') as text, length(coalesce(text, ''))::bigint as n_chars from a left join f using (r)
+"""

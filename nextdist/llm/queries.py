@@ -60,4 +60,4 @@ QUERIES = {
     "op10_line_dedup_suffix_array": op10_line_dedup_suffix_array,
     "op7_harmonic_packing": op7_harmonic_packing,
 }
-ORACLES = {"op1_quality_rules": quality.ORACLE_SQL, "op10_line_dedup_suffix_array": linededup.ORACLE_SQL, "op5_quotation_links": chat.ORACLE_SQL, "op3_url_link_graph": urlfilter.ORACLE_SQL, "op9_embedding_lattice": lattice.ORACLE_SQL}
+ORACLES = {"op1_quality_rules": quality.ORACLE_SQL, "op10_line_dedup_suffix_array": linededup.ORACLE_SQL, "op2_html_blocks": html.ORACLE_SQL, "op5_quotation_links": chat.ORACLE_SQL, "op3_url_link_graph": urlfilter.ORACLE_SQL, "op9_embedding_lattice": lattice.ORACLE_SQL}
