@@ -33,19 +33,20 @@ CLOSE = 1e-6
 WRITE_EVERY = 12
 OWN = ["n_tokens", "rate", "copies"]
 _SPLIT = r"[ \t\n\x0b\x0c\r]+"
+_BLANKS = " \t\n\x0b\x0c\r"
 
 
 def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns ``keep``, ``n_tokens`` (words) and ``words``: each distinct word, and words for the text's shape."""
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), _SPLIT), lambda x: x != "")
-    x = docs.select(*[F.col(f"`{c}`") for c in keep], words.alias("_w"))
-    n, d = F.size("_w"), F.size("_d")
+    body = F.btrim(F.lower(F.coalesce("text", F.lit(""))), F.lit(_BLANKS))
+    words = F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, _SPLIT))
+    x = docs.select(*[F.col(f"`{c}`") for c in keep], words.alias("_w"), F.regexp_count("text", F.lit(r"[#*$%&|<>]")).alias("_s"))
     x = x.withColumn("_d", F.array_distinct("_w"))
-    symbols = F.size(F.filter("_d", lambda w: w.rlike(r"[#*$%&|<>]")))
+    n = F.size("_w")
     shape = F.array(
         F.lit(" bias"),
-        F.concat(F.lit(" variety "), F.when(n < 20, "short").otherwise(F.expr("(10 * size(_d)) div size(_w)").cast("string"))),
-        F.concat(F.lit(" symbols "), F.when(d == 0, "none").otherwise((F.ceil(F.log2(1 + 64 * symbols / d))).cast("string"))),
+        F.concat(F.lit(" variety "), F.when(n < 20, "short").otherwise(F.expr("(10 * size(_d)) div greatest(1, size(_w))").cast("string"))),
+        F.concat(F.lit(" symbols "), F.when(n == 0, "none").otherwise(F.ceil(F.log2(1 + 64 * F.col("_s") / F.greatest(n, F.lit(1)))).cast("string"))),
     )
     return x.select(*[F.col(f"`{c}`") for c in keep], n.cast("long").alias("n_tokens"), F.concat("_d", shape).alias("words"))
 
@@ -61,8 +62,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_words: i
     """Naive Bayes over word presence and absence: ``(word, w_<domain>...)``.
 
     Fitted on at most about ``max_fit`` labelled documents, chosen by their ids' hash. Only words that are
-    more frequent in one domain than chance explains are kept, ``max_words`` at most, so the table is small by
-    construction. The word `` bias`` has the priors and what the absence of all words says.
+    more frequent in a domain other than the first than chance explains are kept, ``max_words`` at most, so the table
+    is small by construction, and a short text that lacks them is one of the first domain. The word `` bias`` has the priors and what the absence of all words says.
     """
     lab = labelled(labels)
     n = lab.count()
@@ -77,7 +78,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_words: i
     size = {d: (total[d] if total else 0) for d in DOMAINS}
     every = max(1, sum(size.values()))
     odd = {d: (F.col(d) - F.col("n") * (size[d] / every)) / F.sqrt(F.col("n") * (size[d] / every) * (1 - size[d] / every) + 1) for d in DOMAINS}
-    w = by_word.where("word <> ' bias'").withColumn("tells", F.greatest(*odd.values())).where(f"tells >= {MIN_TELLS}")
+    w = by_word.where("word <> ' bias'").withColumn("tells", F.greatest(*list(odd.values())[1:], F.lit(0.0))).where(f"tells >= {MIN_TELLS}")
     w = w.orderBy(F.desc("tells"), "word").limit(max_words)
     p = {d: (F.col(d) + SMOOTH) / (size[d] + 2 * SMOOTH) for d in DOMAINS}
     w = saved(w.select("word", *[F.log(p[d] / (1 - p[d])).alias(f"w_{d}") for d in DOMAINS], *[F.log(1 - p[d]).alias(f"a_{d}") for d in DOMAINS]), "mix-weights")
