@@ -71,7 +71,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_words: i
         lab = lab.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(max_fit / n * (1 << 30)))
     lab = saved(lab, "mix-labels")
     x = features(docs.join(lab, "doc_id"), ["domain"])
-    seen = x.select("domain", F.explode("words").alias("word"))
+    # never empty, so ``outer`` changes nothing but spares a filter that would split each text several times over
+    seen = x.select("domain", F.explode_outer("words").alias("word"))
     sums = [F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS]
     by_word = saved(seen.groupBy("word").agg(*sums, F.count("*").alias("n")).where(f"n >= {MIN_DOCS} or word = ' bias'"), "mix-counts")
     total = by_word.where("word = ' bias'").first()
@@ -91,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_words: i
 def posteriors(docs: DataFrame, weights: DataFrame) -> DataFrame:
     """``(_row, doc_id, n_tokens, p_<domain>...)`` for every row of ``docs``."""
     x = features(docs.withColumn("_row", F.monotonically_increasing_id()), ["_row", "doc_id"])
-    hits = x.select("_row", "doc_id", "n_tokens", F.explode("words").alias("word")).join(F.broadcast(weights), "word")  # at most MAX_WORDS rows
+    hits = x.select("_row", "doc_id", "n_tokens", F.explode_outer("words").alias("word")).join(F.broadcast(weights), "word")  # at most MAX_WORDS rows
     got = hits.groupBy("_row", "doc_id", "n_tokens").agg(*[F.sum(f"w_{d}").alias(f"z_{d}") for d in DOMAINS])
     top = F.greatest(*[F.col(f"z_{d}") for d in DOMAINS])
     e = {d: F.exp(F.greatest(F.col(f"z_{d}") - top, F.lit(-MAX_LOGIT))) for d in DOMAINS}
