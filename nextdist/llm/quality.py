@@ -25,7 +25,7 @@ FEATURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 #: Metrics in thousandths: (name, numerator, denominator, high limit never under, never over).
 HIGH_LIMITS = [
     ("symbols", "n_symbols", "n_words", 100, 500),
-    ("dup_lines", "n_dup_lines", "n_lines", 300, 700),
+    ("dup_lines", "n_dup_lines", "n_lines", 500, 700),
     ("repeats", "n_repeat_words", "n_words", 300, 500),
     ("word_length", "word_chars", "n_words", 10000, 20000),
 ]
