@@ -68,4 +68,4 @@ def test_no_labels_and_empty_tables(spark):
     rows = M.mixing_rates(df, lab).collect()
     assert len(rows) == 2 and all(abs(r.p_good - 1 / 3) < 1e-6 for r in rows)
     assert M.mixing_rates(df.limit(0), lab).collect() == []
-    assert sorted(r.doc_id for r in M.mixed(df, lab).collect()) == [1, 2] or True
+    assert M.mixed(df, lab).columns == df.columns
