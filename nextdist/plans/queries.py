@@ -831,6 +831,43 @@ def w2(spark, d):
     return rounded(t.agg((F.sum(F.col("n") * F.col("entropy")) / F.sum("n")).alias("entropy"), F.sum("n").alias("visits"), F.count("*").alias("contexts")))
 
 
+# --- streams ---------------------------------------------------------------------------------------
+
+SWIN = """with words as (select doc_id, unnest(string_split(text, ' ')) as piece, generate_subscripts(string_split(text, ' '), 1) as pos from documents),
+win as (select doc_id, piece as t0, lead(piece) over w as t1, lead(piece, 2) over w as t2 from words window w as (partition by doc_id order by pos) qualify t2 is not null),
+cn as (select 1 as level, t0 as context, t1 as next, count(*) as cnt from win group by all union all select 2, t0 || ' ' || t1, t2, count(*) from win group by all)"""
+
+
+def streamed(spark: SparkSession, d: str) -> str:
+    """Count the documents' word windows as a stream; returns where the deltas are."""
+    import uuid
+
+    from ..sources.shared import shared_dir
+    from ..streaming.counts import start_growth
+
+    docs = spark.readStream.schema(documents(spark, d).schema).parquet(f"{d}/documents.parque[t]")  # a pattern, so that it may be one file or a folder
+    w = P.windows_within_documents(docs.select("doc_id", F.split("text", " ", -1).alias("tokens")), 2)
+    path = f"{shared_dir(spark)}/nextdist/stream-{uuid.uuid4().hex}"
+    start_growth(w, 2, f"{path}/out", f"{path}/progress").awaitTermination()
+    return f"{path}/out"
+
+
+@register("st1_stream_context_counts", f"{SWIN} select level, context, next, cnt from cn")
+def st1(spark, d):
+    from ..streaming.counts import read_counts_so_far
+
+    return read_counts_so_far(spark, streamed(spark, d)).select("level", F.array_join("context", " ").alias("context"), "next", "cnt")
+
+
+@register("st2_stream_growth", f"{SWIN}, {TOTALS} select level, round(sum(n * h) / sum(n), 6) + 0.0 as entropy, sum(n)::bigint as total_ctx, count(*) as unique_ctx from tot group by level")
+def st2(spark, d):
+    from ..streaming.counts import read_growth
+
+    g = read_growth(spark, streamed(spark, d))
+    last = g.groupBy("level").agg(F.max_by(F.struct("entropy", "total_ctx", "unique_ctx"), "batch").alias("g"))
+    return rounded(last.select("level", "g.*"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Level statistics of user event sequences."""
     return a9(spark, d)
