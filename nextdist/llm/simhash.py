@@ -250,16 +250,3 @@ def _groups(docs: DataFrame, keep: list[str], max_bits: int, leaf_size: int) ->
     comp = components(links(each.select("fp"), max_bits, leaf_size), "simhash-cc")
     each = each.join(comp, each.fp == comp.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     return fps, each
-
-
-def first_of_groups(docs: DataFrame, max_bits: int = MAX_BITS, leaf_size: int = LEAF_SIZE) -> DataFrame:
-    """The row of ``docs`` with the smallest ``doc_id`` of each group (nulls last, then row order), with all columns.
-
-    ``docs`` must be read from files, so that its rows keep their order.
-    """
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    fps, each = _groups(rows, ["doc_id", "_row"], max_bits, leaf_size)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    local = fps.groupBy("fp").agg(F.min(order).alias("first"))  # copies come together before groups do
-    kept = local.join(each, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
