@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import numbered
 
-#: The greedy assignment is sequential by nature; beyond this many heaviest keys the rest is dealt by hash.
-MAX_GREEDY = 200_000
-
-
 def top_pairs(pair_counts: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` most frequent pairs; ties by the pair."""
     return pair_counts.orderBy(F.desc("cnt"), "t0", "t1").limit(k)
@@ -24,23 +21,47 @@ def round_robin_bins(pair_counts: DataFrame, bins: int) -> DataFrame:
     return x.select("t0", "t1", "cnt", (F.col("_rank") % bins).cast("int").alias("bin"))
 
 
-def greedy_bins(pair_counts: DataFrame, bins: int, max_greedy: int = MAX_GREEDY) -> DataFrame:
+def greedy_runs(runs: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int, list[int]]]:
+    """``(count, first rank, number of ranks, bins in turn)``: the greedy rule for ``(count, pairs)``, heaviest first.
+
+    Bins whose loads lie within one count take pairs of that count in turn, until they reach the next
+    bin, which then takes its turn too. So a run of any length has one piece per bin at most.
+    """
+    loads = [(0, b) for b in range(bins)]
+    out = []
+    for cnt, n in runs:
+        at = 0
+        while at < n:
+            loads.sort()
+            low = (loads[0][0] + cnt, loads[0][1])
+            turn = [x for x in loads if x < low]
+            m = n - at
+            if len(turn) < bins:  # those that are still the least loaded before the next bin is
+                load, b = loads[len(turn)]
+                m = min(m, sum((load - x) // cnt + ((load - x) % cnt > 0 or y < b) for x, y in turn))
+            out.append((cnt, at, m, [b for _, b in turn]))
+            full, rest = divmod(m, len(turn))
+            loads = [(x + cnt * (full + (i < rest)), b) for i, (x, b) in enumerate(turn)] + loads[len(turn) :]
+            at += m
+    return out
+
+
+def greedy_bins(pair_counts: DataFrame, bins: int) -> DataFrame:
     """Heaviest pair first, each into the least loaded bin (ties: lowest number).
 
-    The rule is sequential, so it runs on the driver over the heaviest ``max_greedy`` pairs; lighter
-    ones, whose weight no longer matters, go by hash.
+    The driver gets the number of pairs of each count only, and applies the rule to whole runs of
+    equal counts; each pair finds its bin by its rank inside its count. No task ranks all pairs.
     """
     spark = pair_counts.sparkSession
-    head = pair_counts.orderBy(F.desc("cnt"), "t0", "t1").limit(max_greedy)
-    loads = [(0, b) for b in range(bins)]
-    rows = []
-    for t0, t1, cnt in head.select("t0", "t1", "cnt").collect():
-        load, b = heapq.heappop(loads)
-        rows.append((t0, t1, b))
-        heapq.heappush(loads, (load + cnt, b))
-    found = spark.createDataFrame(rows, "t0 int, t1 int, bin int")
-    x = pair_counts.join(found, ["t0", "t1"], "left")
-    return x.select("t0", "t1", "cnt", F.coalesce("bin", F.pmod(F.xxhash64("t0", "t1"), F.lit(bins)).cast("int")).alias("bin"))
+    x = numbered(pair_counts.select("t0", "t1", "cnt"), [F.desc("cnt"), F.col("t0"), F.col("t1")], "_rank", "pair-ranks")
+    runs = sorted((tuple(r) for r in x.groupBy("cnt").agg(F.count("*")).collect()), reverse=True)
+    before, rows = dict(zip([c for c, _ in runs], itertools.accumulate([n for _, n in runs], initial=0), strict=False)), []
+    for cnt, at, n, order in greedy_runs(runs, bins):
+        rows.append((cnt, before[cnt] + at, before[cnt] + at + n, order))
+    table = spark.createDataFrame(rows, "_cnt long, _from long, _to long, _order array<int>")
+    here = (F.col("cnt") == F.col("_cnt")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
+    x = x.join(F.broadcast(table), here)  # at most a row per bin and distinct count
+    return x.select("t0", "t1", "cnt", F.expr("_order[cast((_rank - _from) % size(_order) as int)]").alias("bin"))
 
 
 def bin_loads(binned: DataFrame) -> DataFrame:

@@ -135,6 +135,27 @@ def test_greedy_bins_put_the_heaviest_into_the_least_loaded(spark):
     assert [rr[p] for p, _ in sorted(f2.items(), key=lambda x: (-x[1], x[0]))] == [i % 3 for i in range(16)]
 
 
+@pytest.mark.parametrize("bins", [1, 3, 16])
+def test_greedy_runs_are_the_rule_for_every_pair(bins):
+    rng = random.Random(bins)
+    for _ in range(200):
+        runs = sorted(((c, rng.randint(1, 60)) for c in set(rng.choices([1, 2, 3, 5, 8, 40, 300, 1000], k=4))), reverse=True)
+        got = [(cnt, order[i % len(order)]) for cnt, at, m, order in S.greedy_runs(runs, bins) for i in range(m)]
+        loads, want = [0] * bins, []
+        for cnt, n in runs:
+            for _ in range(n):
+                want.append((cnt, loads.index(min(loads))))
+                loads[want[-1][1]] += cnt
+        assert got == want
+    assert len(S.greedy_runs([(1_000_000, 1), (2, 10**9), (1, 10**12)], bins)) <= 3 * bins
+
+
+def test_greedy_bins_have_no_cap(spark):
+    pairs = spark.range(250_000).select((F.col("id") % 500).cast("int").alias("t0"), F.floor(F.col("id") / 500).cast("int").alias("t1"), F.when(F.col("id") == 0, 100_000).otherwise(1 + F.col("id") % 2).cast("long").alias("cnt"))
+    loads = [r.load for r in S.bin_loads(S.greedy_bins(pairs, 3)).collect()]
+    assert sum(loads) == 100_000 + 374_999 and max(loads) - min(loads) <= 1
+
+
 def test_soft_labels_and_lookups(spark):
     tokens = heavy_tailed(600, 8, 9)
     T = 4
