@@ -7,6 +7,8 @@ blocked when the distrust that reaches it over links is above the trust by more
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from .common import discard, saved, without
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 ROUNDS = 10
 DAMPING = 0.85
+#: Scores are final when a round changes none by more than this share of it; what later rounds add is under six times that.
+TOLERANCE = 1e-3
 #: Distrust may exceed trust by this share of the larger of the two before a host is blocked.
 MARGIN = 0.1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,8 +68,12 @@ def host_links(pages: DataFrame) -> DataFrame:
     return x.where("src <> dst and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def host_scores(judged: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """``(host, trust, distrust)`` that reach each host over links, without its own share as a seed."""
+def host_scores(judged: DataFrame, rounds: int | None = ROUNDS, damping: float = DAMPING) -> DataFrame:
+    """``(host, trust, distrust)`` that reach each host over links, without its own share as a seed.
+
+    With ``rounds`` None, rounds go on until no score changes by more than ``TOLERANCE`` of the larger of
+    the host's two, which is far below the margin. A score that links have not reached yet changes by all of itself.
+    """
     hosts = judged.where("host <> ''").groupBy("host").agg(
         F.count_if(F.col("_said") == "allow").alias("good"), F.count_if(F.col("_said") == "block").alias("bad"), F.count("*").alias("n")
     )
@@ -81,25 +89,33 @@ def host_scores(judged: DataFrame, rounds: int = ROUNDS, damping: float = DAMPIN
         return state.select("host", "trust", "distrust")
     ends = share.select(F.col("src").alias("host")).union(share.select(F.col("dst").alias("host"))).distinct()
     seeds = saved(ends.join(seeds, "host", "full_outer").na.fill(0.0), "url-seeds")
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         t = share.join(state.select(F.col("host").alias("src"), "t"), "src").select(F.col("dst").alias("host"), (F.col("t") * F.col("fwd") * damping).alias("trust"), F.lit(0.0).alias("distrust"))
         d = share.join(state.select(F.col("host").alias("dst"), "d"), "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("trust"), (F.col("d") * F.col("back") * damping).alias("distrust"))
         got = t.unionByName(d).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
         new = seeds.join(got, "host", "left").na.fill(0.0, ["trust", "distrust"])
+        final = False
         before, state = state, saved(
             new.select("host", (F.col("st") * (1 - damping) + F.col("trust")).alias("t"), (F.col("sd") * (1 - damping) + F.col("distrust")).alias("d"), "trust", "distrust"), "url-state"
         )
+        if rounds is None:
+            old = before.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0"))
+            change = F.greatest(F.abs(F.col("trust") - F.coalesce("t0", F.lit(0.0))), F.abs(F.col("distrust") - F.coalesce("d0", F.lit(0.0))))
+            final = state.join(old, "host", "left").where(change > TOLERANCE * F.greatest("trust", "distrust")).isEmpty()
         if before.inputFiles() and _ > 0:
             discard(before)
+        if final:
+            break
     return state.select("host", "trust", "distrust")
 
 
-def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, rounds: int = ROUNDS, margin: float = MARGIN, keep: list[str] | None = None) -> DataFrame:
+def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, rounds: int | None = None, margin: float = MARGIN, keep: list[str] | None = None) -> DataFrame:
     """Judge the url of every row of ``pages(url, html, ...)``.
 
     Adds ``host``, ``path``, ``rule`` and ``verdict`` to the columns ``keep`` (default: all).
     A url that no rule fits gets its host's verdict: block if the distrust reaching the host
-    over links exceeds the trust by more than ``margin`` of the larger, else allow.
+    over links exceeds the trust by more than ``margin`` of the larger, else allow. ``rounds`` is how often
+    scores are spread, by default until they stand still.
 
     Nulls: a url that is null or has no ``://`` has an empty host and path, no rule, and is
     allowed; a null html has no links. Repeated rows are judged alike, and their links count each. An

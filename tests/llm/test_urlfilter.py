@@ -64,5 +64,12 @@ def test_propagation_matches_brute_force_and_blocks(spark):
     assert verdict["farm.com"] == "block" and verdict["friend.com"] == verdict["lonely.com"] == "allow"
 
 
+def test_distrust_reaches_hosts_more_than_ten_links_away(spark):
+    chain = [f"http://h{i}.com/" for i in range(13)] + ["http://spam.net/"]
+    rows = [page(i, u, chain[i + 1 : i + 2]) for i, u in enumerate(chain)]
+    verdict = {r.host: r.verdict for r in U.url_filter(frame(spark, rows)).collect()}
+    assert all(v == "block" for v in verdict.values())
+
+
 def test_empty_table(spark):
     assert U.url_filter(frame(spark, [])).collect() == []
