@@ -1,8 +1,8 @@
 """Quotation linking: conversations in reply order, without quoted text.
 
 Lines that start with ``>`` are quotes; the number of ``>`` is the level. Runs of one level
-are passages. A passage, and each of its lines, is normalised and hashed, and joined to the earliest
-message whose own text has it, as a whole, a paragraph or a line. All of it is DataFrame work.
+are passages. A passage, each of its paragraphs, lines and pairs of neighbouring lines are normalised, hashed, and joined to the
+earliest message whose own text has them, as a whole, a paragraph, a line or a pair of lines. All of it is DataFrame work.
 """
 
 from __future__ import annotations
@@ -29,6 +29,14 @@ def name(x: Column) -> Column:
     return F.md5(normal(x))
 
 
+def pieces_of(x: str) -> Column:
+    """The whole of a text, its paragraphs, lines and pairs of neighbouring lines, each once."""
+    lines = F.filter(F.split(x, "\n", -1), lambda y: F.length(normal(y)) > 0)
+    pairs = F.zip_with(lines, F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda a, b: F.concat_ws("\n", a, b))
+    pairs = F.slice(pairs, 1, F.greatest(F.size(lines) - 1, F.lit(0)))
+    return F.array_distinct(F.concat(F.array(x), F.split(x, r"\n[ \t]*\n"), lines, pairs))
+
+
 def _lines(msgs: DataFrame) -> DataFrame:
     """One row per line of messages that quote: its level, the text after the marks, and its passage's number."""
     x = msgs.where(F.col("text").rlike(r"(?m)^[ \t]*>"))
@@ -41,13 +49,15 @@ def _lines(msgs: DataFrame) -> DataFrame:
 
 
 def _originals(bodies: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The earliest message with each wanted hash, within its conversation and in all."""
-    split = F.array_union(F.array("body"), F.array_union(F.split("body", r"\n[ \t]*\n"), F.split("body", "\n", -1)))
-    x = bodies.select("conv_id", "turn", F.explode(split).alias("piece"))
+    """The earliest message with each wanted hash, within its conversation, and in the two first conversations of all."""
+    x = bodies.select("conv_id", "turn", F.explode(pieces_of("body")).alias("piece"))
     x = x.where(F.length(normal(F.col("piece"))) > 0).select("conv_id", "turn", name(F.col("piece")).alias("h"))
     x = saved(x.join(wanted, "h", "left_semi").groupBy("h", "conv_id").agg(F.min("turn").alias("turn")), "chat-originals")
-    every = x.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("o"))
-    return x, every.select("h", F.col("o.conv_id").alias("far_conv"), F.col("o.turn").alias("far_turn"))
+    o = x.select("h", F.struct("conv_id", "turn").alias("o"))
+    first = o.groupBy("h").agg(F.min("o").alias("first"))
+    # a row per conversation and hash, so the next smallest is another conversation's
+    second = o.join(first, "h").groupBy("h").agg(F.min("first").alias("first"), F.min(F.when(~F.col("o.conv_id").eqNullSafe(F.col("first.conv_id")), F.col("o"))).alias("second"))
+    return x, second
 
 
 def _roots(parents: DataFrame) -> DataFrame:
@@ -92,14 +102,17 @@ def quotation_links(messages: DataFrame, keep: list[str] | None = None) -> DataF
     said = F.array_sort(F.collect_list(F.struct("i", "said")))
     quotes = lines.where("level > 0").groupBy("_m", "conv_id", "turn", "passage", "level").agg(F.array_join(F.transform(said, lambda s: s["said"]), "\n").alias("q"))
     quotes = saved(quotes.where(F.length(normal(F.col("q"))) > 0), "chat-quotes")
-    pieces = quotes.select("_m", "conv_id", "turn", "level", F.explode(F.array_union(F.array("q"), F.filter(F.split("q", "\n", -1), lambda y: F.length(normal(y)) >= MIN_LINE))).alias("p"))
+    # short lines link nothing on their own, but the whole and runs of them do
+    p = F.filter(pieces_of("q"), lambda y: (y == F.col("q")) | (F.length(normal(y)) >= MIN_LINE))
+    pieces = quotes.select("_m", "conv_id", "turn", "level", F.explode(p).alias("p"))
     pieces = saved(pieces.select("_m", "conv_id", "turn", "level", name(F.col("p")).alias("h"), F.length(normal(F.col("p"))).alias("size")), "chat-pieces")
     near, far = _originals(x, pieces.select("h").distinct())
     near = near.select("h", F.col("conv_id").alias("near_conv"), F.col("turn").alias("near_turn"))
     hit = pieces.join(near, (pieces.h == near.h) & F.col("conv_id").eqNullSafe(F.col("near_conv")) & (F.col("near_turn") < F.col("turn")), "left").drop(near.h)
     hit = hit.join(far, "h", "left")
     # an original in another conversation counts where the own one has none
-    hit = hit.withColumn("at", F.when(F.col("near_turn").isNotNull(), F.struct("conv_id", F.col("near_turn").alias("turn"))).when(F.col("far_turn").isNotNull() & ~F.col("far_conv").eqNullSafe(F.col("conv_id")), F.struct(F.col("far_conv").alias("conv_id"), F.col("far_turn").alias("turn"))))
+    hit = hit.withColumn("other", F.when(F.col("first.conv_id").eqNullSafe(F.col("conv_id")), F.col("second")).otherwise(F.col("first")))
+    hit = hit.withColumn("at", F.when(F.col("near_turn").isNotNull(), F.struct("conv_id", F.col("near_turn").alias("turn"))).when(F.col("other.turn").isNotNull(), F.col("other")))
     votes = hit.where("at is not null").groupBy("_m", "conv_id", "level", "at").agg(F.sum("size").alias("votes"))
     best = votes.groupBy("_m").agg(F.max(F.struct(-F.col("level"), F.col("votes"), F.col("at.conv_id").eqNullSafe(F.col("conv_id")), "at")).alias("b"))
     counts = quotes.groupBy("_m").agg(F.count("*").alias("n_quotes"))

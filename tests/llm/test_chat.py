@@ -49,5 +49,22 @@ def test_long_chains_repeats_and_hot_lines(spark):
     assert sorted(r.position for r in all_rows if r.conv_id == 1) == list(range(42))
 
 
+def test_partial_rewrapped_and_cross_conversation_quotes(spark):
+    rows = [
+        (5, 0, "user", "A first paragraph that is\nlong enough to wrap.\n\nA second one that is also\nwrapped.\n\nThe third is left out."),
+        (5, 1, "user", "> A first paragraph\n> that is long enough to wrap.\n>\n> A second one that\n> is also wrapped.\nTwo of three."),
+        (6, 0, "user", "Before it.\nYes it is.\nNo it is not.\nAfter it."),
+        (6, 1, "user", "> Yes it is.\n> No it is not.\nTwo short lines."),
+        (7, 1, "user", "> said in two conversations\nquoted before the own one says it"),
+        (7, 3, "user", "said in two conversations"),
+        (8, 2, "user", "said in two conversations"),
+        (9, 0, "user", "short"),
+        (9, 1, "user", "> short\n> and of nobody\nlinks nothing"),
+    ]
+    got = run(spark, rows)
+    assert got[5, 1].parent_turn == 0 and got[6, 1].parent_turn == 0 and got[9, 1].parent_turn is None
+    assert (got[7, 1].quoted_conv_id, got[7, 1].quoted_turn, got[7, 1].parent_turn) == (8, 2, None)
+
+
 def test_empty_table(spark):
     assert C.quotation_links(spark.createDataFrame([], SCHEMA)).collect() == []
