@@ -5,7 +5,8 @@ container that is never main text (navigation, header, footer, advert, form, ...
 of links are bad; those with enough stop words or, in running text, enough length are good; long ones
 with hardly a stop word outside an article are bad. Short and unclear ones stay
 undecided. The second pass gives those the label of the nearest decided neighbours. The borders of an article
-count as good neighbours, those of other containers and of the page as bad.
+count as good neighbours, those of other containers and of the page as bad, but a heading goes by what
+follows it and a page's last paragraphs by what is before them.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html "
     "legend li main menu nav ol optgroup option p pre section summary table tbody td template tfoot th thead title tr ul".split()
 )
-SKIPPED = frozenset("script style noscript template svg math iframe object canvas select textarea button head title audio video".split())
+SKIPPED = frozenset("script style noscript template svg iframe object canvas select textarea button head title audio video".split())
 BAD_TAGS = frozenset("nav header footer aside form menu dialog".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,6 +48,10 @@ BAD_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments "
     "respond reply replies discussion disqus pagination pager toolbar skip copyright".split()
 )
+#: Names that begin so say that something is near, not what it is.
+NEUTRAL_FIRST = frozenset("has with no without".split())
+NEUTRAL = frozenset([("share", "price"), ("share", "prices")])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|[\s/\"'])(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME = re.compile(r"[a-z]+", re.I)
@@ -70,35 +75,42 @@ def _bad_attributes(attrs: str) -> bool:
         if name == "role":
             if value.lower() in BAD_ROLES:
                 return True
-        elif name in ("class", "id") and any(w.lower() in BAD_WORDS for w in _NAME.findall(_CAMEL.sub(" ", value))):
+        elif name in ("class", "id") and any(map(_bad_name, value.split())):
             return True
     return False
 
 
+def _bad_name(name: str) -> bool:
+    """Whether one class or id names something that is not main text."""
+    words = [w.lower() for w in _NAME.findall(_CAMEL.sub(" ", name))]
+    return bool(words) and words[0] not in NEUTRAL_FIRST and tuple(words) not in NEUTRAL and any(w in BAD_WORDS for w in words)
+
+
 class _Block:
-    __slots__ = ("parts", "links", "bad", "article")
+    __slots__ = ("parts", "links", "bad", "article", "tag")
 
-    def __init__(self, bad: bool, article: int):
+    def __init__(self, bad: bool, article: int, tag: str = ""):
         self.parts: list[str] = []
         self.links = 0
         self.bad = bad
         self.article = article
+        self.tag = tag
 
 
-def blocks(html: str) -> list[tuple[str, int, bool, int]]:
-    """``(text, characters in links, in a bad container, number of its article or 0)`` in page order."""
-    out: list[tuple[str, int, bool, int]] = []
+def blocks(html: str) -> list[tuple[str, int, bool, int, str]]:
+    """``(text, characters in links, in a bad container, number of its article or 0, innermost element)`` in page order."""
+    out: list[tuple[str, int, bool, int, str]] = []
     stack: list[tuple[str, bool, int]] = []  # open block-level and skipped elements: (name, bad, article)
     bad, article, articles = False, 0, 0
-    in_link, here, at, end = 0, _Block(False, 0), 0, len(html)
+    in_link, in_code, here, at, end = 0, 0, _Block(False, 0), 0, len(html)
 
     def flush() -> None:
         nonlocal here
         if here.parts:
             text = _SPACE.sub(" ", unescape("".join(here.parts))).strip()
             if text:
-                out.append((text, here.links, here.bad, here.article))
-        here = _Block(bad, article)
+                out.append((text, here.links, here.bad, here.article, here.tag))
+        here = _Block(bad, article, stack[-1][0] if stack else "")
 
     def add(text: str) -> None:
         if text and not (stack and stack[-1][0] in SKIPPED):
@@ -130,6 +142,9 @@ def blocks(html: str) -> list[tuple[str, int, bool, int]]:
         if name == "a":
             in_link = 0 if closing else 1
             continue
+        if name == "code":
+            in_code = 0 if closing else 1
+            continue
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
@@ -160,12 +175,12 @@ def blocks(html: str) -> list[tuple[str, int, bool, int]]:
             bad = bad or (is_bad and name not in ("body", "html", "article", "main"))
             stack.append((name, bad, article))
             if name in BLOCK_TAGS:
-                in_link = 0
+                in_link = in_code = 0
                 flush()
             if name in RAW and not (m[3].endswith("/") and name not in ("script", "style")):
                 close = re.compile(rf"</{name}\s*/?>", re.I).search(html, at)
                 at = close.start() if close else end
-        elif is_bad:  # an inline element, such as a span, set apart as an advert
+        elif is_bad and not in_code and not any(x[0] == "pre" for x in stack):  # an inline element, such as a span, set apart as an advert; in code, colours
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
             if close:
                 at = close.end()
@@ -173,18 +188,18 @@ def blocks(html: str) -> list[tuple[str, int, bool, int]]:
     return out
 
 
-def classify(found: list[tuple[str, int, bool, int]]) -> list[bool]:
+def classify(found: list[tuple[str, int, bool, int, str]]) -> list[bool]:
     """Whether each block is main text."""
     labels = []
     some_article = any(b[3] and not b[2] for b in found)
-    for text, links, bad, article in found:
+    for text, links, bad, article, tag in found:
         words = _WORD.findall(text.lower())
         stop = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
         density = links / len(text)
         if bad or (some_article and not article):
             label = BAD
         elif density > (ARTICLE_MAX_LINKS if article else MAX_LINKS):
-            label = UNDECIDED if article and len(text) < LENGTH_LOW else BAD
+            label = UNDECIDED if article and (len(text) < LENGTH_LOW or tag == "p") else BAD
         elif len(text) < LENGTH_LOW:
             label = UNDECIDED
         elif stop >= STOP_HIGH or (stop >= STOP_LOW and len(text) > LENGTH_HIGH):
@@ -204,10 +219,13 @@ def classify(found: list[tuple[str, int, bool, int]]) -> list[bool]:
         same = i + 1 < n and found[i + 1][3] == found[i][3]
         own = [GOOD if found[i][3] else BAD, *((labels[i + 1] or after[i + 1],) if same or not found[i][3] and i + 1 < n else ())][-1]
         after[i] = GOOD if found[i][3] and i + 1 < n and found[i + 1][2] and not found[i][2] and own == BAD else own
+    last = max((i for i, label in enumerate(labels) if label and not found[i][2]), default=-1)  # decided by its own text
     for i, label in enumerate(labels):
         if label == UNDECIDED:
             # both sides, or one side for headings and last lines; in an article a good side is enough
-            good = (before[i] == GOOD or after[i] == GOOD) if found[i][3] else (before[i] == GOOD and after[i] == GOOD)
+            both = before[i] == GOOD and after[i] == GOOD
+            good = (before[i] == GOOD or after[i] == GOOD) if found[i][3] else both or (after[i] == GOOD and found[i][4] in HEADINGS)
+            good = good or (not found[i][3] and before[i] == GOOD and found[i][4] == "p" and i > last)
             label = GOOD if good else BAD
         out.append(label == GOOD)
     return out

@@ -18,6 +18,19 @@ def test_pages_without_an_article_go_by_stop_words_and_neighbours():
     assert text == [good.strip(), "And so on.", good.strip()]
 
 
+def test_headings_and_last_lines_of_pages_without_an_article():
+    good = "This is the text of the page and it has a lot of the words that are in every text of a language. " * 3
+    assert H.main_text(f"<body><h1>Title</h1><p>{good}</p><p>End.</p></body>").split("\n") == ["Title", good.strip(), "End."]
+    assert H.main_text(f"<nav><a href=a>x</a></nav><h2>Title</h2><p>{good}</p><p>End.</p><footer>me</footer>").split("\n") == ["Title", good.strip(), "End."]
+
+
+def test_names_code_math_and_link_paragraphs():
+    link = "<p><a href=x>" + "a paragraph that is one link and is long enough to be seen as a block of its own" + "</a></p>"
+    page = f"<article class='post has-sidebar'><div class='share-price'>12 euros</div><div class='share'>Tell</div><p>so <math><mi>x</mi></math></p>{link}<pre>a = 1 <span class=comment># one</span></pre><p><code>b <span class=comment># two</span></code> c</p></article>"
+    assert H.main_text(page).split("\n") == ["12 euros", "so x", "a paragraph that is one link and is long enough to be seen as a block of its own", "a = 1 # one", "b # two c"]
+    assert H.main_text("<article><div class='post has-sidebar'>kept</div></article>") == "kept"
+
+
 def test_broken_and_empty_pages():
     assert H.main_text(None) == H.main_text("") == H.main_text("<p>") == H.main_text("<script>x") == ""
     assert H.main_text("<article>a < b <unclosed") == "a < b"
