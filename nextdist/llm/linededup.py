@@ -1,15 +1,13 @@
 """Line dedup: repeated runs of lines, found with a suffix array over line ids.
 
-Each document is a sequence of line ids; all sequences stand one after the other in
-``doc_id`` order. Prefix doubling sorts the suffixes: at level k a suffix's rank is the
-place of its first 2^k lines in sorted order, made from two ranks of level k-1. Only
-suffixes whose prefix occurs twice go on, so most lines leave at once.
-
-Suffixes that share a prefix of n lines are an interval of the suffix array with a longest
-common prefix of n or more. For 2^k <= n < 2^(k+1) it is named by the ranks of the
-prefix's first and last 2^k lines. A run of lines counts when it has ``min_lines`` lines
-and ``min_words`` words. Each counting run is the union of its shortest counting
-windows, from each line forward and to each line backward. So deleting every window whose
+Each document is a sequence of line ids. Prefix doubling sorts the suffixes: at level k a suffix's rank is the
+place of its first 2^k lines in sorted order, made from two ranks of level k-1. Lines that occur
+once begin no repeated run, so only suffixes at other lines are sorted.
+
+A run of lines counts when it has ``min_lines`` lines and ``min_words`` words. Each counting run is
+the union of its shortest counting windows, from each line forward and to each line backward. Suffixes are sorted to the depth of
+the longest such window. The array of longest common prefixes (LCP) of neighbours in sorted order then cuts it into
+intervals: neighbours whose LCP is at least a window's size share that window. Deleting every window whose
 interval has an earlier member deletes all later copies of all maximal repeated runs, and no more.
 Doubling stops at the longest window, not at the longest document.
 """
@@ -21,13 +19,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, saved, without
+from .common import discard, numbered, saved, without
 
 MIN_LINES = 1
 MIN_WORDS = 10
 _BLANK = r"[ \t\r\x0b\x0c]+"
+#: Places of the suffix array that one task gets of one interval at most.
+BLOCK = 4096
 OWN = ["n_lines", "n_deleted"]
 
 
@@ -41,20 +42,17 @@ def _sorted_ids(df: DataFrame, order: list[Column], name: str, tag: str) -> Data
     return saved(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()), tag)
 
 
-def line_ids(docs: DataFrame, tag: str = "lines-flat") -> DataFrame:
-    """One row per line: ``pos`` (its place in the concatenation), ``left`` (lines up to its document's end), 128 bits of hash, words.
+def line_ids(rows: DataFrame, tag: str = "lines-flat") -> DataFrame:
+    """One row per line of ``rows(_row, text)``: ``pos`` (a place that grows by one in a document), ``left`` (lines up to its document's end), 128 bits of hash, words.
 
     Lines are compared without blanks at their ends.
     """
-    trimmed = F.transform(_lines(), lambda x: F.regexp_replace(x, f"^{_BLANK}|{_BLANK}$", ""))
+    trimmed = F.transform(_lines(), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")))
     ids = F.transform(
         trimmed,
         lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("line"), x).alias("h2"), F.when(x == "", 0).otherwise(F.size(F.split(x, _BLANK))).alias("words")),
     )
-    slim = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), ids.alias("_ids"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("_row")]
-    flat = slim.repartitionByRange(n, *order).sortWithinPartitions(*order).select("_row", F.size("_ids").alias("_n"), F.posexplode("_ids").alias("line", "id"))
+    flat = rows.select("_row", ids.alias("_ids")).select("_row", F.size("_ids").alias("_n"), F.posexplode("_ids").alias("line", "id"))
     return saved(flat.select("_row", "line", (F.col("_n") - F.col("line")).alias("left"), "id.*", F.monotonically_increasing_id().alias("pos")), tag)
 
 
@@ -92,36 +90,84 @@ def windows(active: DataFrame, min_lines: int, min_words: int) -> DataFrame:
     return rows.select("pos", "words").mapInArrow(run, "at long, size long").distinct()
 
 
-def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(_row, line)`` of every line that a later copy of a counting run covers.
+def suffix_ranks(active: DataFrame, depth: int) -> DataFrame:
+    """``(pos, left, r)``: ``r[k]`` is the rank of the suffix at ``pos`` by its first 2^k lines, up to ``depth`` lines at least.
 
-    ``_row`` is ``monotonically_increasing_id`` of ``docs``, whose rows must come in the same
-    order each time, as they do from files.
+    ``active(pos, left, rank)`` has every line that occurs twice. A line that is not there is unlike all others, and so is what follows it.
     """
-    flat = line_ids(docs)
+    x, half = active.select("pos", "left", F.array("rank").alias("r")), 1
+    while half < depth:
+        then = x.select(F.col("pos").alias("then"), F.element_at("r", -1).alias("then_rank"))
+        y = x.withColumn("then", F.col("pos") + half).join(then, "then", "left")
+        second = F.when(F.col("left") <= half, F.lit(-1)).otherwise(F.coalesce("then_rank", -2 - F.col("pos")))
+        y = saved(y.select("pos", "left", "r", F.element_at("r", -1).alias("rank"), second.alias("second")), "lines-pairs")
+        new = _sorted_ids(y.select("rank", "second").distinct(), [F.col("rank"), F.col("second")], "new", "lines-rank")
+        old, x = x, saved(y.join(new, ["rank", "second"]).select("pos", "left", F.concat("r", F.array("new")).alias("r")), "lines-level")
+        discard(y)
+        discard(new)
+        if half > 1:
+            discard(old)
+        half *= 2
+    return x
+
+
+def suffix_array(ranks: DataFrame) -> DataFrame:
+    """``(sa, pos, lcp)``: suffixes numbered in sorted order, with the lines that each shares with the one before.
+
+    ``ranks`` are those of :func:`suffix_ranks`; prefixes are compared up to the depth sorted there, equal ones stand by ``pos``.
+    """
+    sa = numbered(ranks, [F.element_at("r", -1), F.col("pos")], "sa", "lines-sa")
+    before = sa.select((F.col("sa") + 1).alias("sa"), F.col("pos").alias("prev"), F.col("r").alias("prev_r"), F.col("left").alias("prev_left"))
+    # ranks of deeper levels divide those of the levels before, so equal ones come first
+    same = F.size(F.filter(F.zip_with("r", "prev_r", lambda a, b: a.eqNullSafe(b)), lambda e: e))
+    x = sa.join(before, "sa", "left").select("sa", "pos", "prev", F.least("left", "prev_left").alias("room"), F.when(F.col("prev").isNull(), 0).otherwise(same).alias("same"))
+    lcp = F.when(F.col("same") == 0, 0).otherwise(F.least(F.expr("shiftleft(1, same - 1)"), "room"))
+    x = saved(x.withColumn("lcp", lcp), "lines-lcp")
+    levels = x.agg(F.max("same")).first()[0] or 0
+    # below the deepest level on which two neighbours agree, their shared prefix grows by halves
+    for k in range(levels - 2, -1, -1):
+        todo = (F.col("same") > k + 1) & (F.col("lcp") < F.col("room"))
+        a = ranks.select(F.col("pos").alias("pa"), F.get("r", F.lit(k)).alias("ra"))
+        b = ranks.select(F.col("pos").alias("pb"), F.get("r", F.lit(k)).alias("rb"))
+        y = x.where(todo).join(a, F.col("pos") + F.col("lcp") == F.col("pa"), "left").join(b, F.col("prev") + F.col("lcp") == F.col("pb"), "left")
+        grown = F.when(F.col("ra") == F.col("rb"), F.least(F.col("lcp") + 2**k, "room")).otherwise(F.col("lcp"))
+        old, x = x, saved(y.withColumn("lcp", grown).select(*x.columns).unionByName(x.where(~todo)), "lines-lcp")
+        discard(old)
+    return x.select("sa", "pos", "lcp")
+
+
+def later_copies(wins: DataFrame, sa: DataFrame, order: DataFrame) -> DataFrame:
+    """Those of ``wins(at, size)`` whose LCP interval has a member that comes earlier by ``order(pos, ord)``.
+
+    An interval's name is its first place in the array. Places are cut into blocks; a frequent
+    run's interval spans many blocks, and no join key has more rows than a block.
+    """
+    w = wins.join(sa.join(order, "pos").withColumnRenamed("pos", "at"), "at").withColumn("block", F.expr(f"sa div {BLOCK}"))
+    w = saved(w.withColumn("first", F.when(F.col("lcp") < F.col("size"), F.col("sa"))), "lines-places")
+    inside = W.partitionBy("size", "block").orderBy("sa").rowsBetween(W.unboundedPreceding, 0)  # a block at most
+    over = W.partitionBy("size").orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # one row per block
+    carried = w.groupBy("size", "block").agg(F.max("first").alias("first")).withColumn("carried", F.last("first", True).over(over)).drop("first")
+    w = w.withColumn("first", F.last("first", True).over(inside)).join(carried, ["size", "block"])
+    w = saved(w.select("at", "size", "block", "ord", F.coalesce("first", "carried").alias("first")), "lines-intervals")
+    low = w.groupBy("size", "first").agg(F.min("ord").alias("low"), F.count("*").alias("n"), F.min("block").alias("b0"), F.max("block").alias("b1")).where("n > 1")
+    low = low.select("size", "first", "low", F.explode(F.sequence("b0", "b1")).alias("block"))
+    return w.join(low, ["size", "first", "block"]).where("ord > low").select("at", "size")
+
+
+def repeated_lines(rows: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """``(_row, line)`` of every line that a later copy of a counting run covers; ``rows(_row, doc_id, text)`` are numbered and written."""
+    flat = line_ids(rows)
     keys = flat.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     first = _sorted_ids(keys, [F.col("h1"), F.col("h2")], "rank", "lines-rank")
     active = saved(flat.join(first, ["h1", "h2"]).select("_row", "line", "pos", "left", "words", "rank"), "lines-active")
+    discard(flat)
     wins = saved(windows(active, min_lines, min_words), "lines-windows")
-    longest = wins.agg(F.max("size")).first()[0] or 0
-    levels = [active.select("pos", "left", "rank")]
-    while 2 ** len(levels) <= longest:
-        half = 2 ** (len(levels) - 1)
-        a = levels[-1].where(f"left > {half}").withColumn("then", F.col("pos") + half)
-        b = levels[-1].select(F.col("pos").alias("then"), F.col("rank").alias("rank2"))
-        pairs = saved(a.join(b, "then").select("pos", "left", "rank", "rank2"), "lines-pairs")
-        keys = pairs.groupBy("rank", "rank2").agg(F.count("*").alias("n")).where("n > 1").select("rank", "rank2")
-        ranks = _sorted_ids(keys, [F.col("rank"), F.col("rank2")], "new", "lines-rank")
-        levels.append(saved(pairs.join(ranks, ["rank", "rank2"]).select("pos", "left", F.col("new").alias("rank")), "lines-level"))
-        discard(pairs)
-    found = wins.select("at", "size").limit(0)
-    for k, ranks in enumerate(levels):
-        w = wins.where(f"size >= {2**k} and size < {2 ** (k + 1)}").withColumn("to", F.expr(f"at + size - {2**k}"))
-        named = w.join(ranks.select(F.col("pos").alias("at"), F.col("rank").alias("ra")), "at").join(ranks.select(F.col("pos").alias("to"), F.col("rank").alias("rb")), "to")
-        low = named.groupBy("size", "ra", "rb").agg(F.min("at").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
-        found = found.unionByName(named.join(low, ["size", "ra", "rb"]).where("at > low").select("at", "size"))
-    places = found.select(F.explode(F.expr("sequence(at, at + size - 1)")).alias("pos")).distinct()
-    return active.join(places, "pos").select("_row", "line")
+    ranks = suffix_ranks(active, wins.agg(F.max("size")).first()[0] or 0)
+    # the first copy is the one that comes first by id, nulls last, then by row and line
+    order = active.join(rows.select("_row", "doc_id"), "_row").select("pos", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "pos").alias("ord"))
+    found = later_copies(wins, suffix_array(ranks), order).groupBy(F.col("at").alias("pos")).agg(F.max(F.col("at") + F.col("size")).alias("end"))
+    upto = F.max("end").over(W.partitionBy("_row").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))  # one document
+    return active.select("_row", "line", "pos").join(found, "pos", "left").withColumn("upto", upto).where("upto > pos").select("_row", "line")
 
 
 def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -129,18 +175,20 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN
 
     All columns are kept, ``text`` without the deleted lines; ``n_lines`` and ``n_deleted``
     count a text's lines before and those deleted. The first copy in ``doc_id`` order
-    (nulls last, then row order) stays.
+    (nulls last, then row order) stays. Rows are numbered once and written with their numbers, so
+    that a second scan, however it is split, can't mix them up.
 
     Nulls: a null text stays null and counts as one empty line. Texts without words lose
     nothing. Repeated rows: the first keeps its lines, the others lose
     their counting runs. An empty table gives an empty result. Input columns named like a
-    result are replaced. ``docs`` must be read from files (or written before), so that its rows keep their order.
+    result are replaced. Texts of any length are read whole.
     """
     docs = without(docs, [*OWN, "_row", "_gone"])
-    gone = repeated_lines(docs, min_lines, min_words)
+    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "lines-rows")
+    gone = repeated_lines(rows, min_lines, min_words)
     gone = saved(gone.groupBy("_row").agg(F.collect_list("line").alias("_gone")), "lines-gone")
     # one plan at every size: texts are shuffled once, against a hash table of deleted line numbers
-    x = docs.withColumn("_row", F.monotonically_increasing_id()).join(gone.hint("shuffle_hash"), "_row", "left")
+    x = rows.join(gone.hint("shuffle_hash"), "_row", "left")
     lines = _lines()
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))

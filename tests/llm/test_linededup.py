@@ -41,3 +41,69 @@ def test_deleted_lines_match_brute_force(spark, tmp_path, min_lines, min_words):
 
 def test_empty_table(spark):
     assert D.line_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_suffix_and_lcp_arrays_match_brute_force(spark):
+    """Order, shared prefixes and depth, against sorted lists of lines."""
+    rng = random.Random(5)
+    docs = [[rng.choice("abcd" if rng.random() < 0.9 else "uvwxyz") for _ in range(rng.randint(1, 30))] for _ in range(25)]
+    docs += [list("abcabcabcabd"), list("abcabcabcabd"), ["q"], list("aaaaaaaaaaaaaaaaa")]
+    flat, at = [], 0
+    for d in docs:
+        for i, line in enumerate(d):
+            flat.append((at, len(d) - i, line))
+            at += 1
+    often = sorted({x for x in "abcdquvwxyz" if sum(f[2] == x for f in flat) > 1})
+    active = spark.createDataFrame([(p, left, often.index(x)) for p, left, x in flat if x in often], "pos long, left int, rank long")
+    depth = 16
+    ranks = D.suffix_ranks(active, depth)
+    sa = sorted(D.suffix_array(ranks).collect(), key=lambda r: r.sa)
+    assert [r.sa for r in sa] == list(range(active.count()))
+    suffix = {p: [x if x in often else (x, i) for i, (_, _, x) in enumerate(flat[p : p + left])] for p, left, x in flat}
+
+    def shared(a, b):
+        n = 0
+        while n < min(len(suffix[a]), len(suffix[b]), depth) and flat[a + n][2] == flat[b + n][2] and flat[a + n][2] in often:
+            n += 1
+        return n
+
+    for before, r in zip(sa, sa[1:]):
+        assert min(r.lcp, depth) == shared(before.pos, r.pos), (before, r)
+    # suffixes that share a prefix of any length stand together
+    for n in (1, 2, 3, 5, 8, 13):
+        names = [tuple(x[2] for x in flat[r.pos : r.pos + n]) if len(suffix[r.pos]) >= n and all(x[2] in often for x in flat[r.pos : r.pos + n]) else r.pos for r in sa]
+        runs = [x for i, x in enumerate(names) if i == 0 or names[i - 1] != x]
+        assert len(runs) == len(set(runs))
+
+
+def test_long_texts_and_runs_of_blank_lines(spark):
+    long = "\n".join(f"line {i} of a long text with more than ten words in it a b c" for i in range(20_000))
+    blank = "\n" * 3000 + "one two three four five six seven eight nine ten"
+    rows = [(1, long), (2, "x\n" + long + "\ny"), (3, "first\n" + blank), (4, blank + "\nlast")]
+    got = {r.doc_id: r for r in D.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].text, got[1].n_deleted) == (long, 0)
+    assert (got[2].text, got[2].n_deleted) == ("x\ny", 20_000)
+    assert (got[3].text, got[3].n_deleted) == (rows[2][1], 0)
+    assert got[4].text.strip("\n") == "last" and got[4].n_deleted >= 3000
+
+
+def test_a_change_of_splits_between_scans_changes_nothing(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    pool = [f"this is line {i} of those that many texts share with each other" for i in range(40)]
+    rows = [(i, "\n".join([f"own {i}", *rng.sample(pool, 3)])) for i in range(800)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "d"))
+    want = sorted(map(tuple, D.line_dedup(spark.read.parquet(str(tmp_path / "d"))).collect()))
+    calls = []
+
+    def saved(df, *a, **k):
+        calls.append(1)
+        spark.conf.set("spark.sql.files.minPartitionNum", 4 if len(calls) % 2 else 40)
+        return real(df, *a, **k)
+
+    real = D.saved
+    monkeypatch.setattr(D, "saved", saved)
+    try:
+        got = sorted(map(tuple, D.line_dedup(spark.read.parquet(str(tmp_path / "d"))).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert got == want
