@@ -22,15 +22,16 @@ from .common import saved, without
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\x0b\x0c\r"
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
-#: Metrics in thousandths: (name, numerator, denominator, high limit never under, never over).
+#: Metrics in thousandths: (name, numerator, denominator, tolerance over the group's fence, far outer guard). The tolerance
+#: keeps metrics sane that are zero for nearly all texts; the guard only speaks where a quarter of a group or more is odd.
 HIGH_LIMITS = [
-    ("symbols", "n_symbols", "n_words", 100, 500),
-    ("dup_lines", "n_dup_lines", "n_lines", 500, 700),
-    ("repeats", "n_repeat_words", "n_words", 300, 500),
-    ("word_length", "word_chars", "n_words", 10000, 20000),
+    ("symbols", "n_symbols", "n_words", 100, 1000),
+    ("dup_lines", "n_dup_lines", "n_lines", 400, 800),
+    ("repeats", "n_repeat_words", "n_words", 250, 500),
+    ("word_length", "word_chars", "n_words", 500, 50000),
 ]
-#: A mean word length under 3 letters is a fault only where the group's own lower fence agrees.
-LOW_WORD_LENGTH = 3000
+#: Tolerance under the group's lower fence of the mean word length.
+LOW_TOLERANCE = 500
 MIN_GROUP = 200
 FENCE = 3
 
@@ -120,7 +121,8 @@ def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
 def limits(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """One row per (lang, source): the highest allowed value of each metric and ``low_word_length``.
 
-    A limit is the third quartile plus three interquartile ranges, within fixed bounds. A
+    A limit is the third quartile plus three interquartile ranges and the metric's tolerance (for the lowest
+    word length: the first quartile less as much), all of the group's own sketch. A
     group of fewer than ``min_group`` documents takes the merged sketch of its
     language, and of all documents if that is too small as well.
     """
@@ -131,10 +133,10 @@ def limits(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     pick = f"case when total >= {min_group} then {{0}} when l_total >= {min_group} then l_{{0}} else a_{{0}} end"
     x = x.select("lang", "source", "metric", F.expr(pick.format("q1")).alias("q1"), F.expr(pick.format("q3")).alias("q3"))
     highs = [
-        F.max(F.expr(f"case when metric = '{m}' then least({top}, greatest({floor}, q3 + {FENCE} * (q3 - q1))) end")).cast("long").alias(f"max_{m}")
-        for m, _, _, floor, top in HIGH_LIMITS
+        F.max(F.expr(f"case when metric = '{m}' then least({top}, q3 + {FENCE} * (q3 - q1) + {more}) end")).cast("long").alias(f"max_{m}")
+        for m, _, _, more, top in HIGH_LIMITS
     ]
-    low = F.max(F.expr(f"case when metric = 'word_length' then least({LOW_WORD_LENGTH}, q1 - {FENCE} * (q3 - q1)) end")).cast("long").alias("min_word_length")
+    low = F.max(F.expr(f"case when metric = 'word_length' then q1 - {FENCE} * (q3 - q1) - {LOW_TOLERANCE} end")).cast("long").alias("min_word_length")
     return x.groupBy("lang", "source").agg(*highs, low)
 
 
@@ -142,8 +144,8 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None, min_group: int
     """Judge every row of ``docs(text, lang, source, ...)``.
 
     Adds the base counts, ``base_failed`` and ``kept`` to the columns ``keep``
-    (default: all). Texts are read twice, once for the sketches and once for the
-    verdicts, so nothing but the sketch (a few hundred buckets per group) is stored or shuffled.
+    (default: all). Each text is read once; its counts are written beside ``keep``, and only sketches
+    (a few hundred buckets per group) are shuffled.
 
     Nulls: a null text counts as empty and fails the base rules; null language or
     source are groups of their own. Repeated rows are judged alike, each once. An
@@ -152,11 +154,9 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None, min_group: int
     """
     own = [*FEATURES, "base_failed", "kept"]
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in own]
-    for_limits = with_features(docs, ["lang", "source"])
-    lim = saved(limits(saved(sketches(for_limits), "quality-sketch"), min_group), "quality-limits")
-    lim = lim.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     need = [*keep, *[c for c in ("lang", "source") if c not in keep]]
-    judged = with_features(without(docs, own), need).withColumn("base_failed", _base_failed())
+    judged = saved(with_features(without(docs, own), need).withColumn("base_failed", _base_failed()), "quality-counts")
+    lim = saved(limits(saved(sketches(judged), "quality-sketch"), min_group), "quality-limits").withColumnsRenamed({"lang": "_lang", "source": "_source"})
     x = judged.join(lim, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     fine = " and ".join(f"coalesce({a} * 1000 div nullif({b}, 0) <= max_{m}, true)" for m, a, b, _, _ in HIGH_LIMITS)
     x = x.withColumn("kept", F.expr(f"not base_failed and {fine} and coalesce(word_chars * 1000 div nullif(n_words, 0) >= min_word_length, true)"))
@@ -169,7 +169,7 @@ def _oracle() -> str:
  from (select {keys}metric, bucket, sum(n) over (partition by {keys}metric) as total, sum(n) over (partition by {keys}metric order by bucket) as upto
  from (select {keys}metric, bucket, sum(n)::bigint as n from sk group by {keys}metric, bucket)) group by {keys}metric)"""
     pick = f"case when o.total >= {MIN_GROUP} then o.{{0}} when l.total >= {MIN_GROUP} then l.{{0}} else a.{{0}} end as {{0}}"
-    highs = ", ".join(f"max(case when metric = '{m}' then least({top}, greatest({floor}, q3 + {FENCE} * (q3 - q1))) end) as max_{m}" for m, _, _, floor, top in HIGH_LIMITS)
+    highs = ", ".join(f"max(case when metric = '{m}' then least({top}, q3 + {FENCE} * (q3 - q1) + {more}) end) as max_{m}" for m, _, _, more, top in HIGH_LIMITS)
     fine = " and ".join(f"coalesce(({a} * 1000) // nullif({b}, 0) <= max_{m}, true)" for m, a, b, _, _ in HIGH_LIMITS)
     return rf"""
 with d as (select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as text from documents),
@@ -186,7 +186,7 @@ m as ({metrics}),
 sk as (select lang, source, metric, v - v % (1::bigint << greatest(length(bin(v)) - 6, 0)) as bucket, count(*) as n from m group by all),
 {fence("lang, source, ", "o")}, {fence("lang, ", "l")}, {fence("", "a")},
 lim0 as (select o.lang, o.source, o.metric, {pick.format("q1")}, {pick.format("q3")} from o join l on o.lang is not distinct from l.lang and o.metric = l.metric join a on o.metric = a.metric),
-lim as (select lang, source, {highs}, max(case when metric = 'word_length' then least({LOW_WORD_LENGTH}, q1 - {FENCE} * (q3 - q1)) end) as min_word_length from lim0 group by lang, source)
+lim as (select lang, source, {highs}, max(case when metric = 'word_length' then q1 - {FENCE} * (q3 - q1) - {LOW_TOLERANCE} end) as min_word_length from lim0 group by lang, source)
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_lines::bigint as n_lines, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
  (not base_failed and {fine} and coalesce((word_chars * 1000) // nullif(n_words, 0) >= min_word_length, true)) as kept
 from f left join lim on f.lang is not distinct from lim.lang and f.source is not distinct from lim.source

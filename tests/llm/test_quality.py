@@ -1,3 +1,4 @@
+import math
 import random
 
 import duckdb
@@ -75,3 +76,40 @@ def test_empty_table(spark):
 def test_bucket_keeps_six_bits(spark, v):
     b = spark.sql(f"select {Q._bucket(f'{v}L')} as b").first().b
     assert b <= v and (v == 0 or (v - b) / v < 1 / 32)
+
+
+def test_the_same_text_is_judged_by_its_own_group(spark):
+    """No fixed cutoff gives these verdicts: one text is usual in one source and odd in another."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    text = lambda n: " ".join(word(max(1, n + rng.randint(-2, 2))) for _ in range(100))
+    twelve, symbols = text(12), " ".join(w + "#" * (i % 2) for i, w in enumerate(text(5).split()))
+    data = [(i, text(5), "en", "short") for i in range(250)] + [(1000 + i, text(12), "en", "long") for i in range(250)]
+    data += [(2000 + i, " ".join(w + "#" * (j % 3 == i % 3) for j, w in enumerate(text(5).split())), "en", "code") for i in range(250)]
+    data += [(9001, twelve, "en", "short"), (9002, twelve, "en", "long"), (9003, symbols, "en", "short"), (9004, symbols, "en", "code")]
+    docs = spark.createDataFrame([(f"{s}-{i}", t, lang, s) for i, t, lang, s in data], "doc_id string, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in Q.quality_rules(docs, keep=["doc_id"]).collect()}
+    assert not kept["short-9001"] and kept["long-9002"] and not kept["short-9003"] and kept["code-9004"]
+    assert all(v for k, v in kept.items() if k not in ("short-9001", "short-9003"))
+    lim = {r.source: r for r in Q.limits(Q.sketches(Q.with_features(docs, ["lang", "source"]))).collect()}
+    assert len({r.max_word_length for r in lim.values()}) == 3
+
+
+def test_sketch_quantiles_are_near_exact_ones(spark):
+    rng = random.Random(6)
+    values = {s: [int(rng.lognormvariate(mu, 0.8)) for _ in range(1500)] for s, mu in (("a", 3), ("b", 7))}
+    data = [("en", s, 100, v, 0, 1, 0, 0) for s, vs in values.items() for v in vs]
+    f = spark.createDataFrame(data, "lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
+    got = {r.source: r for r in Q._fences(Q.sketches(f), ["lang", "source"]).where("metric = 'word_length'").collect()}
+    for s, vs in values.items():
+        exact = sorted(v * 1000 // 100 for v in vs)
+        for name, share in (("q1", 0.25), ("q3", 0.75)):
+            true = exact[math.ceil(share * len(exact)) - 1]
+            assert true * (1 - 1 / 32) - 1 <= got[s][name] <= true, (s, name)
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"word{i}" for i in range(400_000))
+    docs = spark.createDataFrame([(1, long, "en", "s"), (2, "too short", "en", "s")], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in Q.quality_rules(docs, keep=["doc_id"]).collect()}
+    assert (got[1].n_words, got[1].n_repeat_words, got[1].base_failed) == (400_000, 0, False) and got[2].base_failed
