@@ -12,6 +12,7 @@ follows it and a page's last paragraphs by what is before them.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -41,19 +42,29 @@ BAD_TAGS = frozenset("nav header footer aside form menu dialog".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE_TAGS = frozenset("article main".split())
+#: Elements whose content is never the article, whatever is in it.
+NOT_AROUND = ("nav", "aside", "footer", "menu", "dialog")
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Words in a class or id that name something that is not main text.
+#: Class names and ids of what is not main text: alone, or joined with words that only say where or in what form.
 BAD_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer header masthead "
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget widgets footer header masthead "
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments "
-    "respond reply replies discussion disqus pagination pager toolbar skip copyright".split()
+    "respond reply replies disqus pagination pager toolbar skip copyright".split()
 )
-#: Names that begin so say that something is near, not what it is.
-NEUTRAL_FIRST = frozenset("has with no without".split())
-NEUTRAL = frozenset([("share", "price"), ("share", "prices")])
+PLAIN_WORDS = frozenset(
+    "area articles bar block body bottom box btn button buttons card cards center col column container content entry fixed form global group header heading icons inline inner item items left link links list main "
+    "message meta mobile outer page panel policy post posts primary right row secondary section site slot small text thread title top unit user wrap wrapper".split()
+)
+#: Names that are bad outside articles; in an article they name a part of it.
+BAD_OUTSIDE = frozenset("discussion".split())
+#: What these name is no article even where it is marked up as one.
+NEVER_ARTICLE = frozenset("comment comments respond reply replies disqus related recommended promo promotion ad ads advert adverts sponsored teaser widget".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(?:^|[\s/\"'])(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Quotes count after an equals sign only, as in browsers.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|(?![\"'])[^\s>]*+))*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"([^\s=>/]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?")
+_NAMED = re.compile(r"class|id|role|hidden", re.I)
+_RAW_END = {name: re.compile(rf"</{name}\s*/?>", re.I) for name in RAW}
 _NAME = re.compile(r"[a-z]+", re.I)
 _WORD = re.compile(r"\w+")
 _SPACE = re.compile(r"\s+")
@@ -66,24 +77,33 @@ ARTICLE_MAX_LINKS = 0.9
 GOOD, BAD, UNDECIDED = 1, -1, 0
 
 
-def _bad_attributes(attrs: str) -> bool:
+def _bad_attributes(attrs: str, article: int) -> tuple[bool, bool]:
+    """Whether attributes name something that is not main text, and whether it is never an article."""
+    bad = never = False
+    if not _NAMED.search(attrs):
+        return bad, never
     for m in _ATTR.finditer(attrs):
         name = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if name == "role":
-            if value.lower() in BAD_ROLES:
-                return True
-        elif name in ("class", "id") and any(map(_bad_name, value.split())):
-            return True
-    return False
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower() in BAD_ROLES):
+            bad = True
+        elif name in ("class", "id"):
+            for words in map(_words_of, value.split()):
+                if _bad_name(words, article):
+                    bad = True
+                    never = never or any(w in NEVER_ARTICLE for w in words)
+    return bad, never
+
+
+def _words_of(name: str) -> list[str]:
+    return [w.lower() for w in _NAME.findall(_CAMEL.sub(" ", name))]
 
 
-def _bad_name(name: str) -> bool:
-    """Whether one class or id names something that is not main text."""
-    words = [w.lower() for w in _NAME.findall(_CAMEL.sub(" ", name))]
-    return bool(words) and words[0] not in NEUTRAL_FIRST and tuple(words) not in NEUTRAL and any(w in BAD_WORDS for w in words)
+def _bad_name(words: list[str], article: int) -> bool:
+    """Whether a class or id, taken whole, names something that is not main text."""
+    if not article and len(words) == 1 and words[0] in BAD_OUTSIDE:
+        return True
+    return any(w in BAD_WORDS for w in words) and all(w in BAD_WORDS or w in PLAIN_WORDS for w in words)
 
 
 class _Block:
@@ -98,10 +118,15 @@ class _Block:
 
 
 def blocks(html: str) -> list[tuple[str, int, bool, int, str]]:
-    """``(text, characters in links, in a bad container, number of its article or 0, innermost element)`` in page order."""
+    """``(text, characters in links, in a bad container, number of its article or 0, innermost element)`` in page order.
+
+    One pass; what an end tag closes is popped once, and an end tag of nothing open costs nothing.
+    """
     out: list[tuple[str, int, bool, int, str]] = []
-    stack: list[tuple[str, bool, int]] = []  # open block-level and skipped elements: (name, bad, article)
-    bad, article, articles = False, 0, 0
+    stack: list[tuple[str, bool, int, bool, bool]] = []  # open block-level and skipped elements: (name, bad, article, skipped, never an article)
+    opened: Counter = Counter()
+    bad, article, skipped, never, articles = False, 0, False, False, 0
+    advert, depth, floor = "", 0, 0  # an inline element that is left out: its name, how many of that name are open, and the stack's height around it
     in_link, in_code, here, at, end = 0, 0, _Block(False, 0), 0, len(html)
 
     def flush() -> None:
@@ -113,11 +138,19 @@ def blocks(html: str) -> list[tuple[str, int, bool, int, str]]:
         here = _Block(bad, article, stack[-1][0] if stack else "")
 
     def add(text: str) -> None:
-        if text and not (stack and stack[-1][0] in SKIPPED):
+        if text and not skipped and not advert:
             here.parts.append(text)
             if in_link:
                 here.links += len(text.strip())
 
+    def close(height: int) -> None:
+        nonlocal bad, article, skipped, never, advert
+        while len(stack) > height:
+            opened[stack.pop()[0]] -= 1
+        bad, article, skipped, never = stack[-1][1:] if stack else (False, 0, False, False)
+        if advert and height < floor:
+            advert = ""
+
     while at < end:
         lt = html.find("<", at)
         if lt < 0:
@@ -134,56 +167,70 @@ def blocks(html: str) -> list[tuple[str, int, bool, int, str]]:
             continue
         name, closing = m[2].lower(), bool(m[1])
         if name in ("br", "hr", "wbr"):
-            if name != "wbr":
+            if name != "wbr" and not advert:
                 here.parts.append(" ")
             if name == "hr":
                 flush()
             continue
-        if name == "a":
-            in_link = 0 if closing else 1
-            continue
-        if name == "code":
-            in_code = 0 if closing else 1
-            continue
+        whole = name in BLOCK_TAGS or name in SKIPPED
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-                    break
+            if name == "a":
+                in_link = 0
+            elif name == "code":
+                in_code = 0
+            if advert == name:
+                depth -= 1
+                if not depth:
+                    advert = ""
+            if whole and opened[name]:
+                height = len(stack) - 1
+                while stack[height][0] != name:
+                    height -= 1
+                close(height)
             if name in BLOCK_TAGS:
                 flush()
             continue
-        if name in VOID or m[3].endswith("/") and name not in BLOCK_TAGS and name not in SKIPPED:
+        if name in VOID or m[3].endswith("/") and not whole:
             continue
-        is_bad = name in BAD_TAGS or _bad_attributes(m[3])
-        if name in BLOCK_TAGS or name in SKIPPED:
+        is_bad, no_article = _bad_attributes(m[3], article)
+        if whole:
             if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th"):  # an open one ends where the next begins
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name or {stack[i][0], name} == {"dt", "dd"} or {stack[i][0], name} == {"td", "th"}:
-                        del stack[i:]
-                        break
-                    if stack[i][0] not in ("p",):
-                        break
-                bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+                ends = {"dt", "dd"} if name in ("dt", "dd") else {"td", "th"} if name in ("td", "th") else {name}
+                height = len(stack)
+                while height and stack[height - 1][0] == "p" and "p" not in ends:
+                    height -= 1
+                if height and stack[height - 1][0] in ends:
+                    close(height - 1)
             elif stack and stack[-1][0] == "p" and name in BLOCK_TAGS:
-                stack.pop()
-                bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            if name in ARTICLE_TAGS and not article:
-                articles += 1
-                article = articles
-            bad = bad or (is_bad and name not in ("body", "html", "article", "main"))
-            stack.append((name, bad, article))
+                close(len(stack) - 1)
+            is_bad = is_bad or name in BAD_TAGS
+            if name in ARTICLE_TAGS:
+                is_bad = no_article and name == "article"
+                if not is_bad and not never and not any(opened[t] for t in NOT_AROUND):
+                    bad = False  # the names of what is around a page's article don't speak for it
+                if not article:
+                    articles += 1
+                    article = articles
+            bad = bad or (is_bad and name not in ("body", "html"))
+            never = never or no_article
+            skipped = skipped or name in SKIPPED
+            stack.append((name, bad, article, skipped, never))
+            opened[name] += 1
             if name in BLOCK_TAGS:
                 in_link = in_code = 0
                 flush()
             if name in RAW and not (m[3].endswith("/") and name not in ("script", "style")):
-                close = re.compile(rf"</{name}\s*/?>", re.I).search(html, at)
-                at = close.start() if close else end
-        elif is_bad and not in_code and not any(x[0] == "pre" for x in stack):  # an inline element, such as a span, set apart as an advert; in code, colours
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-            if close:
-                at = close.end()
+                stop = _RAW_END[name].search(html, at)
+                at = stop.start() if stop else end
+            continue
+        if advert == name:
+            depth += 1
+        elif is_bad and not advert and not in_code and not opened["pre"]:  # set apart inside a line, as an advert; in code, a colour
+            advert, depth, floor = name, 1, len(stack)
+        if name == "a":
+            in_link = 1
+        elif name == "code":
+            in_code = 1
     flush()
     return out
 
@@ -207,30 +254,35 @@ def classify(found: list[tuple[str, int, bool, int, str]]) -> list[bool]:
         else:
             label = UNDECIDED if article or stop >= STOP_LOW else BAD
         labels.append(label)
-    out = []
-    n = len(found)
-    before = [BAD] * n  # of the nearest decided block before; an article's own border is good
-    for i in range(n):
-        same = i and found[i - 1][3] == found[i][3]
-        own = [GOOD if found[i][3] else BAD, *((labels[i - 1] or before[i - 1],) if same or not found[i][3] and i else ())][-1]
-        before[i] = GOOD if found[i][3] and i and found[i - 1][2] and not found[i][2] and own == BAD else own
-    after = [BAD] * n
-    for i in range(n - 1, -1, -1):
-        same = i + 1 < n and found[i + 1][3] == found[i][3]
-        own = [GOOD if found[i][3] else BAD, *((labels[i + 1] or after[i + 1],) if same or not found[i][3] and i + 1 < n else ())][-1]
-        after[i] = GOOD if found[i][3] and i + 1 < n and found[i + 1][2] and not found[i][2] and own == BAD else own
+    if GOOD not in labels and not some_article:  # a page of short paragraphs only: nothing decided to inherit from
+        labels = [GOOD if label == UNDECIDED and found[i][4] in ("p", *HEADINGS) and not found[i][1] else label for i, label in enumerate(labels)]
+    before, after = _nearest(found, labels, range(len(found))), _nearest(found, labels, range(len(found) - 1, -1, -1))
     last = max((i for i, label in enumerate(labels) if label and not found[i][2]), default=-1)  # decided by its own text
+    out = []
     for i, label in enumerate(labels):
-        if label == UNDECIDED:
-            # both sides, or one side for headings and last lines; in an article a good side is enough
-            both = before[i] == GOOD and after[i] == GOOD
-            good = (before[i] == GOOD or after[i] == GOOD) if found[i][3] else both or (after[i] == GOOD and found[i][4] in HEADINGS)
-            good = good or (not found[i][3] and before[i] == GOOD and found[i][4] == "p" and i > last)
-            label = GOOD if good else BAD
+        if label == UNDECIDED and found[i][3]:  # in an article one good side is enough
+            label = max(before[i], after[i])
+        elif label == UNDECIDED:
+            # both sides; a heading goes by what follows it, and a page's last paragraphs by what is before them
+            label = after[i] if found[i][4] in HEADINGS else before[i] if found[i][4] == "p" and i > last else min(before[i], after[i])
         out.append(label == GOOD)
     return out
 
 
+def _nearest(found: list[tuple[str, int, bool, int, str]], labels: list[int], order: range) -> list[int]:
+    """The label of each block's nearest decided neighbour in an order; an article's border is good, a page's bad.
+
+    What stands apart inside an article, such as an advert, doesn't speak for its neighbours.
+    """
+    out, seen = [0] * len(found), {}
+    for i in order:
+        article = found[i][3]
+        out[i] = seen.get(article, GOOD if article else BAD)
+        if labels[i] and not (article and found[i][2]):
+            seen[article] = labels[i]
+    return out
+
+
 def main_text(html: str | None) -> str:
     """Main text of one page: its good blocks, one a line."""
     if not html:
@@ -244,8 +296,8 @@ def extract_pages(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     Each row is read whole and on its own, so nothing is shuffled. Nulls: a null html is an
     empty page with an empty text. Repeated rows give repeated results, an empty table an empty
-    one. Broken markup (open elements, stray tags, cut references) is read as browsers do. Input
-    columns named like a result are replaced.
+    one. Broken markup (open elements, stray tags, stray quotes, cut references) is read as browsers do, a page of any length
+    in one pass. Input columns named like a result are replaced.
     """
     own = ["text", "n_chars"]
     keep = [c for c in (pages.columns if keep is None else keep) if c.lower() not in (*own, "html")]

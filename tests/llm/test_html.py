@@ -1,3 +1,5 @@
+import time
+
 from nextdist.llm import html as H
 
 
@@ -45,3 +47,59 @@ def test_table(spark):
     rows = H.extract_pages(df).collect()
     assert sorted((r.page_id, r.text, r.n_chars) for r in rows) == [(1, "Ää", 2), (1, "Ää", 2), (2, "", 0)]
     assert H.extract_pages(df.limit(0)).collect() == []
+
+
+GOOD = "This is the text of the page and it has a lot of the words that are in every text of a language. " * 3
+
+
+def test_names_around_and_inside_an_article():
+    body = "<p>One.</p><p>Two.</p>"
+    for page in (
+        f"<div class='layout has-sidebar'><article>{body}</article></div>",
+        f'<div id="page" class="no-header"><main>{body}</main></div>',
+        f"<div class='page sidebar-left'><div class=header><article>{body}</article></div></div>",
+        f"<form id=aspnetForm><main>{body}</main></form>",
+        f"<header>Site</header><article class='post comment-status-open'>{body}</article><div class=comments><article class=comment>{body}</article></div>",
+    ):
+        assert H.main_text(page) == "One.\nTwo.", page
+    assert H.main_text("<nav><article>no</article></nav>") == ""
+    inside = "<section class=discussion><p>a</p></section><h2 id=related-work>b</h2><p class=comment-free>c</p><div class=ad-banner>d</div><div id=relatedPosts>e</div><div class='share-buttons'>f</div><p>g</p>"
+    assert H.main_text(f"<article>{inside}</article>") == "a\nb\nc\ng"
+
+
+def test_inline_adverts_and_attributes():
+    assert H.main_text("<article><p>x <a class='advert' href=y>Buy now</a> z</article>") == "x z"
+    assert H.main_text("<article><p>x <span class=ad><span>Buy</span> our things now</span> z</article>") == "x z"
+    assert H.main_text("<article><p>x <span class=ad>Buy</p><p>y</article>") == "x\ny"
+    assert H.main_text("<article><p title=don't>One</p><p data-x='a>b' class=\"x\">Two</p><p title=\"class = ad\">Three</p></article>") == "One\nTwo\nThree"
+    assert H.main_text("<article><template><p>no</p></template><p>yes</p></article>") == "yes"
+
+
+def test_each_rule_changes_a_label():
+    """Pages without an article: stop words, length, links and neighbours each decide."""
+    plain = "zzz yyy xxx www vvv uuu ttt sss rrr qqq ppp ooo nnn mmm lll kkk jjj iii hhh ggg fff eee ddd ccc bbb"
+    assert H.main_text(f"<div>{GOOD}</div><div>{plain}</div><div>{GOOD}</div>").count(plain) == 0  # hardly a stop word
+    some = plain + " the of and"  # a tenth: undecided when short, good when long
+    assert H.main_text(f"<div>{some}</div>") == ""
+    assert H.main_text(f"<div>{' '.join([some] * 3)}</div>") == " ".join([some] * 3)
+    assert H.main_text(f"<div>{GOOD}</div><div>{some}</div><div>{GOOD}</div>").split("\n")[1] == some  # good on both sides
+    assert H.main_text(f"<div>{GOOD}</div><div>{some}</div><div>{plain}</div>").split("\n") == [GOOD.strip()]  # the nearest after is bad
+    assert H.main_text(f"<div><a href=x>{GOOD}</a></div><div>{GOOD}</div>") == GOOD.strip()  # links
+    assert H.main_text(f"<div>{GOOD}</div><div>Short.</div><div>{GOOD}</div>").split("\n")[1] == "Short."
+    assert H.main_text("<p>Only a short paragraph.</p>") == "Only a short paragraph."
+    assert H.main_text("<ul><li><a href=a>Home</a><li>About</ul>") == ""
+
+
+def test_time_is_linear_in_stray_tags():
+    began = time.time()
+    assert H.main_text("<article>" + "<div>" * 20_000 + "</p></span></b>" * 20_000 + "x" + "</table>" * 20_000) == "x"
+    H.main_text("<article>" + "<span class=ad>" * 30_000 + "x" * 30_000)
+    H.main_text("<article><p>x</p>" + "<script>" * 20_000)
+    H.main_text("<p a=' " * 30_000)
+    assert time.time() - began < 12
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "<article>a</article>", "x", 5)], "page_id long, html string, text string, n_chars int")
+    row = H.extract_pages(df).first()
+    assert (row.text, row.n_chars) == ("a", 1)
