@@ -9,6 +9,7 @@ unknown rates stay distributed, and a round sends one residual per domain to the
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,20 +19,21 @@ from .common import discard, saved, without
 #: Domains of the labelled table, as SQL over its columns.
 DOMAINS = {"good": "quality = 1 and toxic = 0", "low": "quality = 0 and toxic = 0", "toxic": "toxic = 1"}
 TARGETS = {"good": 0.95, "low": 0.045, "toxic": 0.005}
-#: Labelled documents used for fitting at most, and words that the classifier keeps at most.
+#: Labelled documents used for fitting at most.
 MAX_FIT = 40_000
-MAX_WORDS = 4096
+#: A classifier of up to this many words (some 50 bytes each) is sent to every task; a larger one is joined by a shuffle.
+BROADCAST_WORDS = 200_000
 MIN_DOCS = 5
 #: A word is kept when its documents in some domain are this many standard errors over their share.
 MIN_TELLS = 5.0
 SMOOTH = 0.5
 #: A document's evidence is at most this, so that posteriors stay soft.
 MAX_LOGIT = 12.0
-ROUNDS = 60
+#: Rounds at most; :func:`target_report` and a warning say when they did not do.
+ROUNDS = 120
 CLOSE = 1e-6
 #: Rounds after which the rates so far are written, to keep expressions short.
 WRITE_EVERY = 12
-OWN = ["n_tokens", "rate", "copies"]
 _SPLIT = r"[ \t\n\x0b\x0c\r]+"
 _BLANKS = " \t\n\x0b\x0c\r"
 
@@ -58,12 +60,12 @@ def labelled(labels: DataFrame) -> DataFrame:
     return x.groupBy("doc_id").agg(F.max("domain").alias("domain"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_words: int = MAX_WORDS) -> DataFrame:
+def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> DataFrame:
     """Naive Bayes over word presence and absence: ``(word, w_<domain>...)``.
 
     Fitted on at most about ``max_fit`` labelled documents, chosen by their ids' hash. Only words that are
-    more frequent in a domain other than the first than chance explains are kept, ``max_words`` at most, so the table
-    is small by construction, and a short text that lacks them is one of the first domain. The word `` bias`` has the priors and what the absence of all words says.
+    more frequent in a domain other than the first than chance explains are kept, so a short text that lacks them
+    is one of the first domain. The word `` bias`` has the priors and what the absence of all words says.
     """
     lab = labelled(labels)
     n = lab.count()
@@ -80,7 +82,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_words: i
     every = max(1, sum(size.values()))
     odd = {d: (F.col(d) - F.col("n") * (size[d] / every)) / F.sqrt(F.col("n") * (size[d] / every) * (1 - size[d] / every) + 1) for d in DOMAINS}
     w = by_word.where("word <> ' bias'").withColumn("tells", F.greatest(*list(odd.values())[1:], F.lit(0.0))).where(f"tells >= {MIN_TELLS}")
-    w = w.orderBy(F.desc("tells"), "word").limit(max_words)
     p = {d: (F.col(d) + SMOOTH) / (size[d] + 2 * SMOOTH) for d in DOMAINS}
     w = saved(w.select("word", *[F.log(p[d] / (1 - p[d])).alias(f"w_{d}") for d in DOMAINS], *[F.log(1 - p[d]).alias(f"a_{d}") for d in DOMAINS]), "mix-weights")
     absent = w.agg(*[F.sum(f"a_{d}").alias(d) for d in DOMAINS]).first()
@@ -90,9 +91,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_words: i
 
 
 def posteriors(docs: DataFrame, weights: DataFrame) -> DataFrame:
-    """``(_row, doc_id, n_tokens, p_<domain>...)`` for every row of ``docs``."""
-    x = features(docs.withColumn("_row", F.monotonically_increasing_id()), ["_row", "doc_id"])
-    hits = x.select("_row", "doc_id", "n_tokens", F.explode_outer("words").alias("word")).join(F.broadcast(weights), "word")  # at most MAX_WORDS rows
+    """``(_row, doc_id, n_tokens, p_<domain>...)`` for every row of ``docs(_row, doc_id, text)``."""
+    x = features(docs, ["_row", "doc_id"])
+    small = weights.count() <= BROADCAST_WORDS
+    hits = x.select("_row", "doc_id", "n_tokens", F.explode_outer("words").alias("word")).join(F.broadcast(weights) if small else weights, "word")
     got = hits.groupBy("_row", "doc_id", "n_tokens").agg(*[F.sum(f"w_{d}").alias(f"z_{d}") for d in DOMAINS])
     top = F.greatest(*[F.col(f"z_{d}") for d in DOMAINS])
     e = {d: F.exp(F.greatest(F.col(f"z_{d}") - top, F.lit(-MAX_LOGIT))) for d in DOMAINS}
@@ -105,7 +107,8 @@ def fit_rates(post: DataFrame, targets: dict[str, float] = TARGETS, rounds: int
 
     A document's coordinate is scaled by its length, which makes one the right step width (the
     largest eigenvalue of the scaled problem). Targets are shares; the first domain's target is its natural
-    total, so that its documents keep a rate near one. A domain that has no tokens is left out.
+    total, so that its documents keep a rate near one. A domain that has no tokens is left out. Warns
+    when the rounds end before the targets are met within ``CLOSE``.
     """
     names = list(DOMAINS)
     natural = post.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in names]).first()
@@ -114,7 +117,7 @@ def fit_rates(post: DataFrame, targets: dict[str, float] = TARGETS, rounds: int
     budget = natural[names[0]] / targets[names[0]]
     want = {d: targets[d] * budget for d in live}
     base, rate = post.withColumn("rate", F.lit(1.0)), F.col("rate")
-    last = math.inf
+    last = worst = math.inf
     for k in range(1, rounds + 1):
         now = base.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}") * rate).alias(d) for d in live]).first() if live else {}
         gap = {d: (now[d] - want[d]) / natural[d] for d in live}
@@ -129,22 +132,38 @@ def fit_rates(post: DataFrame, targets: dict[str, float] = TARGETS, rounds: int
             if k > WRITE_EVERY:
                 discard(base)
             base, rate = new, F.col("rate")
+    if worst >= CLOSE:
+        warnings.warn(f"targets are not met: after {k} rounds a domain is off by {worst:.3g} of its natural total", stacklevel=2)
     return base.withColumn("rate", F.round(rate, 9))
 
 
+def target_report(rates: DataFrame, targets: dict[str, float] = TARGETS, close: float = 1e-3) -> DataFrame:
+    """``(domain, natural, target, expected, met)``: token totals of ``rates`` before and after, and whether the target is met within ``close``."""
+    first = next(iter(DOMAINS))
+    sums = rates.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}") * w).alias(f"{k}_{d}") for d in DOMAINS for k, w in (("natural", F.lit(1.0)), ("expected", F.col("rate")))])
+    rows = [
+        F.struct(F.lit(d).alias("domain"), F.coalesce(f"natural_{d}", F.lit(0.0)).alias("natural"), F.coalesce(F.col(f"natural_{first}") * (targets[d] / targets[first]), F.lit(0.0)).alias("target"), F.coalesce(f"expected_{d}", F.lit(0.0)).alias("expected"))
+        for d in DOMAINS
+    ]
+    return sums.select(F.inline(F.array(*rows))).withColumn("met", F.abs(F.col("expected") - F.col("target")) <= close * F.greatest("natural", F.lit(1.0)))
+
+
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """``(_row, doc_id, n_tokens, p_<domain>..., rate, copies)`` for every row of ``docs(doc_id, text)``.
+    """``(doc_id, n_tokens, p_<domain>..., rate, copies)`` for every row of ``docs(doc_id, text)``.
 
-    ``copies`` is the rate's whole part, plus one with the chance of the rest, drawn from the id's hash. ``_row`` is
-    ``monotonically_increasing_id`` of ``docs``, which must be read from files.
+    ``copies`` is the rate's whole part, plus one with the chance of the rest, drawn from the id's hash.
 
     Nulls: a null text is empty: no tokens, and the posterior of its shape; a null ``doc_id``
     is never a labelled one and gets a rate. Repeated rows get a rate each, the same. No labels: all posteriors are equal. An
-    empty table gives an empty result. Other input columns are ignored.
+    empty table gives an empty result. Other input columns are ignored. Texts of any length are read whole.
     """
-    docs = without(docs, ["_row", "domain", *OWN]).select("doc_id", "text")
-    weights = fit(docs, labels)
-    post = saved(posteriors(docs, weights), "mix-posteriors")
+    return _rates(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row")), labels, targets).drop("_row")
+
+
+def _rates(rows: DataFrame, labels: DataFrame, targets: dict[str, float]) -> DataFrame:
+    rows = rows.select("_row", "doc_id", "text")
+    weights = fit(rows, labels)
+    post = saved(posteriors(rows, weights), "mix-posteriors")
     rates = fit_rates(post, targets)
     draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     whole = F.floor("rate")
@@ -152,8 +171,13 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """``docs`` with each row as often as its ``copies`` say; columns are unchanged."""
-    cols = [F.col(f"`{c}`") for c in docs.columns if c != "_row"]
-    rates = mixing_rates(docs, labels, targets).select("_row", "copies").where("copies > 0")
-    x = docs.withColumn("_row", F.monotonically_increasing_id()).join(rates, "_row")
-    return x.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*cols)
+    """``docs`` with each row as often as its ``copies`` say; columns are unchanged.
+
+    Rows are numbered once and written with their numbers, so that a second scan can't mix them up. Nulls, repeated
+    rows and empty tables are as in :func:`mixing_rates`; a column ``_row`` of the input is not returned.
+    """
+    docs = without(docs, ["_row"])
+    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    rates = _rates(rows, labels, targets).select("_row", "copies").where("copies > 0")
+    x = rows.join(rates, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return x.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,6 +1,8 @@
+import math
 import random
 
 import numpy as np
+import pytest
 
 from nextdist.llm import mixing as M
 
@@ -69,3 +71,83 @@ def test_no_labels_and_empty_tables(spark):
     assert len(rows) == 2 and all(abs(r.p_good - 1 / 3) < 1e-6 for r in rows)
     assert M.mixing_rates(df.limit(0), lab).collect() == []
     assert M.mixed(df, lab).columns == df.columns
+
+
+def brute_posteriors(docs, labels):
+    """Bernoulli naive Bayes in plain Python, words chosen by the same test."""
+    blanks = " \t\n\x0b\x0c\r"
+
+    def words(text):
+        low = "".join(" " if c in blanks else c for c in (text or "").lower())
+        w = [x for x in low.split(" ") if x]
+        n, d, s = len(w), len(set(w)), sum((text or "").count(c) for c in "#*$%&|<>")
+        variety = "short" if n < 20 else str(10 * d // max(1, n))
+        symbols = "none" if n == 0 else str(math.ceil(math.log2(1 + 64 * s / n) - 1e-12))
+        return n, {*w, " variety " + variety, " symbols " + symbols}
+
+    kinds = list(M.DOMAINS)
+    domain = {}
+    for i, q, t in labels:
+        d = None if i is None else "toxic" if t == 1 else "good" if q == 1 and t == 0 else "low" if q == 0 and t == 0 else None
+        if d is not None:
+            domain[i] = max(d, domain.get(i, d))
+    size, count = dict.fromkeys(kinds, 0), {}
+    for i, text, *_ in docs:
+        if i in domain:
+            size[domain[i]] += 1
+            for w in words(text)[1]:
+                count.setdefault(w, dict.fromkeys(kinds, 0))[domain[i]] += 1
+    every = max(1, sum(size.values()))
+    kept = {}
+    for w, c in count.items():
+        n = sum(c.values())
+        tells = max((c[d] - n * size[d] / every) / math.sqrt(n * size[d] / every * (1 - size[d] / every) + 1) for d in kinds[1:])
+        if n >= M.MIN_DOCS and tells >= M.MIN_TELLS:
+            kept[w] = {d: (c[d] + M.SMOOTH) / (size[d] + 2 * M.SMOOTH) for d in kinds}
+    out = []
+    for _, text, *_ in docs:
+        n, has = words(text)
+        z = {d: math.log((size[d] + M.SMOOTH) / (every + len(kinds) * M.SMOOTH)) + sum(math.log(p[d] if w in has else 1 - p[d]) for w, p in kept.items()) for d in kinds}
+        e = {d: math.exp(max(z[d] - max(z.values()), -M.MAX_LOGIT)) for d in kinds}
+        out.append((n, *[e[d] / sum(e.values()) for d in kinds]))
+    return out
+
+
+def test_posteriors_match_naive_bayes_in_python(spark):
+    docs, labels = corpus(400, 8)
+    docs += [(5000, None, ""), (5001, "", ""), (None, "nasty vile", ""), (5002, "Nasty\x0bVILE\t" * 500, "")]
+    got = M.mixing_rates(spark.createDataFrame(docs, "doc_id long, text string, rate string").coalesce(1), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    key = lambda r: (r[0] is None, r[0] or 0)
+    rows = sorted(got.collect(), key=key)
+    want = [b for _, b in sorted(zip(docs, brute_posteriors(docs, labels), strict=True), key=lambda x: key(x[0]))]
+    for r, (n, *p) in zip(rows, want, strict=True):
+        assert r.n_tokens == n
+        assert max(abs(a - b) for a, b in zip((r.p_good, r.p_low, r.p_toxic), p, strict=True)) < 1e-8, r
+    assert all(r.met for r in M.target_report(got).collect())
+
+
+def test_unmet_targets_are_reported(spark):
+    post = spark.createDataFrame([(0, 0, 10, 0.5, 0.5, 0.0), (1, 1, 10, 0.5, 0.5, 0.0)], "_row long, doc_id long, n_tokens long, p_good double, p_low double, p_toxic double")
+    with pytest.warns(UserWarning, match="not met"):
+        rates = M.fit_rates(post)
+    assert {r.domain: r.met for r in M.target_report(rates).collect()}["low"] is False
+
+
+def test_a_change_of_splits_between_scans_mixes_no_rows(spark, tmp_path, monkeypatch):
+    docs, labels = corpus(300, 4)
+    spark.createDataFrame(docs, "doc_id long, text string, kind string").repartition(8).write.parquet(str(tmp_path / "d"))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    want = sorted(map(tuple, M.mixed(spark.read.parquet(str(tmp_path / "d")), lab).collect()))
+    calls, real = [], M.saved
+
+    def saved(df, *a, **k):
+        calls.append(1)
+        spark.conf.set("spark.sql.files.minPartitionNum", 4 if len(calls) % 2 else 40)
+        return real(df, *a, **k)
+
+    monkeypatch.setattr(M, "saved", saved)
+    try:
+        got = sorted(map(tuple, M.mixed(spark.read.parquet(str(tmp_path / "d")), lab).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert got == want
