@@ -41,11 +41,11 @@ def op5_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.training_order(table(spark, sf_dir, "documents")).drop("ids")
+    return shards.training_order(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("_row")
+    return mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {

@@ -1,8 +1,10 @@
-"""Training-order materialisation: fixed-stride shards in a keyed random order.
+"""Training-order materialisation: fixed-stride files in a keyed random order.
 
 Sequences are numbered, and a keyed Feistel permutation with cycle-walking gives each
-number its slot in [0, n). Slot ranges are shards: rows of one fixed size in slot order, so a reader finds slot s
-in shard s // per_shard at byte (s % per_shard) * stride, and can stop and resume anywhere.
+number its slot in [0, n). Slot ranges are shards, one raw file each: records of one fixed size in slot order and nothing
+else. A reader finds slot s in file s // per_shard at byte (s % per_shard) * stride, reads on from there, and can stop
+and resume anywhere. Files are written by Spark's text writer, which puts bytes down as they are, on any file system
+that Spark knows, and whose committer makes a lost task's file appear once; the line feed after a record is its last byte.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -21,11 +24,20 @@ from .common import discard, saved, shared_dir
 from .tokens import encoder, tokenizer_path
 
 SEQUENCE = 512
-PER_SHARD = 2048
+PER_SHARD = 16_384
 END_ID = 2
 KEY = 20240229
 ROUNDS = 6
-SHARD_SCHEMA = "shard long, first_slot long, n int, stride int, data binary, doc_ids array<long>, nths array<int>, lengths array<int>"
+
+
+def record(length: int = SEQUENCE, width: int = 2) -> np.dtype:
+    """A record of a shard file, as numpy reads or maps it: header, ids padded with zeros, line feed."""
+    return np.dtype([("has_id", "u1"), ("doc_id", "<i8"), ("nth", "<i4"), ("length", "<i4"), ("ids", f"<u{width}", (length,)), ("end", "u1")])
+
+
+def id_width(path: str) -> int:
+    """Bytes of an id: two where the vocabulary fits them, else four."""
+    return 2 if len(encoder(path).ends) <= 1 << 16 else 4
 
 
 def _mix(x: np.ndarray, key: np.uint64) -> np.ndarray:
@@ -55,100 +67,103 @@ def feistel_slots(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUND
     return x.astype(np.int64)
 
 
-def sequences(docs: DataFrame, path: str, length: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """Token ids of each document and an end id, cut into rows of ``length`` 16-bit ids, the last one padded with zeros."""
+def sequences(docs: DataFrame, path: str, length: int = SEQUENCE, end_id: int = END_ID, width: int = 2) -> DataFrame:
+    """``(part, idx, data)``: token ids of each document and an end id, cut into records of ``length`` ids, the last one padded.
+
+    ``data`` is a :func:`record` without its line feed. An id that ``width`` bytes do not hold is an error.
+    """
     end = np.array([end_id], dtype="<u4").tobytes()
+    kind = record(length, width)
+    size = kind.itemsize - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, at = encoder(path), TaskContext.get().partitionId(), 0
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
-                cols: list[list] = [[], [], [], []]
-                for doc, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
-                    x = np.frombuffer(ids + end, dtype="<u4").astype("<u2")
-                    raw = x.tobytes() + b"\0" * (-len(x) % length * 2)
-                    for k in range(0, len(x), length):
-                        for c, v in zip(cols, (doc, k // length, min(length, len(x) - k), raw[2 * k : 2 * (k + length)]), strict=True):
-                            c.append(v)
-                n = len(cols[0])
-                where = [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))]
+                ids = [np.frombuffer(x + end, dtype="<u4") for x in enc.encode(b.column(1).to_pylist())]
+                n_ids = np.array([len(x) for x in ids])
+                rows = -(-n_ids // length)
+                first = np.cumsum(rows) - rows
+                n = int(rows.sum())
+                flat = np.zeros(n * length, "<u4")
+                for x, k in zip(ids, (first * length).tolist(), strict=True):
+                    flat[k : k + len(x)] = x
+                if flat.max() >= 1 << 8 * width:
+                    raise ValueError(f"token id {flat.max()} does not fit {width} bytes")
+                doc = np.repeat(np.arange(len(ids)), rows)
+                out = np.zeros(n, kind)
+                known = b.column(0).is_valid().to_numpy(zero_copy_only=False)
+                out["has_id"], out["doc_id"] = known[doc], b.column(0).fill_null(0).to_numpy(zero_copy_only=False)[doc]
+                out["nth"] = np.arange(n) - first[doc]
+                out["length"] = np.minimum(length, n_ids[doc] - out["nth"] * length)
+                out["ids"] = flat.reshape(n, length)
+                raw = np.ascontiguousarray(out.view("u1").reshape(n, size + 1)[:, :size])
+                data = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype="<i4") * np.int32(size)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n)), data], ["part", "idx", "data"])
                 at += n
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([*where, *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], ["part", "idx", "doc_id", "nth", "length", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "part int, idx long, doc_id long, nth int, length int, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "part int, idx long, data binary")
 
 
 def write_shards(seqs: DataFrame, path: str, key: int = KEY, per_shard: int = PER_SHARD) -> int:
     """Write ``seqs`` (written frame of :func:`sequences`) to ``path`` in permuted order; returns how many there are.
 
-    A shard is one row of the Parquet table, with its bytes in ``data``; Spark's committer
-    makes a lost task's output appear once. Shards are range-partitioned, so files are in slot order.
+    File ``part-<k>`` holds slots ``k * per_shard`` and on; a shard is one task's partition.
     """
-    before, n = {}, 0
+    spark = seqs.sparkSession
+    before, n = [], 0
     for part, rows in sorted(seqs.groupBy("part").agg(F.count("*")).collect()):  # one row per partition
-        before[part], n = n, n + rows
+        before.append((part, n))
+        n += rows
+    start = spark.createDataFrame(before, "part int, start long")
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            part = b.column(0).to_numpy()
-            start = np.array([before[p] for p in part.tolist()], np.int64) if len(part) else np.empty(0, np.int64)
-            slot = feistel_slots(start + b.column(1).to_numpy(), n, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), *b.columns[2:]], ["shard", "slot", "doc_id", "nth", "length", "ids"])
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(shard: int, got: list[tuple]) -> pa.RecordBatch:
-            slots, docs, nths, lengths, ids = zip(*got, strict=True)
-            cols = [[shard], [slots[0]], [len(got)], [len(ids[0])], [b"".join(ids)], [docs], [nths], [lengths]]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["shard", "first_slot", "n", "stride", "data", "doc_ids", "nths", "lengths"])
-
-        now, got = None, []
-        for b in batches:
-            for shard, *rest in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if shard != now and got:
-                    yield row(now, got)
-                    got = []
-                now = shard
-                got.append(tuple(rest))
-        if got:
-            yield row(now, got)
+    @F.pandas_udf("long")
+    def slot(number: pd.Series) -> pd.Series:
+        return pd.Series(feistel_slots(number.to_numpy(), n, key))
 
-    spark = seqs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // (per_shard * 64)))
-    placed = seqs.mapInArrow(place, "shard long, slot long, doc_id long, nth int, length int, ids binary")
-    placed = placed.repartitionByRange(parts, "shard").sortWithinPartitions("shard", "slot")
-    placed.mapInArrow(build, SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
+    placed = seqs.join(F.broadcast(start), "part").select(slot(F.col("start") + F.col("idx")).alias("slot"), "data")  # one row per partition
+    placed = placed.repartitionById(max(1, -(-n // per_shard)), F.expr(f"cast(slot div {per_shard} as int)")).sortWithinPartitions("slot")
+    placed.select(F.col("data").cast("string").alias("value")).write.option("compression", "none").text(path)
     return n
 
 
-def read_shards(spark: SparkSession, path: str, from_slot: int = 0, per_shard: int = PER_SHARD) -> DataFrame:
-    """One row per sequence from ``from_slot`` on; whole shards before it are not read."""
-    shards = spark.read.schema(SHARD_SCHEMA).parquet(path).where(F.col("shard") >= from_slot // per_shard)
+def read_shards(spark: SparkSession, path: str, from_slot: int = 0, per_shard: int = PER_SHARD, length: int = SEQUENCE, width: int = 2, with_ids: bool = True) -> DataFrame:
+    """One row per sequence from ``from_slot`` on; files before it are not read."""
+    kind = record(length, width)
+    shard = F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("long")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = files.where(shard >= from_slot // per_shard).select(shard.alias("shard"), "content")
+    names = ["slot", "shard", "byte_offset", "doc_id", "nth", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in range(b.num_rows):
-                shard, first, n, stride, data, docs, nths, lengths = (c[r].as_py() for c in b.columns)
-                rows = [memoryview(data)[i * stride : i * stride + 2 * k] for i, k in enumerate(lengths)]
-                crc = [zlib.crc32(x) for x in rows]
-                cols = [np.arange(first, first + n), np.full(n, shard), np.arange(n) * stride, docs, nths, lengths, crc]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], pa.array([bytes(x) for x in rows], pa.binary())], ["slot", "shard", "byte_offset", "doc_id", "nth", "n_tokens", "ids_crc32", "ids"])
+            for shard, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if not len(content.as_buffer()):
+                    continue
+                x = np.frombuffer(content.as_buffer(), kind)
+                for lo in range(max(0, from_slot - shard * per_shard), len(x), 4096):
+                    y = x[lo : lo + 4096]
+                    at = np.arange(lo, lo + len(y))
+                    rows = [r[:k].tobytes() for r, k in zip(y["ids"], y["length"].tolist(), strict=True)]
+                    cols = [pa.array(shard * per_shard + at), pa.array(np.full(len(y), shard)), pa.array(at * kind.itemsize), pa.array(y["doc_id"].copy(), mask=y["has_id"] == 0), pa.array(y["nth"].copy()), pa.array(y["length"].copy()), pa.array([zlib.crc32(r) for r in rows], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*cols, *([pa.array(rows, pa.binary())] if with_ids else [])], names)
 
-    return shards.mapInArrow(run, "slot long, shard long, byte_offset long, doc_id long, nth int, n_tokens int, ids_crc32 long, ids binary").where(F.col("slot") >= from_slot)
+    return files.mapInArrow(run, "slot long, shard long, byte_offset long, doc_id long, nth int, n_tokens int, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 
-def training_order(docs: DataFrame, path: str | None = None, length: int = SEQUENCE, per_shard: int = PER_SHARD, key: int = KEY, to: str | None = None) -> DataFrame:
-    """Tokenize ``docs(doc_id, text)``, write its sequences as shards to ``to``, and read them back.
+def training_order(docs: DataFrame, path: str | None = None, length: int = SEQUENCE, per_shard: int = PER_SHARD, key: int = KEY, to: str | None = None, with_ids: bool = True) -> DataFrame:
+    """Tokenize ``docs(doc_id, text)``, write its sequences as shard files to ``to``, and read them back.
 
     Nulls: a null text is empty, and its sequence has the end id alone; a null ``doc_id``
-    is kept. Repeated rows have sequences of their own. An empty table writes no shard. Other input columns are ignored.
+    is kept. Repeated rows have sequences of their own. An empty table writes an empty file. Other input columns are ignored.
+    Texts of any length are read whole. Ids take two bytes, or four where the vocabulary needs them.
     """
     spark = docs.sparkSession
+    path = path or tokenizer_path()
     to = to or f"{shared_dir(spark)}/nextdist/shards-{uuid.uuid4().hex}"
-    seqs = saved(sequences(docs, path or tokenizer_path(), length), "shards-sequences", "zstd")
+    width = id_width(path)
+    seqs = saved(sequences(docs, path, length, width=width), "shards-sequences", "zstd")
     write_shards(seqs, to, key, per_shard)
     discard(seqs)
-    return read_shards(spark, to, 0, per_shard)
+    return read_shards(spark, to, 0, per_shard, length, width, with_ids)

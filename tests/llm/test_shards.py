@@ -25,7 +25,7 @@ def test_round_trip_and_resume(spark, tmp_path):
     to = str(tmp_path / "out")
     got = S.training_order(spark.read.parquet(str(tmp_path / "in")), length=64, per_shard=16, to=to).collect()
     assert sorted(r.slot for r in got) == list(range(len(got)))
-    assert all(r.shard == r.slot // 16 and r.byte_offset == r.slot % 16 * 128 for r in got)
+    assert all(r.shard == r.slot // 16 and r.byte_offset == r.slot % 16 * S.record(64).itemsize for r in got)
     tok = Tokenizer.from_file(tokens.tokenizer_path())
     want = []
     for d, t, *_ in rows:
@@ -33,11 +33,37 @@ def test_round_trip_and_resume(spark, tmp_path):
         want += [(repr(d), k // 64, ids[k : k + 64].tobytes()) for k in range(0, len(ids), 64)]
     assert sorted((repr(r.doc_id), r.nth, bytes(r.ids)) for r in got) == sorted(want)
     assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in got)
-    later = S.read_shards(spark, to, 37, 16).collect()
+    later = S.read_shards(spark, to, 37, 16, 64).collect()
     assert sorted(r.slot for r in later) == list(range(37, len(got)))
-    raw = spark.read.parquet(to).where("shard = 2").first()
+    # without Spark: seek in the file of slots 32 to 47, or map it
+    (name,) = (tmp_path / "out").glob("part-00002-*")
+    kind = S.record(64)
     row = next(r for r in got if r.slot == 33)
-    assert raw.data[raw.stride : raw.stride + len(row.ids)] == row.ids
+    with open(name, "rb") as f:
+        f.seek(row.byte_offset)
+        one = np.frombuffer(f.read(kind.itemsize), kind)[0]
+    assert one["ids"][: one["length"]].tobytes() == row.ids and one["end"] == 10
+    assert len(np.memmap(name, kind)) == 16 and name.stat().st_size == 16 * kind.itemsize
+
+
+def test_ids_too_wide_are_an_error_and_four_bytes_hold_them(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "hello")], "doc_id long, text string").coalesce(1)
+    path = tokens.tokenizer_path()
+    with pytest.raises(Exception, match="does not fit"):
+        S.sequences(docs, path, 8, end_id=70_000).collect()
+    data = S.sequences(docs, path, 8, end_id=70_000, width=4).first().data
+    got = np.frombuffer(bytes(data) + b"\n", S.record(8, 4))[0]
+    assert got["ids"][got["length"] - 1] == 70_000 and S.id_width(path) == 2
+
+
+def test_a_very_long_text_and_repeated_rows(spark, tmp_path):
+    long = "some words of a long text " * 100_000
+    docs = spark.createDataFrame([(1, long), (2, "x"), (2, "x")], "doc_id long, text string")
+    got = S.training_order(docs, per_shard=256, to=str(tmp_path / "o")).collect()
+    ids = b"".join(bytes(r.ids) for r in sorted((r for r in got if r.doc_id == 1), key=lambda r: r.nth))
+    tok = Tokenizer.from_file(tokens.tokenizer_path())
+    assert ids == np.array([*tok.encode(long, add_special_tokens=False).ids, 2], "<u2").tobytes()
+    assert sum(r.doc_id == 2 for r in got) == 2 and sorted(r.slot for r in got) == list(range(len(got)))
 
 
 def test_empty_table(spark):
