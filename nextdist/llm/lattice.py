@@ -118,6 +118,7 @@ def _search(pdf: pd.DataFrame, cosine: float, probes: int) -> pd.DataFrame:
     for _, same in pdf.groupby("dim", sort=False):
         same = same.sort_values(["cell", "i", "j"], kind="stable").reset_index(drop=True)
         x = np.stack(same["embedding"].to_numpy()).astype(np.float64)
+        x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])  # a power of two, so cosines stay as they are and squares neither vanish nor overflow
         rows = {"x": x, "norm": np.sqrt((x * x).sum(1)), "codes": np.stack(same["codes"].to_numpy()), "rid": same["rid"].to_numpy()}
         n = same["n"].to_numpy()
         isleft, isright, t = same["isleft"].to_numpy(), same["isright"].to_numpy(), same["t"].to_numpy()

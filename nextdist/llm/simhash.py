@@ -30,6 +30,8 @@ SAMPLE_PER_LEAF = 64
 MAX_SAMPLE = 1_000_000
 BRUTE = 512
 _STEP = 1 << 16
+#: Pairs that a task holds at most before it reduces them to links.
+MAX_PAIRS = 2_000_000
 
 
 def simhash(text: str | None, words_in_shingle: int = 3) -> int:
@@ -169,13 +171,28 @@ def close_pairs(stored: np.ndarray, queries: np.ndarray, max_bits: int = MAX_BIT
         todo += [(s[d <= r], q[e <= r + max_bits], own), (s[d > r], np.concatenate([q[e > r - max_bits], near]), own)]
 
 
-def local_roots(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Each value of the pairs, and the smallest value that it reaches by them."""
-    found = [(a, b) for a, b in pairs if len(a)]
+def local_roots(pairs: Iterator[tuple[np.ndarray, np.ndarray]], at_once: int = MAX_PAIRS) -> tuple[np.ndarray, np.ndarray]:
+    """Each value of the pairs, and the smallest value that it reaches by them.
+
+    Whenever ``at_once`` pairs have come together they are replaced by one link per value, so a group of
+    near copies takes memory by its members, not by its pairs.
+    """
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+    for a, b in pairs:
+        if len(a):
+            found.append((a.view(np.int64), b.view(np.int64)))
+            held += len(a)
+            if held >= at_once:
+                found = [_reach(found)]
+                held = 0
+    return _reach(found)
+
+
+def _reach(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    a = np.concatenate([x for x, _ in found]).view(np.int64)
-    b = np.concatenate([y for _, y in found]).view(np.int64)
+    a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
     values, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     i, j = at[: len(a)], at[len(a) :]
     root = np.arange(len(values))
