@@ -83,7 +83,7 @@ def test_the_same_text_is_judged_by_its_own_group(spark):
     rng = random.Random(4)
     word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
     text = lambda n: " ".join(word(max(1, n + rng.randint(-2, 2))) for _ in range(100))
-    twelve, symbols = text(12), " ".join(w + "#" * (i % 2) for i, w in enumerate(text(5).split()))
+    twelve, symbols = text(12), " ".join(w + "#" * (i % 5 < 2) for i, w in enumerate(text(5).split()))
     data = [(i, text(5), "en", "short") for i in range(250)] + [(1000 + i, text(12), "en", "long") for i in range(250)]
     data += [(2000 + i, " ".join(w + "#" * (j % 3 == i % 3) for j, w in enumerate(text(5).split())), "en", "code") for i in range(250)]
     data += [(9001, twelve, "en", "short"), (9002, twelve, "en", "long"), (9003, symbols, "en", "short"), (9004, symbols, "en", "code")]
