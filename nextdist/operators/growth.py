@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,18 +10,23 @@ from ..functions.columns import c_ln_c
 from .windows import prefixes
 
 
+def _point(i, n: int, points: int):
+    """The count of point ``i`` from 0: ``i`` of ``points - 1`` equal steps, halves rounded to even, the last one ``n``."""
+    return F.when(i >= points - 1, n).otherwise(F.rint(i * (n / (points - 1)))).cast("long")
+
+
 def milestones(spark: SparkSession, n: int, points: int) -> DataFrame:
-    """``points`` equally spaced counts up to ``n``, distinct and rising, the last one ``n``."""
-    step = F.floor((F.col("id") + 1) * n / points).cast("long")
-    return spark.range(points).select(step.alias("milestone")).where("milestone > 0").distinct().orderBy("milestone")
+    """``points`` equally spaced counts from 0 to ``n``, distinct and rising, without the zero."""
+    if points < 2:
+        raise ValueError("there must be two points at least")
+    return spark.range(points).select(_point(F.col("id"), n, points).alias("milestone")).where("milestone > 0").distinct().orderBy("milestone")
 
 
 def milestone_of(index, n: int, points: int):
     """First milestone that has seen window ``index`` (from 0), as a column."""
-    k = F.ceil((index + 1) * points / F.lit(n))
-    low = F.floor((k - 1) * n / points).cast("long")
-    here = F.floor(k * n / points).cast("long")
-    return F.when(low >= index + 1, low).when(here >= index + 1, here).otherwise(F.floor((k + 1) * n / points).cast("long"))
+    k = F.ceil((index + 1) / F.lit(n / (points - 1)))
+    low, here = _point(k - 1, n, points), _point(k, n, points)
+    return F.when(low >= index + 1, low).when(here >= index + 1, here).otherwise(_point(k + 1, n, points))
 
 
 def growth_curve(windows: DataFrame, T: int, points: int, n: int, index: str = "idx") -> DataFrame:
@@ -68,20 +71,25 @@ def online_target_probability(windows: DataFrame, T: int, block: int = 1 << 18)
     return x.select("start", (F.col("level") - 1).alias("pos"), (F.col("seen") / F.col("visits")).alias("prob"))
 
 
-def online_soft_labels(windows: DataFrame, T: int, min_level: int = 1) -> DataFrame:
-    """``(start, pos, next, prob)``: the whole distribution as of each insertion, one context at a time.
+def online_soft_labels(windows: DataFrame, T: int, min_level: int = 1, block: int = 1 << 18) -> DataFrame:
+    """``(start, pos, next, prob)``: the whole distribution as of each insertion, a row per token seen so far.
 
-    The result has a row per token seen so far, so it is for deep levels or small data;
-    :func:`online_target_probability` is the form for large ones.
+    As in :func:`online_target_probability`, starts are cut into blocks. A block knows how often each token came in earlier
+    ones; inside it, one running count per context and token is taken. So a context that most windows share is
+    spread over blocks and tokens, and no task holds more than one block of one of its tokens.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start", kind="stable")
-        ids, at = np.unique(pdf["next"].to_numpy(), return_inverse=True)
-        counts = np.cumsum(at[:, None] == np.arange(len(ids)), axis=0)
-        r, c = np.nonzero(counts)
-        return pd.DataFrame({"start": pdf["start"].to_numpy()[r], "pos": pdf["level"].to_numpy()[r] - 1, "next": ids[c], "prob": counts[r, c] / (r + 1)})
-
-    x = prefixes(windows.select("start", "tokens"), T).where(F.col("level") >= min_level)
-    x = x.select("start", "level", "next", F.array_join(F.col("context").cast("array<string>"), "-").alias("key"))
-    return x.groupBy("level", "key").applyInPandas(run, "start long, pos int, next int, prob double")
+    key = ["level", "context"]
+    x = prefixes(windows.select("start", "tokens"), T).where(F.col("level") >= min_level).withColumn("b", F.floor(F.col("start") / block))
+    per = x.groupBy(*key, "b", "next").agg(F.count("*").alias("k"))
+    seen = per.groupBy(*key, "next").agg(F.min("b").alias("b0"))
+    total = per.groupBy(*key, "b").agg(F.sum("k").alias("n"))
+    earlier = W.partitionBy(*key).orderBy("b").rowsBetween(W.unboundedPreceding, -1)  # one row per block
+    total = total.select(*key, "b", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"))
+    grid = total.join(seen, key).where("b >= b0").join(per, [*key, "b", "next"], "left")
+    earlier = W.partitionBy(*key, "next").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    grid = grid.select(*key, "b", "next", "n_before", F.coalesce(F.sum(F.coalesce("k", F.lit(0))).over(earlier), F.lit(0)).alias("before"))
+    y = x.withColumnRenamed("next", "hit").join(grid, [*key, "b"])
+    inside = W.partitionBy(*key, "b", "next").orderBy("start").rowsBetween(W.unboundedPreceding, 0)
+    c = F.col("before") + F.sum((F.col("hit") == F.col("next")).cast("long")).over(inside)
+    y = y.withColumn("c", c).withColumn("n", F.col("n_before") + F.row_number().over(W.partitionBy(*key, "b", "next").orderBy("start")))
+    return y.where("c > 0").select("start", (F.col("level") - 1).alias("pos"), "next", (F.col("c") / F.col("n")).alias("prob"))

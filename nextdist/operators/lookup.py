@@ -106,3 +106,9 @@ def only_on_one_side(a: DataFrame, b: DataFrame) -> DataFrame:
 def docs_with_contexts(contexts: DataFrame, targets: DataFrame) -> DataFrame:
     """``(doc_id, context)`` of documents' k-grams ``contexts(doc_id, context)`` that are targets; exact token match by an equi-join."""
     return contexts.select("doc_id", "context").join(targets.select("context").distinct(), "context").distinct().select("doc_id", "context")
+
+
+def docs_containing(docs: DataFrame, targets: list[str]) -> DataFrame:
+    """``(doc_id, context)`` of documents whose text has a target as a substring; ``targets`` is a short list that every task gets."""
+    hits = F.filter(F.array(*[F.lit(t) for t in dict.fromkeys(targets)]), lambda t: F.contains("text", t))
+    return docs.select("doc_id", F.explode(hits).alias("context"))

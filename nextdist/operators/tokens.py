@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_blank, strip
+from ..sources.shared import running_sum, saved
 
 #: A vocabulary up to this many rows is small enough to send to every task.
 BROADCAST_VOCAB = 200_000
@@ -55,6 +60,30 @@ def encode_words(docs: DataFrame, vocab: DataFrame, unk: int, bos: int | None =
     return x.select("doc_id", F.col("pos").cast("long").alias("pos"), token.cast("int").alias("token"))
 
 
+def encode_sequences(docs: DataFrame, vocab: DataFrame, unk: int, size: int) -> DataFrame:
+    """``(doc_id, tokens, length)``: the same as ``to_sequences(encode_words(...))`` for distinct ids, but row by row.
+
+    A document stays where it is: its pieces are looked up on Arrow batches in the vocabulary, which every task gets, so nothing is
+    shuffled. For a vocabulary (``size``, its known row bound) over ``BROADCAST_VOCAB`` the lookup is a join. Repeated ids stay rows of their own; null texts have none.
+    """
+    if size > BROADCAST_VOCAB:
+        return to_sequences(encode_words(docs, vocab, unk, size=size))
+    rows = vocab.select("piece", "token").collect()  # at most ``size`` rows
+    shared = docs.sparkSession.sparkContext.broadcast(([r.piece for r in rows], [r.token for r in rows]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, ids = pa.array(shared.value[0], pa.string()), pa.array([*shared.value[1], unk], pa.int32())
+        last = pa.scalar(len(pieces), pa.int32())
+        for b in batches:
+            split = pc.split_pattern(b.column(1).cast(pa.large_string()), " ")
+            at = pc.fill_null(pc.index_in(split.flatten().cast(pa.string()), value_set=pieces), last)
+            lists = pa.ListArray.from_arrays(split.offsets.cast(pa.int32()), ids.take(at))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pc.list_value_length(lists)], ["doc_id", "tokens", "length"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").where("text is not null").mapInArrow(run, f"doc_id {kind}, tokens array<int>, length int")
+
+
 def decode_words(tokens: DataFrame, vocab: DataFrame, unk: str = "<unk>") -> DataFrame:
     """``(doc_id, text)``: pieces in order, joined by single blanks."""
     x = tokens.join(vocab.select("token", "piece"), "token", "left").withColumn("piece", F.coalesce("piece", F.lit(unk)))
@@ -78,30 +107,29 @@ def truncate(seqs: DataFrame, max_len: int = 2048) -> DataFrame:
     return seqs.withColumn("tokens", F.slice("tokens", 1, max_len)).withColumn("length", F.size("tokens"))
 
 
-def exclusive_offsets(sizes: DataFrame, key: str, n: str, block: int = 100_000) -> DataFrame:
-    """``(key, offset)``: the sum of ``n`` over all smaller keys, in two levels.
-
-    The keys' range is cut into blocks of about ``block`` keys each if they are spread evenly; sums run
-    inside blocks, and one window sees the blocks' totals only.
-    """
-    lo, hi, rows = sizes.agg(F.min(key), F.max(key), F.count("*")).first()
-    width = max(1.0, (float(hi) - float(lo) + 1) / max(1, -(-rows // block))) if rows else 1.0
-    x = sizes.withColumn("_b", F.floor(F.col(key).cast("double") / width))
-    total = x.groupBy("_b").agg(F.sum(n).alias("_s"))
-    before = F.coalesce(F.sum("_s").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    total = total.select("_b", before.alias("_before"))
-    inner = F.coalesce(F.sum(n).over(W.partitionBy("_b").orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return x.withColumn("_inner", inner).join(total, "_b").select(key, (F.col("_before") + F.col("_inner")).cast("long").alias("offset"))
+def exclusive_offsets(sizes: DataFrame, key: str, n: str) -> DataFrame:
+    """``(key, offset)``: the sum of ``n`` over all smaller keys (nulls last), however the keys are spread."""
+    return running_sum(sizes.select(key, n), [F.col(key).asc_nulls_last()], n, "offset", "offsets").select(key, "offset")
 
 
 def flatten_stream(seqs: DataFrame) -> DataFrame:
-    """``(pos, doc_id, token)``: all documents one after the other, in ``doc_id`` order.
+    """``(pos, doc_id, token)``: all documents one after the other, in ``doc_id`` order, nulls last.
 
-    Only lengths are sorted; the tokens stay where they are until they are exploded.
+    Sequences are range-partitioned and sorted by id, then exploded; a token's place in its partition and the sizes of the
+    partitions before give its position. Repeated and null ids are rows like any other.
     """
-    at = exclusive_offsets(seqs.select("doc_id", F.size("tokens").alias("n")), "doc_id", "n")
-    x = seqs.join(at, "doc_id").select("doc_id", "offset", F.posexplode("tokens").alias("i", "token"))
-    return x.select((F.col("offset") + F.col("i")).alias("pos"), "doc_id", "token")
+    spark = seqs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = F.col("doc_id").asc_nulls_last()
+    x = seqs.select("doc_id", "tokens").repartitionByRange(parts, order).sortWithinPartitions(order)
+    x = saved(x.select("doc_id", F.explode("tokens").alias("token")).withColumn("_at", F.monotonically_increasing_id()), "stream")
+    x = x.withColumn("_part", F.shiftright("_at", 33).cast("int"))
+    before, total = [], 0
+    for p, rows in sorted(x.groupBy("_part").agg(F.count("*")).collect()):
+        before.append((p, total))
+        total += rows
+    starts = F.broadcast(spark.createDataFrame(before, "_part int, _start long"))  # one row per partition
+    return x.join(starts, "_part").select((F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("pos"), "doc_id", "token")
 
 
 def avg_sequence_length(tokens: DataFrame, bos: int) -> DataFrame:

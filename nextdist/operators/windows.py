@@ -25,13 +25,11 @@ def take_tokens(stream: DataFrame, n: int) -> DataFrame:
 
 
 def ranked_docs(docs: DataFrame) -> DataFrame:
-    """Add ``rank`` (from 0, by ``doc_id``) and ``n_docs`` without one task sorting all rows."""
-    from .tokens import exclusive_offsets
+    """Add ``rank`` (from 0, by ``doc_id``, nulls last) and ``n_docs`` without one task sorting all rows; repeated ids have a rank each."""
+    from ..sources.shared import numbered
 
-    each = docs.select("doc_id").withColumn("one", F.lit(1))
-    at = exclusive_offsets(each, "doc_id", "one").withColumnRenamed("offset", "rank")
     n = docs.agg(F.count("*").alias("n_docs"))
-    return docs.join(at, "doc_id").crossJoin(F.broadcast(n))  # one row
+    return numbered(docs, [F.col("doc_id").asc_nulls_last()], "rank", "ranked").crossJoin(F.broadcast(n))  # one row
 
 
 def head_docs(docs: DataFrame, n: int) -> DataFrame:
@@ -58,6 +56,25 @@ def sample_docs(docs: DataFrame, pct: float, seed: int = 0, group: str | None =
     return docs.where(F.pmod(F.xxhash64(*keys), F.lit(1_000_000)) < int(pct * 10_000))
 
 
+def sample_files(docs: DataFrame, pct: float, group: str, seed: int = 0) -> DataFrame:
+    """``pct`` percent of the files, one at least, and of each the same share of its documents, both rounded down.
+
+    The order of the draw is the MD5 of seed and name or id, so a seed gives the same documents each time. Documents are ranked over
+    all files at once in ranges, so a file of any size is no task of its own.
+    """
+    from ..sources.shared import numbered
+
+    draw = lambda c: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(c).cast("string")))
+    files = docs.groupBy(group).agg(F.count("*").alias("_n"))
+    k = max(1, int(files.count() * pct / 100))
+    files = files.orderBy(draw(group), group).limit(k).select(F.col(group).alias("_g"), F.expr(f"cast(floor(_n * {pct} / 100) as bigint)").alias("_take"))
+    x = docs.join(files, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    x = numbered(x.withColumn("_h", draw("doc_id")), [F.col(group), F.col("_h"), F.col("doc_id")], "_r", "sampled")
+    first = x.groupBy(F.col(group).alias("_g")).agg(F.min("_r").alias("_first"))
+    x = x.join(first, F.col(group).eqNullSafe(F.col("_g"))).where(F.col("_r") - F.col("_first") < F.col("_take"))
+    return x.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def _starts(n: Column, T: int, stride: int) -> Column:
     """0, s, 2s, ... as long as T+1 tokens follow; none for shorter sequences."""
     return F.when(n >= T + 1, F.sequence(F.lit(0), n - (T + 1), F.lit(stride)))

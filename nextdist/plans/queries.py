@@ -20,6 +20,7 @@ from ..operators import support as U
 from ..operators import tokens as K
 from ..operators import windows as P
 from ..operators.sorted_stats import level_stats_sorted
+from ..sources.shared import saved
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,8 +69,8 @@ def event_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_windows(spark: SparkSession, d: str, T: int = T, stride: int = 1) -> DataFrame:
-    """Windows inside one user's events; ``start`` is the place in the whole stream."""
-    return P.sliding_windows(event_tokens(spark, d), T, stride, by_document=True)
+    """Windows inside one user's events; ``start`` is the place in the whole stream. Written once, as most queries read them more than once."""
+    return saved(P.sliding_windows(event_tokens(spark, d), T, stride, by_document=True), "event-windows")
 
 
 def event_counts(spark: SparkSession, d: str, T: int = T) -> DataFrame:
@@ -85,8 +86,9 @@ def doc_tokens(spark: SparkSession, d: str, size: int = VOCAB) -> DataFrame:
     return K.encode_words(docs, K.word_vocab(docs, size), size, size=size)
 
 
-def doc_sequences(spark: SparkSession, d: str, size: int = VOCAB) -> DataFrame:
-    return K.to_sequences(doc_tokens(spark, d, size))
+def doc_sequences(spark: SparkSession, d: str, size: int = VOCAB, vocab: DataFrame | None = None) -> DataFrame:
+    docs = documents(spark, d)
+    return saved(K.encode_sequences(docs, vocab or K.word_vocab(docs, size), size, size), "doc-sequences")
 
 
 def doc_windows(spark: SparkSession, d: str, T: int = T, stride: int = 1) -> DataFrame:
@@ -168,7 +170,9 @@ def k5(spark, d):
 
 @register("k6_decode_words", f"with {DTOK} select doc_id, string_agg(coalesce(v.piece, '<unk>'), ' ' order by pos) as text from dtok left join vocab v using (token) group by doc_id")
 def k6(spark, d):
-    return K.decode_words(doc_tokens(spark, d), K.word_vocab(documents(spark, d), VOCAB))
+    docs = documents(spark, d)
+    vocab = saved(K.word_vocab(docs, VOCAB), "vocab")
+    return K.decode_words(K.encode_words(docs, vocab, VOCAB, size=VOCAB), vocab)
 
 
 @register("k7_append_separator", f"with {DTOK} select doc_id, string_agg(token::varchar, '-' order by pos) || '-{2 * VOCAB}' as tokens, (count(*) + 1)::integer as length from dtok group by doc_id")
@@ -249,6 +253,91 @@ def s12(spark, d):
     return U.sparse_matrix(cn, numbered_top(cn, 200)).select("row", "token", "support", "cnt")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    import uuid
+
+    from ..sources.shared import shared_dir
+
+    return f"{shared_dir(spark)}/nextdist/{name}-{uuid.uuid4().hex}"
+
+
+@register("s1_json_docs", "select text from documents where text is not null")
+def s1(spark, d):
+    """Documents as files of JSON arrays, about a hundred in each, and read again."""
+    from ..sources.readers import read_json_docs
+
+    docs, path = documents(spark, d).where("text is not null"), scratch(spark, "json")
+    files = max(1, docs.count() // 100)
+    arrays = docs.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(files)).alias("file")).agg(F.to_json(F.collect_list(F.struct(F.col("text").alias("story")))).alias("value"))
+    arrays.repartition("file").select("value", F.concat(F.lit("a"), F.col("file").cast("string")).alias("file")).write.partitionBy("file").text(f"{path}/data.json")
+    return read_json_docs(spark, path)
+
+
+@register("s2_jsonl_docs", r"select text from documents where regexp_replace(coalesce(text, ''), '^[\s\x0b]+|[\s\x0b]+$', '', 'g') <> ''")
+def s2(spark, d):
+    from ..sources.readers import read_jsonl_docs
+
+    path = scratch(spark, "jsonl")
+    documents(spark, d).select("text").write.json(path)
+    return read_jsonl_docs(spark, path)
+
+
+@register("s4_token_bin", f"with {DTOK}, {DSTREAM} select pos, token::integer as token from dstream")
+def s4(spark, d):
+    """The stream as flat files and read again; a file's first position comes from the index."""
+    from ..sources.readers import read_token_bin
+    from ..sources.writers import write_token_bin
+
+    path = scratch(spark, "tokens").removeprefix("file://")
+    index = write_token_bin(doc_stream(spark, d), path, 50_000)
+    index = index.select(F.regexp_extract("file", "[^/]+$", 0).alias("name"), "first_pos")
+    x = read_token_bin(spark, path).withColumn("name", F.regexp_extract("file", "[^/]+$", 0))
+    return x.join(F.broadcast(index), "name").select((F.col("first_pos") + F.col("pos")).alias("pos"), "token")  # one row per file
+
+
+@register("s7_transitions", f"{ECN} select level, context, next::integer as next, cnt from cn where level = 2")
+def s7(spark, d):
+    from ..sources.readers import read_counts
+    from ..sources.writers import write_counts
+
+    path = scratch(spark, "transitions")
+    write_counts(event_counts(spark, d), path)
+    return text(read_counts(spark, path, 2), "context").select("level", "context", "next", "cnt")
+
+
+@register("s8_pair_shards", f"{DWIN}, pc as (select t0, t1, count(*) as cnt from win group by t0, t1) select t0::integer as t0, t1::integer as t1, cnt, ((row_number() over (order by cnt desc, t0, t1) - 1) % 8)::integer as bin from pc")
+def s8(spark, d):
+    from ..sources.readers import read_pair_shards
+    from ..sources.writers import write_pair_shards
+
+    path = scratch(spark, "pairs")
+    write_pair_shards(S.round_robin_bins(C.start_pair_counts(doc_windows(spark, d)), 8), path)
+    return read_pair_shards(spark, path)
+
+
+@register("s9_shards", f"{EWIN}, pc as (select t0, t1, count(*) as cnt from win group by t0, t1), b as (select t0, t1, (row_number() over (order by cnt desc, t0, t1) - 1) % 4 as bin from pc) select bin::integer as shard, start from win join b using (t0, t1)")
+def s9(spark, d):
+    from ..sources.writers import write_shards
+
+    path = scratch(spark, "shards")
+    w = event_windows(spark, d).select("start", "tokens")
+    write_shards(S.assign_shard(w, S.round_robin_bins(C.start_pair_counts(w), 4)), path)
+    return spark.read.parquet(path).select(F.col("shard").cast("int").alias("shard"), "start")
+
+
+@register("s10_level_stats", f"{ECN}, {TOTALS}, {STATS} select run, x.* from ({STATS_OUT}) x, (values ('first'), ('second')) as r(run)")
+def s10(spark, d):
+    """Statistics of two runs, appended as JSON and read again."""
+    from ..sources.readers import read_level_stats
+    from ..sources.writers import write_level_stats
+
+    path, stats = scratch(spark, "stats"), rounded(C.level_stats(event_counts(spark, d)))
+    for run in ("first", "second"):
+        write_level_stats(stats, path, run)
+    return read_level_stats(spark, path).select("run", *[F.col(c).cast(t).alias(c) for c, t in stats.dtypes])
+
+
 # --- windows (P) -----------------------------------------------------------------------------------
 
 
@@ -273,6 +362,14 @@ def p4(spark, d):
     return P.sample_docs(documents(spark, d), 20, 1, "source").select("doc_id", "source")
 
 
+@register(
+    "p4_sample_files",
+    "with f as (select source, count(*) as n, row_number() over (order by md5('7|' || source), source) as r from documents group by source), k as (select greatest(1, floor(count(*) * 30 / 100)) as k from f), d as (select doc_id, source, row_number() over (partition by source order by md5('7|' || doc_id), doc_id) as r from documents) select doc_id, d.source from d join f using (source), k where f.r <= k and d.r <= floor(n * 30 / 100)",
+)
+def p4b(spark, d):
+    return P.sample_files(documents(spark, d).select("doc_id", "source"), 30, "source", 7)
+
+
 def win_sql(base: str, T: int) -> str:
     return f"{base} select start, {' || '.join(f't{i}' + (chr(32) + '|| ' + repr('-') if i < T else '') for i in range(T + 1))} as tokens from win"
 
@@ -353,8 +450,8 @@ def p14(spark, d):
 # --- counts and statistics (A) ---------------------------------------------------------------------
 
 
-def doc_counts(spark: SparkSession, d: str) -> DataFrame:
-    return C.context_next_counts(doc_windows(spark, d), T)
+def doc_counts(spark: SparkSession, d: str, vocab: DataFrame | None = None) -> DataFrame:
+    return C.context_next_counts(P.windows_within_documents(doc_sequences(spark, d, vocab=vocab), T), T)
 
 
 def doc_counts_text(spark: SparkSession, d: str) -> DataFrame:
@@ -542,12 +639,45 @@ def a20(spark, d):
 def a20b(spark, d):
     out = None
     for v in (128, 512):
-        seqs = K.to_sequences(doc_tokens(spark, d, v))
+        seqs = doc_sequences(spark, d, v)
         x = C.level_stats(C.context_next_counts(P.windows_within_documents(seqs, 1), 1)).withColumn("run", F.lit(f"v{v}"))
         out = x if out is None else out.unionByName(x)
     return rounded(C.compare_runs(out, "run", "avg_entropy", ["v128", "v512"]))
 
 
+BUDGETS = [1_000, 10_000, 100_000]
+GRID = "with words as (select doc_id, unnest(string_split(text, ' ')) as piece, generate_subscripts(string_split(text, ' '), 1) - 1 as pos from documents), vocab as (select piece, row_number() over (order by freq desc, piece) - 1 as token from (select piece, count(*) as freq from words group by piece)), " + ", ".join(
+    f"dtok{v} as (select doc_id, pos, case when token < {v} then token else {v} end as token from words join vocab using (piece)), ds{v} as (select row_number() over (order by doc_id, pos) - 1 as pos, token from dtok{v}), "
+    + ", ".join(
+        windows_sql(f"(select 0 as doc_id, pos, token from ds{v} where pos < {b})", 2, by_doc=False).replace("win as", f"win{v}_{b} as", 1) + ", " + counts_sql(2, f"win{v}_{b}", f"cn{v}_{b}") + ", "
+        + TOTALS.replace("tot as", f"tot{v}_{b} as").replace("from cn", f"from cn{v}_{b}") for b in BUDGETS
+    )
+    for v in (128, 512)
+)
+
+
+def budget_stats(spark: SparkSession, d: str, v: int) -> DataFrame:
+    """Entropy per level of the first tokens of the stream, for a ladder of token budgets."""
+    stream, out = saved(K.flatten_stream(doc_sequences(spark, d, v)), "budget-stream"), None
+    for b in BUDGETS:
+        w = P.sliding_windows(P.take_tokens(stream, b), 2)
+        x = C.level_stats(C.context_next_counts(w, 2)).select("level", F.col("avg_entropy").alias("entropy"), F.lit(b).alias("milestone"), F.lit(v).alias("vocab"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@register("a20_token_budgets", f"{GRID} select level, " + ", ".join(f"max(h) filter (b = {b}) as b{b}" for b in BUDGETS) + " from (" + " union all ".join(f"select {b} as b, level, round(sum(n * h) / sum(n), 6) + 0.0 as h from tot512_{b} group by level" for b in BUDGETS) + ") group by level")
+def a20c(spark, d):
+    x = budget_stats(spark, d, 512).withColumn("run", F.concat(F.lit("b"), F.col("milestone").cast("string")))
+    return rounded(C.compare_runs(x, "run", "entropy", [f"b{b}" for b in BUDGETS]))
+
+
+@register("a20_final_grid", f"{GRID} select vocab, max(h) filter (level = 1) as \"1\", max(h) filter (level = 2) as \"2\" from (" + " union all ".join(f"select {v} as vocab, level, round(sum(n * h) / sum(n), 6) + 0.0 as h from tot{v}_{BUDGETS[-1]} group by level" for v in (128, 512)) + ") group by vocab")
+def a20d(spark, d):
+    growth = budget_stats(spark, d, 128).unionByName(budget_stats(spark, d, 512))
+    return rounded(C.compare_final(growth, "vocab", "level", len(BUDGETS)))
+
+
 @register("a21_doc_context_counts", f"with {FLC} select doc_id, context, next, count(*) as cnt, 0 as whole from flc group by doc_id, context, next union all select null, context, next, count(*), 1 from flc group by context, next")
 def a21(spark, d):
     return C.doc_context_counts(P.fixed_length_contexts(doc_pieces(spark, d), 2).drop("ids"))
@@ -619,10 +749,9 @@ def j6(spark, d):
     return text(S.assign_shard(w, S.round_robin_bins(C.start_pair_counts(w), 4)), "tokens")
 
 
-def benchmark_windows(spark: SparkSession, d: str) -> DataFrame:
-    docs = documents(spark, d)
+def benchmark_windows(spark: SparkSession, d: str, vocab: DataFrame) -> DataFrame:
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return P.windows_within_documents(K.to_sequences(K.encode_words(items, K.word_vocab(docs, VOCAB), VOCAB, size=VOCAB)), T)
+    return P.windows_within_documents(K.encode_sequences(items, vocab, VOCAB, VOCAB), T)
 
 
 BWIN = f"bw as (select item_id as doc_id, unnest(string_split(text, ' ')) as piece, generate_subscripts(string_split(text, ' '), 1) - 1 as pos from benchmark), btok as (select doc_id, pos, coalesce(token, {VOCAB}) as token from bw left join vocab using (piece)), " + windows_sql("btok", T).replace("win as", "bwin as", 1) + ", " + PREF.replace("pref as", "bpref as", 1).replace("from win", "from bwin")
@@ -633,12 +762,14 @@ BWIN = f"bw as (select item_id as doc_id, unnest(string_split(text, ' ')) as pie
     f"{DCN}, {TOTALS}, {BWIN} select level, count(h) as num_true, count(*) - count(h) as num_false, round(coalesce(sum(h), 0.0), 6) + 0.0 as sum_entropy, round(avg(h), 6) + 0.0 as mean_entropy from bpref left join tot using (level, context) group by level",
 )
 def j7(spark, d):
-    return rounded(L.cross_corpus_entropy(benchmark_windows(spark, d), doc_counts(spark, d), T))
+    vocab = saved(K.word_vocab(documents(spark, d), VOCAB), "vocab")
+    return rounded(L.cross_corpus_entropy(benchmark_windows(spark, d, vocab), doc_counts(spark, d, vocab), T))
 
 
 @register("j7_unknown_contexts", f"{DCN}, {BWIN} select level, context, count(*) as visits from bpref where (level, context) not in (select (level, context) from cn) group by level, context")
 def j7b(spark, d):
-    return text(L.unknown_contexts(benchmark_windows(spark, d), doc_counts(spark, d), T), "context")
+    vocab = saved(K.word_vocab(documents(spark, d), VOCAB), "vocab")
+    return text(L.unknown_contexts(benchmark_windows(spark, d, vocab), doc_counts(spark, d, vocab), T), "context")
 
 
 @register("j8_docs_with_contexts", f"with {FLC}, t as (select context from flc group by context order by count(*) desc, context limit 50) select distinct doc_id, context from flc where context in (select context from t)")
@@ -648,6 +779,14 @@ def j8(spark, d):
     return L.docs_with_contexts(x, top)
 
 
+CONTAINED = ["the ", "tion", "ing and", "der", "zzz", "la "]
+
+
+@register("j8_docs_containing", "select doc_id, t.context from documents, (values " + ", ".join(f"('{t}')" for t in CONTAINED) + ") as t(context) where contains(text, t.context)")
+def j8b(spark, d):
+    return L.docs_containing(documents(spark, d), CONTAINED)
+
+
 TOP2 = "top as (select level, context, n, row_number() over (order by n desc, context) - 1 as id from tot where level = 2 qualify id < 200)"
 OVER = "m as (select id, next from cn join top using (level, context)), ov as (select x.id as a, y.id as b, count(*) as shared from m x join m y on x.next = y.next and x.id < y.id group by all)"
 
@@ -691,6 +830,15 @@ def o3(spark, d):
     return S.greedy_bins(C.start_pair_counts(doc_windows(spark, d)), 16)
 
 
+@register(
+    "o3_greedy_event_bins",
+    f"{EWIN}, {PAIRS}, p as (select *, row_number() over (order by cnt desc, t0, t1) as r from pc), g as (with recursive g(r, t0, t1, cnt, bin, loads) as (select 0::bigint, null::integer, null::integer, 0::bigint, -1, [0, 0, 0, 0]::bigint[] union all"
+    " select p.r, p.t0, p.t1, p.cnt, (list_position(loads, list_min(loads)) - 1)::integer, list_transform(loads, lambda x, i: case when i = list_position(loads, list_min(loads)) then x + p.cnt else x end) from g join p on p.r = g.r + 1) select * from g) select t0, t1, cnt, bin from g where r > 0",
+)
+def o3b(spark, d):
+    return S.greedy_bins(C.start_pair_counts(event_windows(spark, d)), 4)
+
+
 @register("o4_bin_loads", f"{DWIN}, {PAIRS}, b as (select cnt, (row_number() over (order by cnt desc, t0, t1) - 1) % 16 as bin from pc) select bin::integer as bin, sum(cnt)::bigint as load, count(*) as members from b group by bin")
 def o4(spark, d):
     return S.bin_loads(S.round_robin_bins(C.start_pair_counts(doc_windows(spark, d)), 16))
@@ -729,12 +877,12 @@ def o8(spark, d):
     return text(U.sample_shared_support(sets), "support")
 
 
-@register("o9_milestones", f"with {ETOK}, {windows_sql('etok', T)}, n as (select count(*) as n from win) select distinct (i * n // 40)::bigint as milestone from n, range(1, 41) as r(i) where i * n // 40 > 0")
+@register("o9_milestones", f"with {ETOK}, {windows_sql('etok', T)}, n as (select count(*) as n from win) select distinct case when i = 39 then n else round_even(i * (n / 39), 0)::bigint end as milestone from n, range(1, 40) as r(i) where round_even(i * (n / 39), 0) > 0")
 def o9(spark, d):
     return G.milestones(spark, event_windows(spark, d).count(), 40)
 
 
-GROW = f"""{EWIN}, n as (select count(*) as n from win), ms as (select distinct (i * n // 20)::bigint as milestone from n, range(1, 21) as r(i) where i * n // 20 > 0),
+GROW = f"""{EWIN}, n as (select count(*) as n from win), ms as (select distinct case when i = 19 then n else round_even(i * (n / 19), 0)::bigint end as milestone from n, range(1, 20) as r(i) where round_even(i * (n / 19), 0) > 0),
 o as (select *, row_number() over (order by start) as seen from win), {PREF.replace("from win", "from o").replace("select start", "select seen")},
 c as (select milestone, level, context, hard, count(*) as cnt from ms join pref on seen <= milestone group by all),
 t as (select milestone, level, context, sum(cnt) as n, sum(cnt) * ln(sum(cnt)) - sum(cnt * ln(cnt)) as nh from c group by all)
@@ -764,6 +912,14 @@ def o11b(spark, d):
     return rounded(G.online_soft_labels(event_windows(spark, d), T, 3))
 
 
+@register(
+    "o11_online_soft_labels_all_levels",
+    f"{EWIN}, {PREF}, s as (select distinct level, context, hard from pref), x as (select p.start, p.pos, p.context, s.hard as next, count(*) filter (p.hard = s.hard) over w as c, count(*) over w as n from pref p join s using (level, context) window w as (partition by level, p.context, s.hard order by p.start)) select start, pos, next::integer as next, round(c / n, 6) + 0.0 as prob from x where c > 0",
+)
+def o11c(spark, d):
+    return rounded(G.online_soft_labels(event_windows(spark, d), T, block=4096))
+
+
 @register("o12_support_count_sorted", f"{ECN}, {SETS} select level, support, count(*) as contexts from sets group by level, support")
 def o12(spark, d):
     return text(U.support_count_sorted(U.support_sets(event_counts(spark, d))), "support")
@@ -868,6 +1024,35 @@ def st2(spark, d):
     return rounded(last.select("level", "g.*"))
 
 
+@register("st3_resume", f"{SWIN} select level, context, next, cnt from cn")
+def st3(spark, d):
+    """A stream that is stopped after a part of its files and started again when the rest has come: nothing is counted twice or left out."""
+    from ..streaming.counts import read_counts_so_far, start_growth
+
+    path, docs = scratch(spark, "resume"), documents(spark, d)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    for i in range(3):
+        docs.where(part == i).write.mode("append").parquet(f"{path}/in")
+        w = spark.readStream.schema(docs.schema).parquet(f"{path}/in").select("doc_id", F.split("text", " ", -1).alias("tokens"))
+        start_growth(P.windows_within_documents(w, 2), 2, f"{path}/out", f"{path}/progress").awaitTermination()
+    return read_counts_so_far(spark, f"{path}/out").select("level", F.array_join("context", " ").alias("context"), "next", "cnt")
+
+
+@register("st4_stream_online_labels", f"{EWIN}, {PREF} select start, pos, round(row_number() over (partition by level, context, hard order by start) / row_number() over (partition by level, context order by start), 6) + 0.0 as prob from pref")
+def st4(spark, d):
+    """Labels at insertion, windows arriving in three batches in the order of their starts."""
+    from ..streaming.counts import online_labels
+
+    path, w = scratch(spark, "online"), event_windows(spark, d).select("start", "tokens")
+    third = (w.agg(F.max("start")).first()[0] or 0) // 3 + 1
+    for i in range(3):
+        w.where((F.col("start") >= i * third) & (F.col("start") < (i + 1) * third)).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(w.schema).parquet(f"{path}/in")
+        q = online_labels(stream, T).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return rounded(spark.read.parquet(f"{path}/out").select("start", "pos", "prob"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Level statistics of user event sequences."""
     return a9(spark, d)

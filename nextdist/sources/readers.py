@@ -59,3 +59,13 @@ def read_counts(spark: SparkSession, path: str, level: int | None = None) -> Dat
     """Saved ``ctx_next`` tables; a level reads its own folder only."""
     x = spark.read.parquet(path)
     return x if level is None else x.where(F.col("level") == level)
+
+
+def read_pair_shards(spark: SparkSession, path: str) -> DataFrame:
+    """``(t0, t1, cnt, bin)`` as saved."""
+    return spark.read.schema("t0 int, t1 int, cnt long, bin int").parquet(path)
+
+
+def read_level_stats(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:
+    """Saved statistics of all runs, with their ``run``."""
+    return spark.read.format(kind).load(path)

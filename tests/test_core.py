@@ -12,6 +12,7 @@ from nextdist.operators import growth as G
 from nextdist.operators import lookup as L
 from nextdist.operators import shards as S
 from nextdist.operators import support as U
+from nextdist.operators import tokens as K
 from nextdist.operators import windows as P
 from nextdist.operators.sorted_stats import level_stats_sorted
 
@@ -191,7 +192,7 @@ def test_growth_equals_counting_again(spark):
     n = len(ws)
     w = P.sliding_windows(stream(spark, tokens), T).withColumn("idx", F.col("start"))
     marks = [r.milestone for r in G.milestones(spark, n, points).collect()]
-    assert marks == sorted({(i + 1) * n // points for i in range(points)}) and marks[-1] == n
+    assert marks == sorted({round(i * (n / (points - 1))) for i in range(1, points)}) and marks[-1] == n
     got = {(r.milestone, r.level): r for r in G.growth_curve(w, T, points, n).collect()}
     assert {m for m, _ in got} == set(marks)
     for (m, level), r in got.items():
@@ -242,3 +243,46 @@ def test_differences(spark):
     b = spark.createDataFrame([(1, "x", 1.0 + 1e-9), (2, None, 2.5), (4, "z", 3.0)], "i int, k string, v double")
     got = sorted((r.i, r.k, r.side) for r in L.diff_distributions(a, b, ["i", "k"], "v").collect())
     assert got == [(2, None, "differs"), (3, "z", "only_a"), (4, "z", "only_b")]
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows with equal or no ids are rows like any other, in streams, ranks and samples."""
+    rows = [(2, "a b"), (2, "a"), (None, "b b"), (1, "c"), (1, "c"), (None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in P.head_docs(docs, 2).collect()) == [1, 1]
+    assert len(P.head_docs(docs, 3).collect()) == 3 and len(P.tail_docs(docs, 3).collect()) == 3
+    assert [r.doc_id for r in P.tail_docs(docs, 2).collect()] == [None, None]
+    vocab = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "token int, piece string")
+    seqs = K.encode_sequences(docs, vocab, 3, 3)
+    got = sorted((r.pos, r.doc_id, r.token) for r in K.flatten_stream(seqs).collect())
+    assert [p for p, *_ in got] == list(range(8))
+    assert [(d, t) for _, d, t in got[:2]] == [(1, 2), (1, 2)]
+    assert sorted(t for _, d, t in got[2:5]) == [0, 0, 1] and [d for _, d, _ in got[5:]] == [None] * 4
+
+
+def test_row_local_encoding_equals_the_join(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(["a", "b", "ä", "", "zz", "c"]) for _ in range(rng.randint(0, 30)))) for i in range(80)] + [(900, None), (901, ""), (902, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    vocab = K.word_vocab(docs.where("text is not null"), 4)
+    want = sorted(map(tuple, K.to_sequences(K.encode_words(docs, vocab, 9, size=4)).collect()))
+    assert sorted(map(tuple, K.encode_sequences(docs, vocab, 9, 4).collect())) == want
+    monkeypatch.setattr(K, "BROADCAST_VOCAB", 2)
+    assert sorted(map(tuple, K.encode_sequences(docs, vocab, 9, 4).collect())) == want
+    assert K.encode_sequences(docs.limit(0), vocab, 9, 4).collect() == []
+
+
+def test_offsets_of_ids_far_apart(spark):
+    rows = [(i, i % 5 + 1) for i in range(500)] + [(10**17, 7), (-(10**17), 3)]
+    got = {r.k: r.offset for r in K.exclusive_offsets(spark.createDataFrame(rows, "k long, n int"), "k", "n").collect()}
+    total = 0
+    for k, n in sorted(rows):
+        assert got[k] == total
+        total += n
+
+
+def test_online_labels_in_blocks(spark):
+    rng = random.Random(8)
+    w = spark.createDataFrame([(i, [rng.randrange(3) for _ in range(3)]) for i in range(60)], "start long, tokens array<int>")
+    whole = sorted(map(tuple, G.online_soft_labels(w, 2).collect()))
+    assert sorted(map(tuple, G.online_soft_labels(w, 2, block=7).collect())) == whole

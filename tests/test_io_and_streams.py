@@ -1,3 +1,4 @@
+import pytest
 """Sources, sinks, vocabularies and the streaming forms."""
 
 import json
@@ -139,3 +140,23 @@ def test_windows_by_pairs_and_starts(spark):
     assert sorted(r.start for r in P.windows_by_pairs(w, pairs).collect()) == [0, 9]
     starts = spark.createDataFrame([(5,), (5,), (77,)], "start long")
     assert [r.start for r in P.windows_by_starts(w, starts).collect()] == [5]
+
+
+def test_merges_learnt_by_spark_equal_the_helpers(spark):
+    rng = random.Random(3)
+    for letters, merges in (("abc", 30), ("abcdefgh", 60), ("ab\\$E.Q", 40)):
+        words = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 9))): rng.randint(1, 6) for _ in range(120)}
+        want = bpe.learn_merges(dict(words), merges)
+        got = bpe.learn_merges_spark(spark.createDataFrame(list(words.items()), "w string, n long"), merges, at_once=6, write_every=3)
+        assert got == want
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from nextdist.sources import shared
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    fake = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(fake)
