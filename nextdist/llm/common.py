@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import discard, numbered, saved, shared_dir
 
-__all__ = ["components", "discard", "numbered", "saved", "shared_dir", "table", "without"]
-
+__all__ = ["components", "discard", "file_rows", "numbered", "saved", "shared_dir", "table", "with_rows", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +15,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def file_rows(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """Add ``name``: a long for each row of a frame read from Parquet files, by the row's file and place in it.
+
+    However a scan is split, and whichever executors read it, a row gets the same number; nothing is written. The
+    files' numbers are a table with one row per file. ``docs`` may select and filter columns, but not join or explode.
+    """
+    x = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    files = sorted(r[0] for r in x.select("_file").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "_number long, _file string")
+    x = x.join(F.broadcast(numbers), "_file")  # one row per file
+    return x.withColumn(name, F.shiftleft("_number", 40) + F.col("_place")).drop("_file", "_place", "_number")
+
+
+def with_rows(docs: DataFrame, row: str | None, own: list[str], tag: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with ``_row``, a stable number of each row, and the names of its other columns but ``own``.
+
+    ``row`` names a column of such numbers, as :func:`file_rows` adds it; without one, rows are numbered here and written with their numbers.
+    """
+    x = without(docs, [*own, *({"_row"} - {row})])
+    names = [c for c in x.columns if c != row]
+    if row is None:
+        return saved(x.withColumn("_row", F.monotonically_increasing_id()), tag), names
+    return x.withColumnRenamed(row, "_row"), names
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """Drop input columns whose names an operator gives to its own results."""
     own = {n.lower() for n in names}

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, numbered, saved, without
+from .common import discard, numbered, saved, with_rows
 
 MIN_LINES = 1
 MIN_WORDS = 10
@@ -155,7 +155,7 @@ def later_copies(wins: DataFrame, sa: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def repeated_lines(rows: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(_row, line)`` of every line that a later copy of a counting run covers; ``rows(_row, doc_id, text)`` are numbered and written."""
+    """``(_row, line)`` of every line that a later copy of a counting run covers; ``rows(_row, doc_id, text)`` have stable numbers."""
     flat = line_ids(rows)
     keys = flat.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     first = _sorted_ids(keys, [F.col("h1"), F.col("h2")], "rank", "lines-rank")
@@ -170,21 +170,20 @@ def repeated_lines(rows: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     return active.select("_row", "line", "pos").join(found, "pos", "left").withColumn("upto", upto).where("upto > pos").select("_row", "line")
 
 
-def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, row: str | None = None) -> DataFrame:
     """Delete later copies of repeated line runs from ``docs(doc_id, text, ...)``.
 
     All columns are kept, ``text`` without the deleted lines; ``n_lines`` and ``n_deleted``
     count a text's lines before and those deleted. The first copy in ``doc_id`` order
-    (nulls last, then row order) stays. Rows are numbered once and written with their numbers, so
-    that a second scan, however it is split, can't mix them up.
+    (nulls last, then row order) stays. Rows keep their numbers however a scan is split: those of the column ``row``
+    (:func:`~nextdist.llm.common.file_rows`), or else rows are numbered once and written with their numbers.
 
     Nulls: a null text stays null and counts as one empty line. Texts without words lose
     nothing. Repeated rows: the first keeps its lines, the others lose
     their counting runs. An empty table gives an empty result. Input columns named like a
     result are replaced. Texts of any length are read whole.
     """
-    docs = without(docs, [*OWN, "_row", "_gone"])
-    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "lines-rows")
+    rows, names = with_rows(docs, row, [*OWN, "_gone"], "lines-rows")
     gone = repeated_lines(rows, min_lines, min_words)
     gone = saved(gone.groupBy("_row").agg(F.collect_list("line").alias("_gone")), "lines-gone")
     # one plan at every size: texts are shuffled once, against a hash table of deleted line numbers
@@ -193,7 +192,7 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     counts = [F.size(lines).cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_deleted")]
-    return x.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], *counts)
+    return x.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names], *counts)
 
 
 ORACLE_SQL = rf"""

@@ -14,7 +14,7 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, saved, without
+from .common import discard, saved, with_rows
 
 #: Domains of the labelled table, as SQL over its columns.
 DOMAINS = {"good": "quality = 1 and toxic = 0", "low": "quality = 0 and toxic = 0", "toxic": "toxic = 1"}
@@ -170,14 +170,13 @@ def _rates(rows: DataFrame, labels: DataFrame, targets: dict[str, float]) -> Dat
     return rates.withColumn("copies", (whole + (draw < F.col("rate") - whole).cast("long")).cast("long"))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, row: str | None = None) -> DataFrame:
     """``docs`` with each row as often as its ``copies`` say; columns are unchanged.
 
-    Rows are numbered once and written with their numbers, so that a second scan can't mix them up. Nulls, repeated
-    rows and empty tables are as in :func:`mixing_rates`; a column ``_row`` of the input is not returned.
+    Rows keep their numbers however a scan is split: those of the column ``row`` (:func:`~nextdist.llm.common.file_rows`), or else
+    rows are numbered once and written with their numbers. Nulls, repeated rows and empty tables are as in :func:`mixing_rates`; a column ``_row`` of the input is not returned.
     """
-    docs = without(docs, ["_row"])
-    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    rows, names = with_rows(docs, row, [], "mix-rows")
     rates = _rates(rows, labels, targets).select("_row", "copies").where("copies > 0")
     x = rows.join(rates, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return x.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return x.select(*[F.col(f"`{c}`") for c in names])

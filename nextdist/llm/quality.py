@@ -140,12 +140,13 @@ def limits(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     return x.groupBy("lang", "source").agg(*highs, low)
 
 
-def quality_rules(docs: DataFrame, keep: list[str] | None = None, min_group: int = MIN_GROUP) -> DataFrame:
+def quality_rules(docs: DataFrame, keep: list[str] | None = None, min_group: int = MIN_GROUP, reread: bool = False) -> DataFrame:
     """Judge every row of ``docs(text, lang, source, ...)``.
 
     Adds the base counts, ``base_failed`` and ``kept`` to the columns ``keep``
-    (default: all). Each text is read once; its counts are written beside ``keep``, and only sketches
-    (a few hundred buckets per group) are shuffled.
+    (default: all). Each text is read once; its counts are written beside ``keep``. With ``reread``, for wide ``keep``, texts
+    are read twice instead, for the sketches and for the verdicts, and nothing is written but the sketches (a few hundred buckets per
+    group), which are all that is shuffled in either case.
 
     Nulls: a null text counts as empty and fails the base rules; null language or
     source are groups of their own. Repeated rows are judged alike, each once. An
@@ -155,8 +156,9 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None, min_group: int
     own = [*FEATURES, "base_failed", "kept"]
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in own]
     need = [*keep, *[c for c in ("lang", "source") if c not in keep]]
-    judged = saved(with_features(without(docs, own), need).withColumn("base_failed", _base_failed()), "quality-counts")
-    lim = saved(limits(saved(sketches(judged), "quality-sketch"), min_group), "quality-limits").withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    judged = with_features(without(docs, own), need).withColumn("base_failed", _base_failed())
+    judged = judged if reread else saved(judged, "quality-counts")
+    lim = saved(limits(saved(sketches(with_features(docs, ["lang", "source"]) if reread else judged), "quality-sketch"), min_group), "quality-limits").withColumnsRenamed({"lang": "_lang", "source": "_source"})
     x = judged.join(lim, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     fine = " and ".join(f"coalesce({a} * 1000 div nullif({b}, 0) <= max_{m}, true)" for m, a, b, _, _ in HIGH_LIMITS)
     x = x.withColumn("kept", F.expr(f"not base_failed and {fine} and coalesce(word_chars * 1000 div nullif(n_words, 0) >= min_word_length, true)"))

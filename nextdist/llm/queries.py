@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, html, lattice, linededup, mixing, packing, quality, shards, simhash, urlfilter
-from .common import table
+from .common import file_rows, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linededup.line_dedup(file_rows(table(spark, sf_dir, "documents").select("doc_id", "text")), row="_row")
 
 
 def op3_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
