@@ -26,15 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it again.
+def saved(df: DataFrame, tag: str, codec: str = "snappy", **options: object) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder, with the writer's ``options``, and read it again.
 
     This cuts the lineage: what follows survives lost executors without running
     ``df`` again, and ids made by ``monotonically_increasing_id`` stay as written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/nextdist/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(compression=codec, **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
