@@ -163,7 +163,8 @@ def training_order(docs: DataFrame, path: str | None = None, length: int = SEQUE
     path = path or tokenizer_path()
     to = to or f"{shared_dir(spark)}/nextdist/shards-{uuid.uuid4().hex}"
     width = id_width(path)
-    seqs = saved(sequences(docs, path, length, width=width), "shards-sequences", "zstd")
+    # these files, the shuffle and the shards are on disk together, so the first are made small
+    seqs = saved(sequences(docs, path, length, width=width), "shards-sequences", "zstd", **{"parquet.compression.codec.zstd.level": 9})
     write_shards(seqs, to, key, per_shard)
     discard(seqs)
     return read_shards(spark, to, 0, per_shard, length, width, with_ids)
