@@ -1,8 +1,9 @@
 """Quotation linking: conversations in reply order, without quoted text.
 
 Lines that start with ``>`` are quotes; the number of ``>`` is the level. Runs of one level
-are passages. A passage, each of its paragraphs, lines and pairs of neighbouring lines are normalised, hashed, and joined to the
-earliest message whose own text has them, as a whole, a paragraph, a line or a pair of lines. All of it is DataFrame work.
+are passages. A passage, each of its paragraphs, sentences, lines and pairs of neighbouring lines are normalised, hashed, and joined to the
+earliest message whose own text has them, as a whole, a paragraph, a sentence, a line or a pair of lines; so a part of a paragraph links
+even if a mail client has wrapped it anew. All of it is DataFrame work.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from pyspark.sql import functions as F
 
 from .common import discard, numbered, saved, without
 
-#: Lines shorter than this, once normalised, link nothing on their own.
+#: Parts of a quote shorter than this, once normalised, link nothing on their own; the whole of a quote does.
 MIN_LINE = 12
+#: Where a sentence ends: white space after its mark, or a blank line.
+SENTENCE = r"(?<=[.!?])\s+|\n[ \t]*\n"
 _PREFIX = r"^((?:[ \t]*>)+)[ \t]?"
-_ATTRIBUTION = r"^.{0,200}\b(?:wrote|schrieb|a écrit|escribió)[ \t]*:[ \t]*$"
+_ATTRIBUTION = r"^.*\b(?:wrote|schrieb|a écrit|escribió)[ \t]*:[ \t]*$"
 OWN = ["parent_turn", "quoted_conv_id", "quoted_turn", "n_quotes", "root_turn", "reply_depth", "position", "body", "formatted"]
 
 
@@ -30,11 +33,11 @@ def name(x: Column) -> Column:
 
 
 def pieces_of(x: str) -> Column:
-    """The whole of a text, its paragraphs, lines and pairs of neighbouring lines, each once."""
+    """The whole of a text, its paragraphs, sentences, lines and pairs of neighbouring lines, each once."""
     lines = F.filter(F.split(x, "\n", -1), lambda y: F.length(normal(y)) > 0)
     pairs = F.zip_with(lines, F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda a, b: F.concat_ws("\n", a, b))
     pairs = F.slice(pairs, 1, F.greatest(F.size(lines) - 1, F.lit(0)))
-    return F.array_distinct(F.concat(F.array(x), F.split(x, r"\n[ \t]*\n"), lines, pairs))
+    return F.array_distinct(F.concat(F.array(x), F.split(x, r"\n[ \t]*\n"), F.split(x, SENTENCE), lines, pairs))
 
 
 def _lines(msgs: DataFrame) -> DataFrame:
@@ -87,7 +90,7 @@ def quotation_links(messages: DataFrame, keep: list[str] | None = None) -> DataF
     Nulls: a null text is an empty message; null conversations are one conversation; a null
     turn links to nothing, and stands first. Repeated rows are repeated in the result, next to each other. Quotes
     without an original are dropped from the text and link nothing. An empty table gives an
-    empty result. Input columns named like a result are replaced.
+    empty result. Input columns named like a result are replaced. Texts of any length are read whole.
     """
     keep = [c for c in (messages.columns if keep is None else keep) if c.lower() not in OWN]
     msgs = without(messages, [*OWN, "_m"]).withColumn("_m", F.monotonically_increasing_id())

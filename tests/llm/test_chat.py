@@ -1,3 +1,7 @@
+import random
+import re
+from collections import Counter
+
 from nextdist.llm import chat as C
 
 SCHEMA = "conv_id long, turn long, role string, text string, position string"
@@ -68,3 +72,111 @@ def test_partial_rewrapped_and_cross_conversation_quotes(spark):
 
 def test_empty_table(spark):
     assert C.quotation_links(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+WHITE = " \t\n\x0b\x0c\r"
+
+
+def brute(rows):
+    """The linker in plain Python: every quote's parts against every message's parts."""
+    normal = lambda x: re.sub(f"[{WHITE}]+", " ", x.lower()).strip(" ")
+
+    def parts(x):
+        lines = [y for y in x.split("\n") if normal(y)]
+        return {x, *re.split(r"\n[ \t]*\n", x), *re.split(rf"(?<=[.!?])[{WHITE}]+|\n[ \t]*\n", x), *lines, *("\n".join(p) for p in zip(lines, lines[1:]))}
+
+    bodies, quotes = [], []
+    for _, _, _, text in rows:
+        text, found, own = text or "", [], []
+        lines = []
+        for line in text.split("\n"):
+            m = re.match(r"((?:[ \t]*>)+)[ \t]?", line)
+            lines.append((m[1].count(">") if m else 0, line[m.end() :] if m else line, line))
+        if not any(n for n, *_ in lines):
+            bodies.append(text)
+            quotes.append([])
+            continue
+        for i, (n, said, line) in enumerate(lines):
+            after = lines[i + 1][0] if i + 1 < len(lines) else 0
+            if n and i and lines[i - 1][0] == n:
+                found[-1][1].append(said)
+            elif n:
+                found.append((n, [said]))
+            elif not (after and re.search(r"\b(?:wrote|schrieb|a écrit|escribió)[ \t]*:[ \t]*$", line)):
+                own.append(line)
+        bodies.append("\n".join(own).strip(WHITE))
+        quotes.append([(n, "\n".join(q)) for n, q in found if normal("\n".join(q))])
+    first = {}
+    for (conv, turn, *_), body in zip(rows, bodies, strict=True):
+        for p in {normal(x) for x in parts(body)} - {""}:
+            first.setdefault(p, {})[conv] = min(turn, first.get(p, {}).get(conv, turn))
+    out, up = [], {}
+    for (conv, turn, *_), qs in zip(rows, quotes, strict=True):
+        votes = Counter()
+        for level, q in qs:
+            for x in parts(q):
+                p = normal(x)
+                if (x != q and len(p) < C.MIN_LINE) or p not in first:
+                    continue
+                at = first[p]
+                if conv in at and at[conv] < turn:
+                    votes[level, (conv, at[conv])] += len(p)
+                elif others := [(c, t) for c, t in at.items() if c != conv]:
+                    votes[level, min(others)] += len(p)
+        best = max(((-level, n, at[0] == conv, at) for (level, at), n in votes.items()), default=None)
+        at = best[3] if best else (None, None)
+        if at[0] == conv and at[1] is not None:
+            up[conv, turn] = min(at[1], up.get((conv, turn), at[1]))
+        out.append([at, len(qs)])
+    done = []
+    for (conv, turn, *_), (at, n), body in zip(rows, out, bodies, strict=True):
+        root, depth = turn, 0
+        while (conv, root) in up:
+            root, depth = up[conv, root], depth + 1
+        done.append((conv, turn, at[0], at[1], at[1] if at[0] == conv else None, n, root, depth, body))
+    return done
+
+
+def threads(n=60, seed=3):
+    rng = random.Random(seed)
+    word = lambda: rng.choice(["sun", "moon", "river", "stone", "apple", "green", "walks", "over", "under", "never", "always", "Night"])
+    sentence = lambda: " ".join(word() for _ in range(rng.randint(2, 9))) + rng.choice([".", "!", "?", ""])
+    text = lambda: "\n\n".join(rng.choice([" ", "\n"]).join(sentence() for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 3)))
+
+    def quote(x):
+        kind = rng.randrange(5)
+        if kind == 0:
+            x = rng.choice(x.split("\n\n"))
+        elif kind == 1:
+            x = rng.choice([y for y in x.split("\n") if y])
+        elif kind == 2:
+            at = rng.randrange(max(1, len(x) // 2))
+            x = x[at : at + rng.randint(10, 80)]
+        elif kind == 3:  # wrapped anew
+            words = x.replace("\n\n", " \0 ").split()
+            x = "\n".join(" ".join(words[i : i + 5]) for i in range(0, len(words), 5)).replace("\0", "")
+        return "\n".join(rng.choice(["> ", ">", " > "]) + y for y in x.split("\n"))
+
+    rows, said = [], []
+    for c in range(n):
+        for t in range(rng.randint(1, 7)):
+            x = text()
+            if said and rng.random() < 0.7:
+                old = [r[3] for r in rows if r[0] == c]
+                x = rng.choice(["", "Ann wrote:\n", "x " * 150 + "wrote:\n"]) + quote(rng.choice(old if old and rng.random() < 0.8 else said)) + "\n" + x
+            rows.append((c, t, "user", x))
+            said.append(x)
+    return rows
+
+
+def test_links_match_brute_force_over_generated_threads(spark):
+    rows = [*threads(), (900, 0, "user", None), (900, 1, "user", ""), (900, 2, "user", "> \n>"), (901, 0, "user", "long line of text. " * 30_000), (901, 1, "user", "> " + "long line of text. " * 30_000 + "\nyes")]
+    got = C.quotation_links(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    mine = sorted(tuple(r) for r in got.select("conv_id", "turn", "quoted_conv_id", "quoted_turn", "parent_turn", "n_quotes", "root_turn", "reply_depth", "body").collect())
+    want = sorted(brute(rows))
+    for a, b in zip(mine, want, strict=True):
+        assert a == b
+    assert sum(x[4] is not None for x in want) > 50 and sum(x[2] is not None and x[2] != x[0] for x in want) > 5
+    order = sorted(got.collect(), key=lambda r: (r.conv_id, r.root_turn, r.reply_depth, r.turn))
+    for a, b in zip(order, order[1:]):
+        assert b.position == (a.position + 1 if a.conv_id == b.conv_id else 0)
