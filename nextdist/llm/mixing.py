@@ -8,7 +8,9 @@ unknown rates stay distributed, and a round sends one residual per domain to the
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import warnings
 
 from pyspark.sql import Column, DataFrame
@@ -26,12 +28,18 @@ BROADCAST_WORDS = 200_000
 MIN_DOCS = 5
 #: A word is kept when its documents in some domain are this many standard errors over their share.
 MIN_TELLS = 5.0
+#: And when that domain's share of documents with it is so many times the share in all: more labelled documents make weaker words
+#: certain, but not telling.
+MIN_RATIO = 1.5
 SMOOTH = 0.5
 #: A document's evidence is at most this, so that posteriors stay soft.
 MAX_LOGIT = 12.0
 #: Rounds at most; :func:`target_report` and a warning say when they did not do.
 ROUNDS = 120
 CLOSE = 1e-6
+#: Rounds without a better result after which the targets count as out of reach, and the longest step.
+PATIENCE = 12
+MAX_STEP = 1000.0
 #: Rounds after which the rates so far are written, to keep expressions short.
 WRITE_EVERY = 12
 _SPLIT = r"[ \t\n\x0b\x0c\r]+"
@@ -64,7 +72,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> DataFrame
     """Naive Bayes over word presence and absence: ``(word, w_<domain>...)``.
 
     Fitted on at most about ``max_fit`` labelled documents, chosen by their ids' hash. Only words that are
-    more frequent in a domain other than the first than chance explains are kept, so a short text that lacks them
+    clearly more frequent in a domain other than the first, and surely so, are kept, so a short text that lacks them
     is one of the first domain. The word `` bias`` has the priors and what the absence of all words says.
     """
     lab = labelled(labels)
@@ -81,7 +89,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> DataFrame
     size = {d: (total[d] if total else 0) for d in DOMAINS}
     every = max(1, sum(size.values()))
     odd = {d: (F.col(d) - F.col("n") * (size[d] / every)) / F.sqrt(F.col("n") * (size[d] / every) * (1 - size[d] / every) + 1) for d in DOMAINS}
-    w = by_word.where("word <> ' bias'").withColumn("tells", F.greatest(*list(odd.values())[1:], F.lit(0.0))).where(f"tells >= {MIN_TELLS}")
+    ratio = {d: F.col(d) / F.lit(max(size[d], 1)) / (F.col("n") / F.lit(every)) for d in DOMAINS}
+    telling = [(odd[d] >= MIN_TELLS) & (ratio[d] >= MIN_RATIO) for d in list(DOMAINS)[1:]]
+    w = by_word.where("word <> ' bias'").where(functools.reduce(operator.or_, telling))
     p = {d: (F.col(d) + SMOOTH) / (size[d] + 2 * SMOOTH) for d in DOMAINS}
     w = saved(w.select("word", *[F.log(p[d] / (1 - p[d])).alias(f"w_{d}") for d in DOMAINS], *[F.log(1 - p[d]).alias(f"a_{d}") for d in DOMAINS]), "mix-weights")
     absent = w.agg(*[F.sum(f"a_{d}").alias(d) for d in DOMAINS]).first()
@@ -105,27 +115,30 @@ def posteriors(docs: DataFrame, weights: DataFrame) -> DataFrame:
 def fit_rates(post: DataFrame, targets: dict[str, float] = TARGETS, rounds: int = ROUNDS) -> DataFrame:
     """Add ``rate`` >= 0 to written ``post``: projected gradient on sum over domains of (expected - target)^2 / natural total.
 
-    A document's coordinate is scaled by its length, which makes one the right step width (the
-    largest eigenvalue of the scaled problem). Targets are shares; the first domain's target is its natural
-    total, so that its documents keep a rate near one. A domain that has no tokens is left out. Warns
-    when the rounds end before the targets are met within ``CLOSE``.
+    A document's coordinate is scaled by its length, for which the largest eigenvalue is one; the step is one over the mean eigenvalue
+    that the gradient of the round before sees (:func:`step_width`), which takes far fewer rounds than a step of one. Targets are shares; the
+    first domain's target is its natural total, so that its documents keep a rate near one. A domain that has no tokens is
+    left out. Warns when the rounds end before the targets are met within ``CLOSE``.
     """
     names = list(DOMAINS)
-    natural = post.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in names]).first()
-    natural = {d: natural[d] or 0.0 for d in names}
+    n = F.col("n_tokens")
+    sums = post.agg(*[F.sum(n * F.col(f"p_{d}")).alias(d) for d in names], *[F.sum(n * F.col(f"p_{d}") * F.col(f"p_{e}")).alias(f"{d}*{e}") for d in names for e in names]).first()
+    natural = {d: sums[d] or 0.0 for d in names}
     live = [d for d in names if natural[d] > 0]
+    mass = [[sums[f"{d}*{e}"] for e in live] for d in live]
     budget = natural[names[0]] / targets[names[0]]
     want = {d: targets[d] * budget for d in live}
     base, rate = post.withColumn("rate", F.lit(1.0)), F.col("rate")
-    last = worst = math.inf
+    best, since, gap = math.inf, 0, []
     for k in range(1, rounds + 1):
-        now = base.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}") * rate).alias(d) for d in live]).first() if live else {}
-        gap = {d: (now[d] - want[d]) / natural[d] for d in live}
-        worst = max(map(abs, gap.values()), default=0.0)
-        if worst < CLOSE or abs(last - worst) < CLOSE * 1e-3:
+        now = base.agg(*[F.sum(n * F.col(f"p_{d}") * rate).alias(d) for d in live]).first() if live else {}
+        before, gap = gap, [(now[d] - want[d]) / natural[d] for d in live]
+        worst = max(map(abs, gap), default=0.0)
+        best, since = (worst, 0) if worst < best * (1 - 1e-6) else (best, since + 1)
+        if worst < CLOSE or since >= PATIENCE:
             break
-        last = worst
-        step: Column = sum(F.col(f"p_{d}") * F.lit(gap[d]) for d in live)
+        width = step_width(before, mass, [natural[d] for d in live]) if before and worst <= 2 * best else 1.0
+        step: Column = sum(F.col(f"p_{d}") * F.lit(width * g) for d, g in zip(live, gap, strict=True))
         rate = F.greatest(F.lit(0.0), rate - step)
         if k % WRITE_EVERY == 0:
             new = saved(base.withColumn("rate", rate), "mix-rates")
@@ -137,6 +150,13 @@ def fit_rates(post: DataFrame, targets: dict[str, float] = TARGETS, rounds: int
     return base.withColumn("rate", F.round(rate, 9))
 
 
+def step_width(gap: list[float], mass: list[list[float]], natural: list[float]) -> float:
+    """Barzilai and Borwein's step for the gradient ``gap``, from the domains' common token mass; one at least."""
+    g = [sum(m * x for m, x in zip(row, gap, strict=True)) for row in mass]
+    up, down = sum(a * b for a, b in zip(gap, g, strict=True)), sum(a * a / x for a, x in zip(g, natural, strict=True))
+    return min(MAX_STEP, max(1.0, up / down)) if down > 0 else 1.0
+
+
 def target_report(rates: DataFrame, targets: dict[str, float] = TARGETS, close: float = 1e-3) -> DataFrame:
     """``(domain, natural, target, expected, met)``: token totals of ``rates`` before and after, and whether the target is met within ``close``."""
     first = next(iter(DOMAINS))

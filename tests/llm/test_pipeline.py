@@ -13,7 +13,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from nextdist.llm import linededup, mixing, quality, tokens
+from nextdist.llm import linededup, quality, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -89,16 +89,7 @@ def brute_near(rows):
 
 def brute_mixing(rows, labels):
     post = np.array(test_mixing.brute_posteriors([(r[0], r[1]) for r in rows], labels))
-    n, p = post[:, 0], post[:, 1:].round(9)
-    s = n @ p
-    want = np.array([mixing.TARGETS[d] for d in mixing.DOMAINS]) * s[0] / mixing.TARGETS["good"]
-    rate, last = np.ones(len(rows)), np.inf
-    for _ in range(mixing.ROUNDS):
-        gap = ((n * rate) @ p - want) / s
-        if np.abs(gap).max() < mixing.CLOSE or abs(last - np.abs(gap).max()) < mixing.CLOSE * 1e-3:
-            break
-        last = np.abs(gap).max()
-        rate = np.maximum(0, rate - p @ gap)
+    rate = test_mixing.brute_rates(post[:, 0], post[:, 1:].round(9))
     out = []
     for r, x in zip(rows, rate, strict=True):
         h = xxhash.xxh64_intdigest(b"mix", 42)
