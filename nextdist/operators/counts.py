@@ -11,7 +11,10 @@ from .windows import prefixes
 
 
 def context_next_counts(windows: DataFrame, T: int) -> DataFrame:
-    """``(level, context, next, cnt)`` for every prefix of every window."""
+    """``(level, context, next, cnt)`` for every prefix of every window.
+
+    T rows per window meet in a grouping with map-side sums; for long windows take :func:`~nextdist.operators.sorted_stats.context_next_counts_sorted`.
+    """
     return prefixes(windows.select("tokens"), T).groupBy("level", "context", "next").agg(F.count("*").alias("cnt"))
 
 

@@ -59,16 +59,57 @@ def partition_stats(m: np.ndarray, T: int) -> tuple[list[tuple], list[tuple]]:
     return sums, outer
 
 
+def _sorted_windows(windows: DataFrame, T: int, rows_per_partition: int, n: int | None) -> DataFrame:
+    """Tokens as columns, range-partitioned and sorted."""
+    n = windows.count() if n is None else n
+    names = [f"t{i}" for i in range(T + 1)]
+    cols = [F.col("tokens")[i].alias(c) for i, c in enumerate(names)]
+    return windows.select(*cols).repartitionByRange(max(1, -(-n // rows_per_partition)), *names).sortWithinPartitions(*names)
+
+
+def partition_counts(m: np.ndarray, T: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """``(level, first row of each run, its length, whether it may go on in another partition)`` of the runs of equal contexts and next tokens; ``m`` is sorted."""
+    differs = m[1:] != m[:-1]
+    lcp = np.concatenate([[0], np.where(differs.any(1), differs.argmax(1), T + 1)])
+    for level in range(1, T + 1):
+        runs = _runs(lcp < level + 1)
+        at, c = runs[:-1], np.diff(runs)
+        outer = np.unique([0, len(at) - 1])
+        yield level, at[outer], c[outer], True
+        if len(at) > 2:
+            yield level, at[1:-1], c[1:-1], False
+
+
+def context_next_counts_sorted(windows: DataFrame, T: int, rows_per_partition: int = ROWS_PER_PARTITION, n: int | None = None) -> DataFrame:
+    """The same table as ``context_next_counts(windows, T)`` with one shuffle of the windows, for long ones.
+
+    The plain form shuffles T contexts of up to T tokens per window, which grows with T squared; here a window's T+1 tokens
+    cross the network once, and only the first and last count of each level and partition are grouped again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1) for b in batches if b.num_rows]
+        if not got:
+            return
+        m = np.concatenate(got)
+        for level, at, c, outer in partition_counts(m, T):
+            for lo in range(0, len(at), 65_536):
+                a = at[lo : lo + 65_536]
+                context = pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * np.int32(level)), pa.array(m[a, :level].ravel().astype(np.int32)))
+                cols = [pa.array(np.full(len(a), level, np.int32)), context, pa.array(m[a, level].astype(np.int32)), pa.array(c[lo : lo + 65_536]), pa.array(np.full(len(a), outer))]
+                yield pa.RecordBatch.from_arrays(cols, ["level", "context", "next", "cnt", "outer"])
+
+    found = saved(_sorted_windows(windows, T, rows_per_partition, n).mapInArrow(run, "level int, context array<int>, next int, cnt long, outer boolean"), "sorted-counts")
+    edge = found.where("outer").groupBy("level", "context", "next").agg(F.sum("cnt").alias("cnt"))
+    return found.where("not outer").select("level", "context", "next", "cnt").unionByName(edge)
+
+
 def level_stats_sorted(windows: DataFrame, T: int, rows_per_partition: int = ROWS_PER_PARTITION, n: int | None = None) -> DataFrame:
     """The same table as ``level_stats(context_next_counts(windows, T))``.
 
     A task holds one partition's windows as a matrix of 32-bit ids, ``rows_per_partition`` x (T+1) x 4 bytes.
     """
-    n = windows.count() if n is None else n
-    parts = max(1, -(-n // rows_per_partition))
-    cols = [F.col("tokens")[i].alias(f"t{i}") for i in range(T + 1)]
-    names = [f"t{i}" for i in range(T + 1)]
-    x = windows.select(*cols).repartitionByRange(parts, *names).sortWithinPartitions(*names)
+    x = _sorted_windows(windows, T, rows_per_partition, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1) for b in batches if b.num_rows]

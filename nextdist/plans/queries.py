@@ -19,7 +19,7 @@ from ..operators import shards as S
 from ..operators import support as U
 from ..operators import tokens as K
 from ..operators import windows as P
-from ..operators.sorted_stats import level_stats_sorted
+from ..operators.sorted_stats import context_next_counts_sorted, level_stats_sorted
 from ..sources.shared import saved
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -526,6 +526,11 @@ def h1(spark, d):
     return rounded(level_stats_sorted(doc_windows(spark, d, 6), 6, rows_per_partition=250_000))
 
 
+@register("h1_counts_sorted", f"{ECN} select level, context, next::integer as next, cnt from cn")
+def h1b(spark, d):
+    return text(context_next_counts_sorted(event_windows(spark, d).select("tokens"), T, rows_per_partition=2000), "context")
+
+
 @register("a10_corpus_entropy", f"{DCN}, {TOTALS} select round(sum(n * h) / sum(n), 6) + 0.0 as corpus_entropy, sum(n)::bigint as observations, count(*) as contexts from tot")
 def a10(spark, d):
     return rounded(C.corpus_entropy(C.context_totals(doc_counts(spark, d))))

@@ -14,7 +14,7 @@ from nextdist.operators import shards as S
 from nextdist.operators import support as U
 from nextdist.operators import tokens as K
 from nextdist.operators import windows as P
-from nextdist.operators.sorted_stats import level_stats_sorted
+from nextdist.operators.sorted_stats import context_next_counts_sorted, level_stats_sorted
 
 F1 = [0, 1, 2, 1, 0, 2, 0, 0, 1, 0, 1, 2, 0, 1, 2, 0, 1, 2, 0, 2, 0]
 F1_LEVELS = {
@@ -257,7 +257,7 @@ def test_null_and_repeated_ids(spark):
     got = sorted((r.pos, r.doc_id, r.token) for r in K.flatten_stream(seqs).collect())
     assert [p for p, *_ in got] == list(range(8))
     assert [(d, t) for _, d, t in got[:2]] == [(1, 2), (1, 2)]
-    assert sorted(t for _, d, t in got[2:5]) == [0, 0, 1] and [d for _, d, _ in got[5:]] == [None] * 4
+    assert sorted(t for _, d, t in got[2:5]) == [0, 0, 1] and [d for _, d, _ in got[5:]] == [None] * 3
 
 
 def test_row_local_encoding_equals_the_join(spark, monkeypatch):
@@ -286,3 +286,12 @@ def test_online_labels_in_blocks(spark):
     w = spark.createDataFrame([(i, [rng.randrange(3) for _ in range(3)]) for i in range(60)], "start long, tokens array<int>")
     whole = sorted(map(tuple, G.online_soft_labels(w, 2).collect()))
     assert sorted(map(tuple, G.online_soft_labels(w, 2, block=7).collect())) == whole
+
+
+def test_sorted_counts_equal_the_grouping(spark):
+    tokens = heavy_tailed(900, 4, 2)
+    w = P.sliding_windows(stream(spark, tokens), 5).select("tokens")
+    got = [(r.level, tuple(r.context), r.next, r.cnt) for r in context_next_counts_sorted(w, 5, rows_per_partition=100).collect()]
+    want = [(r.level, tuple(r.context), r.next, r.cnt) for r in C.context_next_counts(w, 5).collect()]
+    assert sorted(got) == sorted(want)
+    assert context_next_counts_sorted(w.limit(0), 5).collect() == []
