@@ -650,6 +650,29 @@ def a20b(spark, d):
     return rounded(C.compare_runs(out, "run", "avg_entropy", ["v128", "v512"]))
 
 
+def _tokenizer_sql(name: str, pieces: str) -> str:
+    return (
+        f"w{name} as (select doc_id, unnest({pieces}) as piece, generate_subscripts({pieces}, 1) - 1 as pos from documents), v{name} as (select piece, row_number() over (order by count(*) desc, piece) - 1 as token from w{name} group by piece qualify token < {VOCAB}), "
+        f"d{name} as (select doc_id, pos, coalesce(token, {VOCAB}) as token from w{name} left join v{name} using (piece)), " + windows_sql(f"d{name}", 2).replace("win as", f"win{name} as", 1) + ", " + counts_sql(2, f"win{name}", f"cn{name}") + ", " + TOTALS.replace("tot as", f"tot{name} as").replace("from cn", f"from cn{name}")
+    )
+
+
+@register(
+    "a20_tokenizers",
+    "with " + _tokenizer_sql("word", "string_split(text, ' ')") + ", " + _tokenizer_sql("char", "regexp_extract_all(translate(text, ' ', '_'), '(?s).')")
+    + " select level, max(h) filter (k = 'word') as word, max(h) filter (k = 'char') as char from (" + " union all ".join(f"select '{k}' as k, level, round(sum(n * h) / sum(n), 6) + 0.0 as h from tot{k} group by level" for k in ("word", "char")) + ") group by level",
+)
+def a20e(spark, d):
+    """Entropy per level of the same texts cut into words and into letters."""
+    out = None
+    for name, body in (("word", F.col("text")), ("char", F.btrim(F.regexp_replace(F.translate("text", " ", "_"), "(?s)(.)", "$1 "), F.lit(" ")))):
+        docs = documents(spark, d).select("doc_id", body.alias("text"))
+        seqs = K.encode_sequences(docs, K.word_vocab(docs, VOCAB), VOCAB, VOCAB)
+        x = C.level_stats(C.context_next_counts(P.windows_within_documents(seqs, 2), 2)).withColumn("run", F.lit(name))
+        out = x if out is None else out.unionByName(x)
+    return rounded(C.compare_runs(out, "run", "avg_entropy", ["word", "char"]))
+
+
 BUDGETS = [1_000, 10_000, 100_000]
 GRID = "with words as (select doc_id, unnest(string_split(text, ' ')) as piece, generate_subscripts(string_split(text, ' '), 1) - 1 as pos from documents), vocab as (select piece, row_number() over (order by freq desc, piece) - 1 as token from (select piece, count(*) as freq from words group by piece)), " + ", ".join(
     f"dtok{v} as (select doc_id, pos, case when token < {v} then token else {v} end as token from words join vocab using (piece)), ds{v} as (select row_number() over (order by doc_id, pos) - 1 as pos, token from dtok{v}), "

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import is_blank
 
+#: Bytes of a token file that one record may hold, bytes that one range of a larger file has, and tokens in a batch.
+WHOLE, SPAN, CHUNK = 1 << 30, 1 << 27, 1 << 22
+
 
 def read_json_docs(spark: SparkSession, path: str, field: str = "story") -> DataFrame:
     """``(text)`` from files ``data*.json`` that hold JSON arrays of objects."""
@@ -32,27 +36,45 @@ def read_corpus_splits(spark: SparkSession, path: str, splits: tuple[str, ...] =
     return out
 
 
-def read_token_bin(spark: SparkSession, path: str, pct: float | None = None, max_tokens: int | None = None, width: int = 2, chunk: int = 1 << 22) -> DataFrame:
+def read_token_bin(spark: SparkSession, path: str, pct: float | None = None, max_tokens: int | None = None, width: int = 2, whole: int = WHOLE, span: int = SPAN) -> DataFrame:
     """``(file, pos, token)`` of flat little-endian unsigned files without a header, positions in each file.
 
-    ``max_tokens`` overrides ``pct`` (percent of a file's tokens). A file is one record of ``binaryFile``, so files are
-    expected in parts of up to about 1 GB each; :func:`write_token_bin` makes such parts.
+    ``max_tokens`` overrides ``pct`` (percent of a file's tokens). Files up to ``whole`` bytes come through Spark's ``binaryFile``; of
+    larger ones, which no single record can hold, ranges of ``span`` bytes are read each on its own, from any place that Arrow's file systems open.
     """
     kind = f"<u{width}"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = "file string, pos long, token int"
+
+    def tokens(name: str, first: int, data, size: int) -> Iterator[pa.RecordBatch]:
+        n = size // width
+        upto = n if pct is None else int(n * pct / 100)
+        upto = upto if max_tokens is None else min(n, max_tokens)
+        x = np.frombuffer(data, dtype=kind, count=len(data) // width)[: max(0, upto - first)]
+        for lo in range(0, len(x), CHUNK):
+            part = x[lo : lo + CHUNK]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(first + lo, first + lo + len(part))), pa.array(part.astype(np.int32))], ["file", "pos", "token"])
+
+    def run_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 buf = data.as_buffer()
-                x = np.frombuffer(buf, dtype=kind, count=buf.size // width)
-                n = len(x) if pct is None else int(len(x) * pct / 100)
-                n = n if max_tokens is None else min(len(x), max_tokens)
-                for lo in range(0, n, chunk):
-                    part = x[lo : min(n, lo + chunk)]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(lo, lo + len(part))), pa.array(part.astype(np.int32))], ["file", "pos", "token"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, pos long, token int")
+                yield from tokens(name, 0, buf, buf.size)
+
+    def run_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            for name, size, lo in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                system, at = fs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if re.match("file:/[^/]", name) else name)
+                with system.open_input_file(at) as f:
+                    f.seek(lo)
+                    yield from tokens(name, lo // width, f.read(min(step, size - lo)), size)
+
+    step = span - span % width
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= whole).select("path", "content").mapInArrow(run_whole, schema)
+    ranges = files.where(F.col("length") > whole).select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long"))).alias("lo"))
+    return small.unionByName(ranges.repartition("path", "lo").mapInArrow(run_ranges, schema))
 
 
 def read_counts(spark: SparkSession, path: str, level: int | None = None) -> DataFrame:

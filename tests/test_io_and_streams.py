@@ -160,3 +160,13 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
     fake = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_dir(fake)
+
+
+def test_ranges_of_large_token_files(spark, tmp_path):
+    x = np.arange(5001, dtype="<u2")
+    x.tofile(tmp_path / "a.bin")
+    whole = sorted((r.pos, r.token) for r in R.read_token_bin(spark, str(tmp_path)).collect())
+    assert whole == [(i, i) for i in range(5001)]
+    assert sorted((r.pos, r.token) for r in R.read_token_bin(spark, str(tmp_path), whole=100, span=999).collect()) == whole
+    assert sorted(r.pos for r in R.read_token_bin(spark, str(tmp_path), pct=50, whole=100, span=998).collect()) == list(range(2500))
+    assert R.read_token_bin(spark, str(tmp_path), max_tokens=7, whole=100, span=998).count() == 7
