@@ -47,13 +47,14 @@ NOT_AROUND = ("nav", "aside", "footer", "menu", "dialog")
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Class names and ids of what is not main text: alone, or joined with words that only say where or in what form.
 BAD_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget widgets footer header masthead "
+    "ad ads adsbygoogle advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget widgets footer header masthead "
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments "
     "respond reply replies disqus pagination pager toolbar skip copyright".split()
 )
 PLAIN_WORDS = frozenset(
-    "area articles bar block body bottom box btn button buttons card cards center col column container content entry fixed form global group header heading icons inline inner item items left link links list main "
-    "message meta mobile outer page panel policy post posts primary right row secondary section site slot small text thread title top unit user wrap wrapper".split()
+    "about alert also area articles bar block body bottom box btn button buttons card cards center close col column container content count cta desktop entry feed fixed float floating form global group header "
+    "heading icon icons info inline inner item items js large law leaderboard left link links list main media message meta mobile more mpu narrow number outer page panel policy post posts primary privacy read rectangle right "
+    "row search secondary section site skyscraper slot small sticky stories story strip text thread title toggle top trail unit user view wide wp wrap wrapper".split()
 )
 #: Names that are bad outside articles; in an article they name a part of it.
 BAD_OUTSIDE = frozenset("discussion".split())
