@@ -27,11 +27,11 @@ FEATURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 HIGH_LIMITS = [
     ("symbols", "n_symbols", "n_words", 100, 1000),
     ("dup_lines", "n_dup_lines", "n_lines", 400, 800),
-    ("repeats", "n_repeat_words", "n_words", 250, 500),
-    ("word_length", "word_chars", "n_words", 500, 50000),
+    ("repeats", "n_repeat_words", "n_words", 300, 500),
+    ("word_length", "word_chars", "n_words", 1000, 50000),
 ]
 #: Tolerance under the group's lower fence of the mean word length.
-LOW_TOLERANCE = 500
+LOW_TOLERANCE = 1000
 MIN_GROUP = 200
 FENCE = 3
 
