@@ -56,7 +56,7 @@ def training_batch(windows: DataFrame, ctx_next: DataFrame, T: int) -> DataFrame
     """
     q = prefixes(windows.select("start", F.col("tokens").alias("sequence"), "tokens"), T)
     q = q.select("start", "sequence", (F.col("level") - 1).alias("pos"), *KEY, F.col("next").alias("hard"))
-    labels = F.map_from_entries(F.array_sort(F.collect_list(F.struct("next", "cnt"))))
+    labels = F.map_from_entries(F.sort_array(F.collect_list(F.struct("next", "cnt"))))
     n = ctx_next.groupBy(*KEY).agg(labels.alias("m"), F.sum("cnt").alias("n"))
     soft = n.select(*KEY, F.transform_values("m", lambda _, c: c / F.col("n")).alias("soft"))
     return q.join(soft, KEY, "left").select("start", F.col("sequence").alias("tokens"), "pos", "hard", "soft")

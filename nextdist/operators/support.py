@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def support_sets(ctx_next: DataFrame) -> DataFrame:
     """``(level, context, support, n)``: sorted tokens that follow each context, at most a vocabulary long."""
-    return ctx_next.groupBy("level", "context").agg(F.array_sort(F.collect_set("next")).alias("support"), F.sum("cnt").alias("n"))
+    return ctx_next.groupBy("level", "context").agg(F.sort_array(F.collect_set("next")).alias("support"), F.sum("cnt").alias("n"))
 
 
 def contexts_per_support(sets: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def token_groups(ctx_next: DataFrame) -> DataFrame:
     """
     h = [F.xxhash64(F.lit(i), "context").cast("decimal(20,0)") for i in (1, 2)]
     by = ctx_next.groupBy("level", "next").agg(F.count("*").alias("n"), *[F.sum(x).alias(f"h{i}") for i, x in enumerate(h)])
-    return by.groupBy("level", "n", "h0", "h1").agg(F.array_sort(F.collect_list("next")).alias("tokens")).select("level", F.col("n").alias("contexts"), "tokens")
+    return by.groupBy("level", "n", "h0", "h1").agg(F.sort_array(F.collect_list("next")).alias("tokens")).select("level", F.col("n").alias("contexts"), "tokens")
 
 
 def top_contexts(totals: DataFrame, k: int = 1000) -> DataFrame:
@@ -77,7 +77,7 @@ def sample_shared_support(sets: DataFrame, min_ctx: int = 10, per_set: int = 10,
     walk = x.orderBy(F.desc("size"), F.desc("support")).limit(last).where(F.col("contexts") >= min_ctx)
     walk = walk.orderBy("size", "support").limit(-(-total // max(1, min(min_ctx, per_set))))
     picked = sets.join(walk.select("support", "size"), "support")
-    picked = picked.groupBy("support", "size").agg(F.slice(F.array_sort(F.collect_set("context")), 1, per_set).alias("cs"))
+    picked = picked.groupBy("support", "size").agg(F.slice(F.sort_array(F.collect_set("context")), 1, per_set).alias("cs"))
     return picked.select("size", "support", F.explode("cs").alias("context")).orderBy("size", "support", "context").limit(total)
 
 

@@ -87,13 +87,13 @@ def encode_sequences(docs: DataFrame, vocab: DataFrame, unk: int, size: int) ->
 def decode_words(tokens: DataFrame, vocab: DataFrame, unk: str = "<unk>") -> DataFrame:
     """``(doc_id, text)``: pieces in order, joined by single blanks."""
     x = tokens.join(vocab.select("token", "piece"), "token", "left").withColumn("piece", F.coalesce("piece", F.lit(unk)))
-    rows = F.array_sort(F.collect_list(F.struct("pos", "piece")))
+    rows = F.sort_array(F.collect_list(F.struct("pos", "piece")))
     return x.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["piece"]), " ").alias("text"))
 
 
 def to_sequences(tokens: DataFrame) -> DataFrame:
     """``(doc_id, tokens, length)`` from the long form."""
-    rows = F.array_sort(F.collect_list(F.struct("pos", "token")))
+    rows = F.sort_array(F.collect_list(F.struct("pos", "token")))
     return tokens.groupBy("doc_id").agg(F.transform(rows, lambda r: r["token"]).alias("tokens")).withColumn("length", F.size("tokens"))
 
 

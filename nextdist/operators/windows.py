@@ -92,18 +92,19 @@ def sliding_windows(stream: DataFrame, T: int, stride: int = 1, by_document: boo
     to = F.when((F.col("pos") % block < T) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
     fields = ["pos", "token", *(["doc_id"] if by_document else [])]
     x = stream.select(*fields, F.explode(to).alias("b"))
-    x = x.groupBy("b").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("r"))
+    x = x.groupBy("b").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("r"))
+    # plain arrays before the windows are cut, so that a window is a slice of numbers
+    x = x.select("b", F.col("r.token").alias("r"), *([F.col("r.doc_id").alias("d")] if by_document else []))
     base = F.col("b") * block
     n = F.size("r")
     first = F.when(base % stride == 0, 0).otherwise(stride - base % stride)
     last = F.least(n - (T + 1), F.lit(block - 1))
     x = x.withColumn("i", F.explode(F.when(last >= first, F.sequence(first.cast("int"), last.cast("int"), F.lit(stride)))))
-    w = F.slice("r", F.col("i") + 1, T + 1)
-    x = x.select((base + F.col("i")).cast("long").alias("start"), w.alias("w"))
+    start, w = (base + F.col("i")).cast("long").alias("start"), F.slice("r", F.col("i") + 1, T + 1).alias("tokens")
     if by_document:
-        x = x.where(F.col("w")[0]["doc_id"].eqNullSafe(F.col("w")[T]["doc_id"]))
-        return x.select("start", F.col("w")[0]["doc_id"].alias("doc_id"), F.col("w.token").alias("tokens"))
-    return x.select("start", F.col("w.token").alias("tokens"))
+        x = x.where(F.get("d", F.col("i")).eqNullSafe(F.get("d", F.col("i") + T)))
+        return x.select(start, F.get("d", F.col("i")).alias("doc_id"), w)
+    return x.select(start, w)
 
 
 def windows_within_documents(seqs: DataFrame, T: int, stride: int = 1) -> DataFrame:
