@@ -37,8 +37,8 @@ MAX_LOGIT = 12.0
 #: Rounds at most; :func:`target_report` and a warning say when they did not do.
 ROUNDS = 120
 CLOSE = 1e-6
-#: Rounds without a better result after which the targets count as out of reach, and the longest step.
-PATIENCE = 12
+#: Steps that each take less than this share off the error, so many in a row, mean that the targets are out of reach; the longest step.
+SLOW, PATIENCE = 1e-4, 8
 MAX_STEP = 1000.0
 #: Rounds after which the rates so far are written, to keep expressions short.
 WRITE_EVERY = 12
@@ -129,22 +129,28 @@ def fit_rates(post: DataFrame, targets: dict[str, float] = TARGETS, rounds: int
     budget = natural[names[0]] / targets[names[0]]
     want = {d: targets[d] * budget for d in live}
     base, rate = post.withColumn("rate", F.lit(1.0)), F.col("rate")
-    best, since, gap = math.inf, 0, []
+    trial, before, gap, error, width, steps, since = rate, [], [], math.inf, 1.0, 0, 0
     for k in range(1, rounds + 1):
-        now = base.agg(*[F.sum(n * F.col(f"p_{d}") * rate).alias(d) for d in live]).first() if live else {}
-        before, gap = gap, [(now[d] - want[d]) / natural[d] for d in live]
-        worst = max(map(abs, gap), default=0.0)
-        best, since = (worst, 0) if worst < best * (1 - 1e-6) else (best, since + 1)
-        if worst < CLOSE or since >= PATIENCE:
+        now = base.agg(*[F.sum(n * F.col(f"p_{d}") * trial).alias(d) for d in live]).first() if live else {}
+        found = [(now[d] - want[d]) / natural[d] for d in live]
+        off = sum(x * x * natural[d] for d, x in zip(live, found, strict=True))
+        if off < error:  # a step is taken only if it brings the totals nearer; a step of one always does, short of the end
+            since = since + 1 if off > error * (1 - SLOW) else 0
+            rate, before, gap, error, steps = trial, gap, found, off, steps + 1
+            width = step_width(before, mass, [natural[d] for d in live]) if before else 1.0
+            if steps % WRITE_EVERY == 0:
+                old, base, rate = base, saved(base.withColumn("rate", rate), "mix-rates"), F.col("rate")
+                if steps > WRITE_EVERY:
+                    discard(old)
+        elif width == 1.0:
+            break
+        else:
+            width = max(1.0, width / 8)
+        if max(map(abs, gap), default=0.0) < CLOSE or since >= PATIENCE:
             break
-        width = step_width(before, mass, [natural[d] for d in live]) if before and worst <= 2 * best else 1.0
         step: Column = sum(F.col(f"p_{d}") * F.lit(width * g) for d, g in zip(live, gap, strict=True))
-        rate = F.greatest(F.lit(0.0), rate - step)
-        if k % WRITE_EVERY == 0:
-            new = saved(base.withColumn("rate", rate), "mix-rates")
-            if k > WRITE_EVERY:
-                discard(base)
-            base, rate = new, F.col("rate")
+        trial = F.greatest(F.lit(0.0), rate - step)
+    worst = max(map(abs, gap), default=0.0)
     if worst >= CLOSE:
         warnings.warn(f"targets are not met: after {k} rounds a domain is off by {worst:.3g} of its natural total", stacklevel=2)
     return base.withColumn("rate", F.round(rate, 9))

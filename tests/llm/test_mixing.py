@@ -50,18 +50,23 @@ def brute_rates(n, p, rounds=M.ROUNDS):
     """Projected gradient with the same steps, in numpy."""
     s, mass = n @ p, (n[:, None] * p).T @ p
     want = np.array([M.TARGETS[d] for d in M.DOMAINS]) * s[0] / M.TARGETS["good"]
-    r, best, since, gap = np.ones(len(n)), np.inf, 0, None
+    r = trial = np.ones(len(n))
+    before, gap, error, width, since = None, np.zeros(3), np.inf, 1.0, 0
     for _ in range(rounds):
-        before, gap = gap, ((n * r) @ p - want) / s
-        worst = np.abs(gap).max()
-        best, since = (worst, 0) if worst < best * (1 - 1e-6) else (best, since + 1)
-        if worst < M.CLOSE or since >= M.PATIENCE:
+        found = ((n * trial) @ p - want) / s
+        off = (found**2 * s).sum()
+        if off < error:
+            since = since + 1 if off > error * (1 - M.SLOW) else 0
+            before, gap, r, error = (gap if np.isfinite(error) else None), found, trial, off
+            g = mass @ before if before is not None else None
+            width = 1.0 if g is None else min(M.MAX_STEP, max(1.0, (before @ g) / (g * g / s).sum()))
+        elif width == 1.0:
             break
-        width = 1.0
-        if before is not None and worst <= 2 * best:
-            g = mass @ before
-            width = min(M.MAX_STEP, max(1.0, (before @ g) / (g * g / s).sum()))
-        r = np.maximum(0, r - p @ (width * gap))
+        else:
+            width = max(1.0, width / 8)
+        if np.abs(gap).max() < M.CLOSE or since >= M.PATIENCE:
+            break
+        trial = np.maximum(0, r - p @ (width * gap))
     return r
 
 
