@@ -95,3 +95,9 @@ def test_recall_at_the_threshold():
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_very_large_and_small_vectors_link_by_direction(spark):
+    rows = [(1, [1e200, 1e198], 1, "n"), (2, [1e200, 1.01e198], 1, "n"), (3, [1e-200, 1e-202], 1, "n"), (4, [1e-200, 1.01e-202], 1, "n"), (5, [-1e300, 1e300], 1, "n"), (6, [5e-324, 0.0], 1, "n")]
+    got = E.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n_links string")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {**{i: (4, 1) for i in (1, 2, 3, 4, 6)}, 5: (0, 5)}

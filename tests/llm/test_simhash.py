@@ -77,3 +77,11 @@ def test_components_match_brute_force(spark):
 
 def test_empty_table(spark):
     assert S.simhash_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_pairs_reduced_in_parts_reach_the_same_roots():
+    rng = np.random.default_rng(2)
+    pairs = [(rng.integers(0, 1 << 62, 40).astype(np.uint64) % 300, rng.integers(0, 1 << 62, 40).astype(np.uint64) % 300) for _ in range(6)]
+    whole = dict(zip(*map(np.ndarray.tolist, S.local_roots(iter(pairs))), strict=True))
+    parts = dict(zip(*map(np.ndarray.tolist, S.local_roots(iter(pairs), at_once=50)), strict=True))
+    assert {k: v for k, v in parts.items()} == {k: v for k, v in whole.items() if k in parts} and {k for k, v in whole.items() if k != v} <= set(parts)
