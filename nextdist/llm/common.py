@@ -21,11 +21,11 @@ def file_rows(docs: DataFrame, name: str = "_row") -> DataFrame:
     However a scan is split, and whichever executors read it, a row gets the same number; nothing is written. The
     files' numbers are a table with one row per file. ``docs`` may select and filter columns, but not join or explode.
     """
-    x = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
-    files = sorted(r[0] for r in x.select("_file").distinct().collect())
-    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "_number long, _file string")
-    x = x.join(F.broadcast(numbers), "_file")  # one row per file
-    return x.withColumn(name, F.shiftleft("_number", 40) + F.col("_place")).drop("_file", "_place", "_number")
+    x = without(docs, [name]).select("*", F.col("_metadata.file_path").alias("_nextdist_file"), F.col("_metadata.row_index").alias("_nextdist_place"))
+    files = sorted(r[0] for r in x.select("_nextdist_file").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "_nextdist_number long, _nextdist_file string")
+    x = x.join(F.broadcast(numbers), "_nextdist_file")  # one row per file
+    return x.withColumn(name, F.shiftleft("_nextdist_number", 40) + F.col("_nextdist_place")).drop("_nextdist_file", "_nextdist_place", "_nextdist_number")
 
 
 def with_rows(docs: DataFrame, row: str | None, own: list[str], tag: str) -> tuple[DataFrame, list[str]]:

@@ -307,10 +307,10 @@ def extract_pages(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x.as_py()) for x in b.column("_html")]
+            texts = [main_text(x.as_py()) for x in b.column("_nextdist_html")]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*keep, *own])
 
-    return rows.select(F.col("html").alias("_html"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
+    return rows.select(F.col("html").alias("_nextdist_html"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
 
 
 #: For pages as the given tables have them: one article of headings and paragraphs, with nothing to drop inside it.

@@ -203,6 +203,6 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     rows are numbered once and written with their numbers. Nulls, repeated rows and empty tables are as in :func:`mixing_rates`; a column ``_row`` of the input is not returned.
     """
     rows, names = with_rows(docs, row, [], "mix-rows")
-    rates = _rates(rows, labels, targets).select("_row", "copies").where("copies > 0")
-    x = rows.join(rates, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    rates = _rates(rows, labels, targets).where("copies > 0").select("_row", F.col("copies").alias("_nextdist_copies"))
+    x = rows.join(rates, "_row").withColumn("_nextdist_copy", F.explode(F.sequence(F.lit(1), F.col("_nextdist_copies"))))
     return x.select(*[F.col(f"`{c}`") for c in names])

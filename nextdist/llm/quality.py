@@ -82,11 +82,11 @@ def with_features(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [text_features(x.as_py()) for x in b.column("_body")]
+            rows = [text_features(x.as_py()) for x in b.column("_nextdist_body")]
             cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(FEATURES))]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], names)
 
-    return docs.select(F.col("text").alias("_body"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
+    return docs.select(F.col("text").alias("_nextdist_body"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
 
 
 def _base_failed():
@@ -158,10 +158,11 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None, min_group: int
     need = [*keep, *[c for c in ("lang", "source") if c not in keep]]
     judged = with_features(without(docs, own), need).withColumn("base_failed", _base_failed())
     judged = judged if reread else saved(judged, "quality-counts")
-    lim = saved(limits(saved(sketches(with_features(docs, ["lang", "source"]) if reread else judged), "quality-sketch"), min_group), "quality-limits").withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    x = judged.join(lim, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    fine = " and ".join(f"coalesce({a} * 1000 div nullif({b}, 0) <= max_{m}, true)" for m, a, b, _, _ in HIGH_LIMITS)
-    x = x.withColumn("kept", F.expr(f"not base_failed and {fine} and coalesce(word_chars * 1000 div nullif(n_words, 0) >= min_word_length, true)"))
+    lim = saved(limits(saved(sketches(with_features(docs, ["lang", "source"]) if reread else judged), "quality-sketch"), min_group), "quality-limits")
+    lim = lim.select(*[F.col(c).alias(f"_nextdist_{c}") for c in lim.columns])
+    x = judged.join(lim, F.col("lang").eqNullSafe(F.col("_nextdist_lang")) & F.col("source").eqNullSafe(F.col("_nextdist_source")), "left")
+    fine = " and ".join(f"coalesce({a} * 1000 div nullif({b}, 0) <= _nextdist_max_{m}, true)" for m, a, b, _, _ in HIGH_LIMITS)
+    x = x.withColumn("kept", F.expr(f"not base_failed and {fine} and coalesce(word_chars * 1000 div nullif(n_words, 0) >= _nextdist_min_word_length, true)"))
     return x.select(*[F.col(f"`{c}`") for c in keep], *own)
 
 

@@ -64,10 +64,10 @@ def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([simhash(x.as_py()) for x in b.column("_body")], dtype=np.uint64).view(np.int64)
+            fp = np.array([simhash(x.as_py()) for x in b.column("_nextdist_body")], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fp)], [*keep, "fp"])
 
-    return docs.select(F.col("text").alias("_body"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
+    return docs.select(F.col("text").alias("_nextdist_body"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
 
 
 def _distance(x: np.ndarray, v: np.uint64) -> np.ndarray:

@@ -148,3 +148,17 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_further_columns_with_clashing_names_go_along(spark, tmp_path):
+    names = ["kept", "n_words", "copies", "rate", "node", "size", "first", "keys", "root", "n_lines", "_gone", "_lang", "_body", "_copy", "max_symbols", "_row", "fp", "same", "extra"]
+    rows = [(i, " ".join(f"w{i % 5}x{k}" for k in range(80)), "en", "s", 5, *["x"] * len(names)) for i in range(8)]
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", `{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs.write.parquet(str(tmp_path / name.replace(" ", "-")))
+        docs = spark.read.parquet(str(tmp_path / name.replace(" ", "-")))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
+        docs = stage(spark, docs, str(tmp_path))
+        assert name != "near-dedup" or sorted(r.doc_id for r in docs.collect()) == [0, 1, 2, 3, 4]
+    got = docs.collect()
+    assert all(r.extra == r.first == r.size == "x" for r in got) and {"doc_id", "text", "lang", "source", "n_chars"} <= set(docs.columns)
