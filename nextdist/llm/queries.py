@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, lattice, linededup, mixing, packing, quality, shards, simhash, urlfilter
+from . import chat, html, lattice, linededup, merkle, mixing, packing, quality, shards, simhash, urlfilter
 from .common import file_rows, table
 
 
@@ -48,7 +48,12 @@ def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_merkle_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op13_merkle_windows": op13_merkle_windows,
     "op4_soft_mixing": op4_soft_mixing,
     "op2_html_blocks": op2_html_blocks,
     "op5_quotation_links": op5_quotation_links,
@@ -60,4 +65,4 @@ QUERIES = {
     "op10_line_dedup_suffix_array": op10_line_dedup_suffix_array,
     "op7_harmonic_packing": op7_harmonic_packing,
 }
-ORACLES = {"op1_quality_rules": quality.ORACLE_SQL, "op10_line_dedup_suffix_array": linededup.ORACLE_SQL, "op2_html_blocks": html.ORACLE_SQL, "op5_quotation_links": chat.ORACLE_SQL, "op3_url_link_graph": urlfilter.ORACLE_SQL, "op9_embedding_lattice": lattice.ORACLE_SQL}
+ORACLES = {"op1_quality_rules": quality.ORACLE_SQL, "op10_line_dedup_suffix_array": linededup.ORACLE_SQL, "op2_html_blocks": html.ORACLE_SQL, "op5_quotation_links": chat.ORACLE_SQL, "op3_url_link_graph": urlfilter.ORACLE_SQL, "op9_embedding_lattice": lattice.ORACLE_SQL, "op13_merkle_windows": merkle.ORACLE_SQL}
