@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, html, lattice, linededup, merkle, mixing, packing, quality, shards, simhash, urlfilter
+from . import bond, chat, html, lattice, linededup, merkle, mixing, packing, quality, shards, simhash, urlfilter
 from .common import file_rows, table
 
 
@@ -52,7 +53,12 @@ def op13_merkle_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered_manifest(table(spark, sf_dir, "documents"))
 
 
+def op11_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bond.hard_negatives(bond.shifted(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
+    "op11_bond_negatives": op11_bond_negatives,
     "op13_merkle_windows": op13_merkle_windows,
     "op4_soft_mixing": op4_soft_mixing,
     "op2_html_blocks": op2_html_blocks,
@@ -65,4 +71,4 @@ QUERIES = {
     "op10_line_dedup_suffix_array": op10_line_dedup_suffix_array,
     "op7_harmonic_packing": op7_harmonic_packing,
 }
-ORACLES = {"op1_quality_rules": quality.ORACLE_SQL, "op10_line_dedup_suffix_array": linededup.ORACLE_SQL, "op2_html_blocks": html.ORACLE_SQL, "op5_quotation_links": chat.ORACLE_SQL, "op3_url_link_graph": urlfilter.ORACLE_SQL, "op9_embedding_lattice": lattice.ORACLE_SQL, "op13_merkle_windows": merkle.ORACLE_SQL}
+ORACLES = {"op1_quality_rules": quality.ORACLE_SQL, "op10_line_dedup_suffix_array": linededup.ORACLE_SQL, "op2_html_blocks": html.ORACLE_SQL, "op5_quotation_links": chat.ORACLE_SQL, "op3_url_link_graph": urlfilter.ORACLE_SQL, "op9_embedding_lattice": lattice.ORACLE_SQL, "op13_merkle_windows": merkle.ORACLE_SQL, "op11_bond_negatives": bond.ORACLE_SQL}
