@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bond, chat, html, lattice, linededup, merkle, mixing, packing, quality, shards, simhash, urlfilter
+from . import bond, chat, html, lattice, linededup, merkle, mixing, packing, quality, shards, simhash, toxicity, urlfilter
 from .common import file_rows, table
 
 
@@ -57,7 +57,15 @@ def op11_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bond.hard_negatives(bond.shifted(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
 
 
+def op12_toxicity_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    scored = toxicity.toxicity(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
+    "op12_toxicity_levenshtein": op12_toxicity_levenshtein,
     "op11_bond_negatives": op11_bond_negatives,
     "op13_merkle_windows": op13_merkle_windows,
     "op4_soft_mixing": op4_soft_mixing,
