@@ -2,9 +2,9 @@
 
 A page is cut into blocks at block-level tags. The first pass decides blocks: those in a
 container that is never main text (navigation, header, footer, advert, form, ...) or made
-of links are bad; those with enough stop words or, in running text, enough length are good; long ones
-with hardly a stop word outside an article are bad. Short and unclear ones stay
-undecided. The second pass gives those the label of the nearest decided neighbours. The borders of an article
+of links are bad; those with enough stop words or, in running text, enough length are good. Of long ones
+with hardly a stop word, whose language may have no list here, those that read as sentences are good or undecided, and
+others outside an article are bad. Short and unclear ones stay undecided. The second pass gives those the label of the nearest decided neighbours. The borders of an article
 count as good neighbours, those of other containers and of the page as bad, but a heading goes by what
 follows it and a page's last paragraphs by what is before them.
 """
@@ -38,7 +38,7 @@ BLOCK_TAGS = frozenset(
     "legend li main menu nav ol optgroup option p pre section summary table tbody td template tfoot th thead title tr ul".split()
 )
 SKIPPED = frozenset("script style noscript template svg iframe object canvas select textarea button head title audio video".split())
-BAD_TAGS = frozenset("nav header footer aside form menu dialog".split())
+BAD_TAGS = frozenset("nav header footer aside menu dialog".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE_TAGS = frozenset("article main".split())
@@ -60,6 +60,11 @@ PLAIN_WORDS = frozenset(
 BAD_OUTSIDE = frozenset("discussion".split())
 #: What these name is no article even where it is marked up as one.
 NEVER_ARTICLE = frozenset("comment comments respond reply replies disqus related recommended promo promotion ad ads advert adverts sponsored teaser widget".split())
+#: What these name is reader comments whatever is said beside, unless it is a state of the page; what begins with these is for sharing.
+COMMENT_WORDS = frozenset("comment comments disqus".split())
+STATE_WORDS = frozenset("allow allowed closed count disabled enabled free has no off on open with without".split())
+SHARE_WORDS = frozenset("share sharing".split())
+SHARED_WORDS = frozenset("article email facebook linkedin on options print reddit telegram this tools twitter us via whatsapp with".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Quotes count after an equals sign only, as in browsers.
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|(?![\"'])[^\s>]*+))*+)(?:>|\Z)", re.S)
@@ -69,9 +74,14 @@ _RAW_END = {name: re.compile(rf"</{name}\s*/?>", re.I) for name in RAW}
 _NAME = re.compile(r"[a-z]+", re.I)
 _WORD = re.compile(r"\w+")
 _SPACE = re.compile(r"\s+")
+#: Scripts whose words have no blanks between them, and ends of sentences.
+_DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+_SENTENCE = re.compile("[.!?\u2026\u0964\u06d4\u061f](?=[\\s\"'\u201d\u2019\u00bb)]|$)|[\u3002\uff01\uff1f\u1362]")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 LENGTH_LOW, LENGTH_HIGH = 70, 200
+#: A letter of a dense script counts as so many; running text has a sentence's end in so many letters.
+DENSE, SENTENCE = 3, 300
 STOP_LOW, STOP_HIGH = 0.10, 0.25
 MAX_LINKS = 0.5
 ARTICLE_MAX_LINKS = 0.9
@@ -104,29 +114,36 @@ def _bad_name(words: list[str], article: int) -> bool:
     """Whether a class or id, taken whole, names something that is not main text."""
     if not article and len(words) == 1 and words[0] in BAD_OUTSIDE:
         return True
+    if any(w in COMMENT_WORDS for w in words) and not any(w in STATE_WORDS for w in words):
+        return True
+    if words and words[0] in SHARE_WORDS and all(w in BAD_WORDS or w in PLAIN_WORDS or w in SHARED_WORDS for w in words):
+        return True
     return any(w in BAD_WORDS for w in words) and all(w in BAD_WORDS or w in PLAIN_WORDS for w in words)
 
 
 class _Block:
-    __slots__ = ("parts", "links", "bad", "article", "tag")
+    __slots__ = ("parts", "links", "bad", "article", "tag", "form")
 
-    def __init__(self, bad: bool, article: int, tag: str = ""):
+    def __init__(self, bad: bool, article: int, tag: str = "", form: int = 0):
         self.parts: list[str] = []
         self.links = 0
         self.bad = bad
         self.article = article
         self.tag = tag
+        self.form = form
 
 
-def blocks(html: str) -> list[tuple[str, int, bool, int, str]]:
-    """``(text, characters in links, in a bad container, number of its article or 0, innermost element)`` in page order.
+def blocks(html: str) -> list[tuple[str, int, bool, int, str, int]]:
+    """``(text, characters in links, in a bad container, number of its article or 0, innermost element, number of its form or 0)`` in page order.
 
     One pass; what an end tag closes is popped once, and an end tag of nothing open costs nothing.
     """
-    out: list[tuple[str, int, bool, int, str]] = []
-    stack: list[tuple[str, bool, int, bool, bool]] = []  # open block-level and skipped elements: (name, bad, article, skipped, never an article)
+    out: list[tuple[str, int, bool, int, str, int]] = []
+    # open block-level and skipped elements: (name, bad, article, skipped, never an article, form, bad as an article's header only)
+    stack: list[tuple[str, bool, int, bool, bool, int, bool]] = []
     opened: Counter = Counter()
     bad, article, skipped, never, articles = False, 0, False, False, 0
+    form, forms, heads = 0, 0, False
     advert, depth, floor = "", 0, 0  # an inline element that is left out: its name, how many of that name are open, and the stack's height around it
     in_link, in_code, here, at, end = 0, 0, _Block(False, 0), 0, len(html)
 
@@ -135,8 +152,8 @@ def blocks(html: str) -> list[tuple[str, int, bool, int, str]]:
         if here.parts:
             text = _SPACE.sub(" ", unescape("".join(here.parts))).strip()
             if text:
-                out.append((text, here.links, here.bad, here.article, here.tag))
-        here = _Block(bad, article, stack[-1][0] if stack else "")
+                out.append((text, here.links, here.bad, here.article, here.tag, here.form))
+        here = _Block(bad, article, stack[-1][0] if stack else "", form)
 
     def add(text: str) -> None:
         if text and not skipped and not advert:
@@ -145,10 +162,10 @@ def blocks(html: str) -> list[tuple[str, int, bool, int, str]]:
                 here.links += len(text.strip())
 
     def close(height: int) -> None:
-        nonlocal bad, article, skipped, never, advert
+        nonlocal bad, article, skipped, never, advert, form, heads
         while len(stack) > height:
             opened[stack.pop()[0]] -= 1
-        bad, article, skipped, never = stack[-1][1:] if stack else (False, 0, False, False)
+        bad, article, skipped, never, form, heads = stack[-1][1:] if stack else (False, 0, False, False, 0, False)
         if advert and height < floor:
             advert = ""
 
@@ -212,10 +229,19 @@ def blocks(html: str) -> list[tuple[str, int, bool, int, str]]:
                 if not article:
                     articles += 1
                     article = articles
-            bad = bad or (is_bad and name not in ("body", "html"))
+            if name == "header" and article and not bad and not _bad_attributes(m[3], article)[0]:
+                bad = heads = True  # an article's header: only its headings are the article's
+            elif name in HEADINGS and heads and not is_bad:
+                bad = False
+            else:
+                if is_bad and name not in ("body", "html"):
+                    bad, heads = True, False
+            if name == "form":
+                forms += 1
+                form = form or forms
             never = never or no_article
             skipped = skipped or name in SKIPPED
-            stack.append((name, bad, article, skipped, never))
+            stack.append((name, bad, article, skipped, never, form, heads))
             opened[name] += 1
             if name in BLOCK_TAGS:
                 in_link = in_code = 0
@@ -236,6 +262,27 @@ def blocks(html: str) -> list[tuple[str, int, bool, int, str]]:
     return out
 
 
+def without_forms(found: list[tuple[str, int, bool, int, str, int]]) -> list[tuple[str, int, bool, int, str]]:
+    """The blocks with those in forms marked as bad, but for a form that is only wrapped around the page: one with most of its running text, in paragraphs or headings of its own."""
+    running = Counter()
+    for text, links, bad, _, tag, form in found:
+        if not bad and (tag in HEADINGS or tag == "p" or links < MAX_LINKS * len(text)):
+            running[form] += len(text) - links
+    parts = Counter(b[5] for b in found if not b[2] and (b[4] == "p" or b[4] in HEADINGS))
+    around = {f for f, n in running.items() if f and 2 * n > sum(running.values()) and parts[f] > 1}
+    return [(text, links, bad or bool(form and form not in around), article, tag) for text, links, bad, article, tag, form in found]
+
+
+def width(text: str) -> int:
+    """Letters, where one of a script without blanks between words counts for more."""
+    return len(text) if text.isascii() else len(text) + (DENSE - 1) * len(_DENSE.findall(text))
+
+
+def reads_as_sentences(text: str) -> bool:
+    """Whether sentences end in it, as often as in running text."""
+    return width(text) <= SENTENCE * len(_SENTENCE.findall(text))
+
+
 def classify(found: list[tuple[str, int, bool, int, str]]) -> list[bool]:
     """Whether each block is main text."""
     labels = []
@@ -243,17 +290,21 @@ def classify(found: list[tuple[str, int, bool, int, str]]) -> list[bool]:
     for text, links, bad, article, tag in found:
         words = _WORD.findall(text.lower())
         stop = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        density = links / len(text)
+        density, size = links / len(text), width(text)
         if bad or (some_article and not article):
             label = BAD
         elif density > (ARTICLE_MAX_LINKS if article else MAX_LINKS):
-            label = UNDECIDED if article and (len(text) < LENGTH_LOW or tag == "p") else BAD
-        elif len(text) < LENGTH_LOW:
+            label = UNDECIDED if article and (size < LENGTH_LOW or tag == "p") else BAD
+        elif size < LENGTH_LOW:
             label = UNDECIDED
-        elif stop >= STOP_HIGH or (stop >= STOP_LOW and len(text) > LENGTH_HIGH):
+        elif stop >= STOP_HIGH or (stop >= STOP_LOW and size > LENGTH_HIGH):
             label = GOOD
+        elif article or stop >= STOP_LOW:
+            label = UNDECIDED
+        elif reads_as_sentences(text):  # in a language without a list
+            label = GOOD if size > LENGTH_HIGH or tag == "p" else UNDECIDED
         else:
-            label = UNDECIDED if article or stop >= STOP_LOW else BAD
+            label = BAD
         labels.append(label)
     if GOOD not in labels and not some_article:  # a page of short paragraphs only: nothing decided to inherit from
         labels = [GOOD if label == UNDECIDED and found[i][4] in ("p", *HEADINGS) and not found[i][1] else label for i, label in enumerate(labels)]
@@ -288,7 +339,7 @@ def main_text(html: str | None) -> str:
     """Main text of one page: its good blocks, one a line."""
     if not html:
         return ""
-    found = blocks(html)
+    found = without_forms(blocks(html))
     return "\n".join(b[0] for b, ok in zip(found, classify(found), strict=True) if ok)
 
 
@@ -297,7 +348,8 @@ def extract_pages(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     Each row is read whole and on its own, so nothing is shuffled. Nulls: a null html is an
     empty page with an empty text. Repeated rows give repeated results, an empty table an empty
-    one. Broken markup (open elements, stray tags, stray quotes, cut references) is read as browsers do, a page of any length
+    one. A language without a stop-word list goes by length, links and sentences; what is lost of it outside articles is text without
+    a sentence's end. Broken markup (open elements, stray tags, stray quotes, cut references) is read as browsers do, a page of any length
     in one pass. Input columns named like a result are replaced.
     """
     own = ["text", "n_chars"]

@@ -103,3 +103,43 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "<article>a</article>", "x", 5)], "page_id long, html string, text string, n_chars int")
     row = H.extract_pages(df).first()
     assert (row.text, row.n_chars) == ("a", 1)
+
+
+ITALIAN = "La città si trova nella pianura e conta molti abitanti che vivono lungo il fiume. Ogni anno arrivano turisti da tutto il mondo. "
+FINNISH = "Kaupunki sijaitsee tasangolla ja siellä asuu paljon ihmisiä joen varrella. Joka vuosi matkailijoita saapuu kaikkialta. "
+CHINESE = "这座城市位于平原之上，沿河居住着许多居民。每年都有来自世界各地的游客前来参观博物馆和古老的教堂。春天的时候，街道两旁开满了鲜花。"
+
+
+def test_languages_without_a_list_go_by_sentences():
+    tags = "<div>one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen</div>"
+    for t in (ITALIAN, FINNISH, CHINESE):
+        for el in ("p", "div"):
+            body = "".join(f"<{el}>{x}</{el}>" for x in (t * 3, t * 4, t * 3))
+            page = f"<html><body><ul><li><a href=/>Casa</a></ul>{tags}{body}{tags}<footer>{t}</footer></body></html>"
+            assert H.main_text(page).split("\n") == [(t * n).strip() for n in (3, 4, 3)], (t, el)
+        assert H.main_text(f"<h1>{t[:12]}</h1><p>{t}</p><p>{t}</p>").split("\n") == [t[:12].strip(), t.strip(), t.strip()]
+        assert H.main_text(f"<div>{GOOD}</div><div>{t * 3}</div><div>{GOOD}</div>").count(t.strip()) == 3  # beside a language with one
+
+
+def test_forms_around_pages_and_forms_in_them():
+    page = f"<ul><li><a href=/>Home</a></ul><h1>News</h1><p>{GOOD}</p><p>{GOOD}</p>"
+    asked = "<p>Your email address will not be published, and the fields that are required are marked with a star.</p><input name=q>"
+    want = ["News", GOOD.strip(), GOOD.strip()]
+    assert H.main_text(f"<body><form id='aspnetForm' method=post>{page}</form></body>").split("\n") == want
+    assert H.main_text(f"<body><form id='aspnetForm'><div>{page}</div><form>{asked}</form></form></body>").split("\n")[:3] == want
+    assert H.main_text(f"<body>{page}<form>{asked}{asked}</form></body>").split("\n") == want
+    assert H.main_text(f"<article>{page}<form>{asked}</form></article>").count("email") == 0
+
+
+def test_headings_of_an_articles_header():
+    text = "<p>The man of the town was in the house.</p>"
+    assert H.main_text(f"<article><header><h1>Title</h1><p>By me</p><nav><h2>Menu</h2></nav></header>{text}</article>").split("\n") == ["Title", "The man of the town was in the house."]
+    assert H.main_text(f"<header><h1>Site</h1></header><article>{text}</article>").split("\n") == ["The man of the town was in the house."]
+    assert H.main_text(f"<article><header class=banner><h1>Ad</h1></header>{text}</article>").split("\n") == ["The man of the town was in the house."]
+
+
+def test_comments_and_sharing_by_any_word_of_their_name():
+    for name in ("reader-comments", "fb-comments", "article_comments_list", "UserComments", "share-this-article", "sharing-tools"):
+        assert H.main_text(f"<article><p>One.</p><div class='{name}'><p>First!</p></div></article>") == "One.", name
+    for name in ("no-comments", "comments-open", "has-comments", "share-price", "commentary"):
+        assert H.main_text(f"<article><p>One.</p><div class='{name}'><p>Two.</p></div></article>") == "One.\nTwo.", name
