@@ -1,0 +1,142 @@
+import itertools
+import random
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from nextdist.llm import queries as Q
+from nextdist.llm import toxicity as X
+
+
+def distance(a, b):
+    p = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        q = [i]
+        for j, y in enumerate(b, 1):
+            q.append(min(q[-1] + 1, p[j] + 1, p[j - 1] + (x != y)))
+        p = q
+    return p[-1]
+
+
+def test_automaton_finds_what_the_distances_say():
+    rng = random.Random(1)
+    word = lambda lo, hi: "".join(rng.choice("abc") for _ in range(rng.randint(lo, hi)))
+    terms = sorted({word(3, 10) for _ in range(60)})
+    stems = sorted({word(3, 5) for _ in range(5)})
+    lex = X.Lexicon(terms, stems)
+    for w in {word(0, 13) for _ in range(1500)} | set(terms):
+        want = {(t, d) for t in terms if (d := distance(w, t)) <= X.errors_in(t)} | {(s, 0) for s in stems if w.startswith(s)}
+        assert set(lex.search(w)) == want, w
+        best = min(want, key=lambda f: (f[1], -len(f[0]), f[0]), default=None)
+        got = lex.find(w)
+        assert got == ((w, 0) if w in terms else best), w
+
+
+def test_very_long_and_odd_words():
+    lex = X.Lexicon(["disgusting"], ["réeu"])
+    assert lex.find("réeu" + "x" * 100_000) == ("réeu", 0)
+    assert lex.find("x" * 100_000) is None and lex.find("") is None
+    assert lex.find("disgusting" + "g" * 3) is None and lex.find("d1sgust1ng") == ("disgusting", 2)
+    assert X.Lexicon([], []).find("word") is None
+
+
+MODEL = X.Model({"idiot": 5.0, "worthless": 5.0, "scum": 5.0}, {"achl": 3.0}, ["idiom"], [-4.0, 2.5, 2.0, -3.0])
+
+
+def test_misspelt_words_and_usual_ones_that_look_like_them():
+    r = MODEL.reader()
+    assert [h[1:4] for h in r.hits("You 1diot, (idi0t!) idiom IDIOT?? worthles scun achlich")[1]] == [
+        ("1diot", "idiot", 1), ("idi0t", "idiot", 1), ("idiot", "idiot", 0), ("worthles", "worthless", 1), ("achlich", "achl", 0)]
+
+
+def test_quotation_is_told_from_abuse():
+    r = MODEL.reader()
+    weight = lambda t: r.hits(t)[1][0][4]
+    assert weight("the house of an idiot is far") == 1.0
+    assert weight("oh you are an idiot and more") == X.ADDRESSED
+    assert weight('the house "an idiot at home" is far') == X.QUOTED
+    assert weight("he called it “an idiot at home” and left") == X.REPORTED
+    assert weight('a "house" of an idiot and a "garden" here') == 1.0  # between two quotations
+    pad = " ".join(["plain"] * 40)
+    assert r.score(f"{pad} you idiot {pad}") > r.score(f"{pad} an idiot {pad}") > r.score(f'{pad} "an idiot" {pad}') > r.score(f'{pad} he said "an idiot" {pad}') > r.score(pad)
+
+
+def made(n=600, seed=4):
+    rng = random.Random(seed)
+    vocab = ["".join(rng.choice(["ta", "mi", "ro", "lu", "ken", "sol"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    docs, labels = [], []
+    for i in range(n):
+        words = [rng.choice(vocab) for _ in range(rng.randint(20, 200))]
+        toxic = i % 6 == 0
+        for _ in range(3 if toxic else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(["blockhead", "nitwit", "dunce", "nitwxt"]))
+        docs.append((i, " ".join(words), "en", f"s{i % 3}"))
+        labels.append((i, int(toxic)))
+    return docs, labels
+
+
+def test_learns_words_and_keeps_its_hands_off_held_out_labels(spark):
+    docs, labels = made()
+    out = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    got = []
+    for turned in (False, True):
+        rows = [(i, 1 - y if turned and out(i) else y) for i, y in labels]
+        model = X.fit(d, spark.createDataFrame(rows, "doc_id long, toxic int").where(~X.held_out()))
+        got.append((model, {r.doc_id: r.score for r in X.toxicity(d, model).collect()}))
+    assert got[0] == got[1]
+    model, score = got[0]
+    assert set(model.words) <= {"blockhead", "nitwit", "dunce", "nitwxt"} and "blockhead" in model.words
+    right = [(score[i] >= 0.7) == bool(y) for i, y in labels if out(i)]
+    assert sum(right) >= 0.97 * len(right)
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    rows = [(1, None), (2, ""), (3, " \n "), (4, "you idiot scum"), (4, "you idiot scum"), (None, "you idiot scum"), (5, "\"!? ... “”"), (6, "idiot " * 200_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("score", "predicted", "hits", "w", "a", "b", "y", "toxic", "f0", "_metadata"):
+        d = d.withColumn(name, F.lit("x"))
+    x = X.toxicity(d, MODEL, hits=True)
+    assert x.columns == ["doc_id", "text", "w", "a", "b", "y", "toxic", "f0", "_metadata", "score", "predicted", "hits"]
+    got = x.orderBy("doc_id").collect()
+    none = MODEL.reader().score("")
+    assert [r.score for r in got if r.doc_id in (1, 2, 3, 5)] == [none] * 4 and 0 < none < 0.1
+    assert [r.predicted for r in got if r.doc_id in (None, 4, 6)] == [1, 1, 1, 1]
+    assert len(got[-1].hits) == 200_000 and got[-1].hits[7].place == 7
+    # learning: the same columns, conflicting, repeated, null and unknown labels
+    labels = spark.createDataFrame([(4, 1), (4, 0), (1, 0), (None, 1), (77, 1), (2, None), (3, 0)], "doc_id long, toxic int").withColumn("text", F.lit("x")).withColumn("y", F.lit(3))
+    assert isinstance(X.fit(d, labels), X.Model)
+    assert X.fit(d, labels.where("false")) == X.Model() == X.fit(d.where("false"), labels)
+    assert X.toxicity(d.where("false"), X.Model()).count() == 0
+    assert all(r.score == 0.01 and r.predicted == 0 for r in X.toxicity(d, X.Model()).collect())
+
+
+def test_bounded_sample_of_labels(spark):
+    docs, labels = made()
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    model = X.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"), max_fit=300)
+    assert "nitwit" in model.words
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_held_out_accuracy_on_the_given_tables(spark, sf):
+    d = f"/root/testdata/{sf}"
+    got = Q.op12_toxicity_levenshtein(spark, d)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+    rows = got.collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7) for r in rows)
+    true = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    held = [(r.predicted, true[r.doc_id]) for r in rows if r.held_out and r.doc_id in true]
+    hit = sum(p and t for p, t in held)
+    assert hit >= 0.85 * sum(t for _, t in held) and sum(p and not t for p, t in held) <= 0.02 * len(held)
+
+
+def test_parts_are_sound():
+    """Within the allowed distance some part is whole, so nothing is lost before the trie."""
+    for term in ("loser", "pathetic", "worthless", "disgusting"):
+        lex = X.Lexicon([term], [])
+        k = X.errors_in(term)
+        one = {term[:i] + c + term[j:] for i, c, j in itertools.product(range(len(term) + 1), ["", "x"], range(len(term) + 1)) if j in (i, i + 1)}
+        near = one if k == 1 else {w[:i] + c + w[j:] for w in one for i, c, j in itertools.product(range(len(w) + 1), ["", "y"], range(len(w) + 1)) if j in (i, i + 1)}
+        assert all(lex.find(w) for w in near if distance(w, term) <= k)
