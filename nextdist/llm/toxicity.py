@@ -3,14 +3,14 @@
 The lexicon is learnt from labelled texts: words, and stems that several words share, that toxic texts have far more
 often and surely so. Its terms stand in a trie. A word of a text is read as a Levenshtein automaton, whose
 states are bit sets of the places in the word for each number of errors; walking the trie with it finds all terms within the
-allowed distance at once. Each hit is weighed by the words around it: quoted or reported speech weighs little, direct
+allowed distance at once. Words are counted by the different words before them, so that copies of a text count once. Each hit is weighed by the words around it: quoted or reported speech weighs little, direct
 address more. A logistic model over the weighed hits of a text gives its score.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -25,8 +25,8 @@ from .common import saved, without
 #: Labelled texts used for fitting at most, and terms of the lexicon at most.
 MAX_FIT, MAX_TERMS = 40_000, 5_000
 #: A term is so many times likelier in toxic texts at least, and its log-likelihood ratio (G) is at least this.
-MIN_RATIO, MIN_G = 4.0, 24.0
-#: Letters of a stem, and the share of its toxic texts that one of its words may make.
+MIN_RATIO, MIN_G = 6.0, 24.0
+#: Letters of a stem, and the share of its uses in toxic texts that one of its words may make.
 STEM, ONE_WORD = (3, 12), 0.5
 #: Letters from which a word may have one error, and two.
 ONE_ERROR, TWO_ERRORS = 5, 8
@@ -71,6 +71,9 @@ class Lexicon:
         node = self.root
         for c in term:
             node = node.setdefault(c, {})
+            if errors >= 0:  # errors allowed below, and the words' lengths
+                most, least, longest = node.get(" ", (0, len(term), 0))
+                node[" "] = (max(most, errors), min(least, len(term)), max(longest, len(term)))
         node[""] = (term, errors)
         self.longest = max(self.longest, len(term))
 
@@ -118,6 +121,8 @@ class Lexicon:
         while todo:
             node, state, depth = todo.pop()
             for c, child in node.items():
+                if c == " ":
+                    continue
                 if not c:
                     term, errors = child
                     if errors < 0:
@@ -133,8 +138,12 @@ class Lexicon:
                 for e in range(1, most + 1):
                     # the letter fits; or it is one too many, or another one; or a letter of the word is left out
                     new.append(((state[e] & fits) << 1 | state[e - 1] | state[e - 1] << 1 | new[e - 1] << 1) & full)
-                if any(new):
+                if new[0]:
                     todo.append((child, new, depth + 1))
+                elif " " in child:
+                    errors, least, longest = child[" "]
+                    if least - errors <= n <= longest + errors and any(new[1 : errors + 1]):
+                        todo.append((child, new, depth + 1))
         return out
 
 
@@ -145,19 +154,13 @@ def errors_in(term: str) -> int:
 def context_weight(raw: list[str], words: list[str], i: int) -> float:
     """How much a hit at word ``i`` says, from the words around it."""
     lo, hi = max(0, i - WINDOW), min(len(raw), i + WINDOW + 1)
-    opened = closed = False
-    for j in range(i, lo - 1, -1):
-        if j < i and raw[j][-1] in CLOSING and not raw[j][0] in OPENING:
-            break
-        if raw[j].lstrip("([")[:1] in OPENING and raw[j].lstrip("([")[:1]:
-            opened = True
-            break
-    for j in range(i, hi):
-        if raw[j].rstrip(".,;:!?)]")[-1:] in CLOSING and raw[j].rstrip(".,;:!?)]"):
-            closed = True
-            break
-        if j > i and raw[j][0] in OPENING:
-            break
+    opens = lambda j: raw[j].lstrip("([")[:1] in OPENING
+    closes = lambda j: raw[j].rstrip(".,;:!?)]")[-1:] in CLOSING
+    # to the left the nearest mark must open a quotation, to the right it must close one
+    left = next((j for j in range(i, lo - 1, -1) if opens(j) or j < i and closes(j)), None)
+    right = next((j for j in range(i, hi) if closes(j) or j > i and opens(j)), None)
+    opened = left is not None and (left == i or not closes(left))
+    closed = right is not None and (right == i or not opens(right))
     around = words[lo:hi]
     if opened and closed:
         return REPORTED if any(w in REPORTING for w in around) else QUOTED
@@ -232,7 +235,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarr
 
 
 def _telling(n1: int, n0: int) -> tuple[str, str]:
-    """SQL columns ``lr`` and ``g`` of counts ``a`` (toxic) and ``b`` in so many texts of each kind."""
+    """SQL columns ``lr`` and ``g`` of a term used ``a`` times in toxic texts and ``b`` times in others, of so many uses of all words."""
     n = n1 + n0
     part = lambda c, m: f"case when {c} > 0 then {c} * ln({c} * {n}D / ((a + b) * {m}D)) else 0D end"
     return f"ln((a + 0.5D) / {n1 + 1}) - ln((b + 0.5D) / {n0 + 1}) as lr", f"2 * ({part('a', n1)} + {part('b', n0)}) as g"
@@ -241,8 +244,8 @@ def _telling(n1: int, n0: int) -> tuple[str, str]:
 def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model:
     """Learn lexicon and weights from the texts of ``docs(doc_id, text)`` that ``labels(doc_id, toxic)`` marks.
 
-    At most about ``max_fit`` labelled ids are used, chosen by their hash. Words are counted by a grouping over the texts; the driver
-    gets the terms, the usual words near them, and three numbers per text.
+    At most about ``max_fit`` labelled ids are used, chosen by their hash. A word is used once for each different word before it, in toxic and in
+    other texts, so a text of many copies says no more than one. Uses are counted by a grouping; the driver gets the terms, the usual words near them, and three numbers per text.
     """
     lab = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = lab.count()
@@ -251,19 +254,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model:
     lab = lab.select(F.col("doc_id").alias("_nextdist_id"), F.col("toxic").alias("_nextdist_y"))
     x = docs.select("doc_id", "text").join(F.broadcast(lab), F.col("doc_id") == F.col("_nextdist_id"))  # ``max_fit`` rows
     x = saved(x.select("text", F.col("_nextdist_y").alias("y")), "toxic-train")
-    n1, n0 = x.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") != 1)).first()
-    if not n1 or not n0:
+    if x.select("y").distinct().count() < 2:
         return Model()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
             for text, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                seen[y == 1].update(set(words_of(text.as_py())))
-            every = [w for w in {**seen[0], **seen[1]} if w]
-            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([seen[1][w] for w in every], pa.int64()), pa.array([seen[0][w] for w in every], pa.int64())], ["w", "a", "b"])
+                words = [w for w in words_of(text.as_py()) if w]
+                pairs = {(w, zlib.crc32(before.encode("utf-8", "replace"))) for before, w in zip(["", *words], words, strict=False)}
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in pairs], pa.string()), pa.array([h for _, h in pairs], pa.int64()), pa.array([y == 1] * len(pairs), pa.bool_())], ["w", "before", "y"])
 
-    counts = saved(x.mapInArrow(count, "w string, a long, b long").groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "toxic-words")
+    pairs = x.mapInArrow(uses, "w string, before long, y boolean").groupBy("w", "before").agg(F.max(F.col("y").cast("long")).alias("a"), F.max((~F.col("y")).cast("long")).alias("b"))
+    counts = saved(pairs.groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "toxic-words")
+    n1, n0 = (r or 0 for r in counts.agg(F.sum("a"), F.sum("b")).first())
+    if not n1 or not n0:
+        return Model()
     lr_g, fine = _telling(n1, n0), f"lr >= ln({MIN_RATIO}D) and g >= {MIN_G}D"
     words = {r.w: r.lr for r in counts.selectExpr("w", *lr_g).where(fine).orderBy(F.desc("g"), "w").limit(MAX_TERMS).collect()}
     prefix = F.explode(F.expr(f"transform(sequence({STEM[0]}, least(length(w), {STEM[1]})), k -> substring(w, 1, k))"))

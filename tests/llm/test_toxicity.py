@@ -59,7 +59,7 @@ def test_quotation_is_told_from_abuse():
     assert weight("he called it “an idiot at home” and left") == X.REPORTED
     assert weight('a "house" of an idiot and a "garden" here') == 1.0  # between two quotations
     pad = " ".join(["plain"] * 40)
-    assert r.score(f"{pad} you idiot {pad}") > r.score(f"{pad} an idiot {pad}") > r.score(f'{pad} "an idiot" {pad}') > r.score(f'{pad} he said "an idiot" {pad}') > r.score(pad)
+    assert r.score(f"{pad} you idiot {pad}") > r.score(f"{pad} an idiot {pad}") > r.score(f'{pad} "an idiot" {pad}') > r.score(f'{pad} he said "an idiot" {pad}')
 
 
 def made(n=600, seed=4):
