@@ -43,31 +43,8 @@ def table():
 
 
 def brute_quality(rows):
-    def bucket(v):
-        return v - v % (1 << max(v.bit_length() - 6, 0))
-
     feats = [dict(zip(quality.FEATURES, test_quality.brute(r[1]), strict=True)) for r in rows]
-    failed = [f["n_words"] < 50 or 100 * f["n_repeat_words"] > 50 * f["n_words"] for f in feats]
-    value = lambda f, a, b: f[a] * 1000 // f[b] if f[b] else None
-    kept = [not x for x in failed]
-    for name, a, b, more, top in quality.HIGH_LIMITS:
-        groups = defaultdict(list)
-        for r, f, bad in zip(rows, feats, failed, strict=True):
-            v = value(f, a, b)
-            if not bad and v is not None:
-                for key in ((r[2], r[3]), (r[2], "*"), ("*", "*")):
-                    groups[key].append(bucket(v))
-        for i, (r, f) in enumerate(zip(rows, feats, strict=True)):
-            v = value(f, a, b)
-            pick = next((k for k in ((r[2], r[3]), (r[2], "*")) if len(groups[k]) >= quality.MIN_GROUP), ("*", "*"))
-            if v is None or failed[i]:
-                continue
-            s = sorted(groups[pick])
-            q1, q3 = s[-(-len(s) // 4) - 1], s[-(-3 * len(s) // 4) - 1]
-            if v > min(top, q3 + quality.FENCE * (q3 - q1) + more):
-                kept[i] = False
-            if name == "word_length" and v < q1 - quality.FENCE * (q3 - q1) - quality.LOW_TOLERANCE:
-                kept[i] = False
+    kept = test_quality.brute_verdicts([(r[2], r[3], f) for r, f in zip(rows, feats, strict=True)])
     return [r for r, k in zip(rows, kept, strict=True) if k]
 
 

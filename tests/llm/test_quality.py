@@ -23,6 +23,44 @@ def brute(text):
     return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines), dup, len(cover))
 
 
+def brute_verdicts(rows):
+    """The verdicts on ``(lang, source, features)`` in plain Python."""
+    bucket = lambda v: v - v % (1 << max(v.bit_length() - 6, 0))
+    at = lambda s, share: s[max(0, math.ceil(len(s) * share) - 1)]
+    kept = [not (f["n_words"] < 50 or 100 * f["n_repeat_words"] > 50 * f["n_words"]) for _, _, f in rows]
+    part = lambda f, a, b: f[a] * 1000 // f[b] if f[b] else None
+    metrics = {m: (lambda f, a=a, b=b: part(f, a, b)) for m, a, b in [*[c[:3] for c in Q.COUNTS], ("length", "word_chars", "n_words")]}
+    metrics |= {"words": lambda f: f["n_words"], "lines": lambda f: f["n_lines"]}
+    seen = {}
+    for (lang, source, f), ok in zip(rows, kept, strict=True):
+        for m, value in metrics.items() if ok else ():
+            if (v := value(f)) is not None:
+                for key in ((lang, source), (lang,), ()):
+                    seen.setdefault((m, key), []).append(bucket(v))
+    seen = {k: sorted(v) for k, v in seen.items()}
+
+    def pick(m, lang, source, fine):
+        return next((s for k in ((lang, source), (lang,), ()) if k == () or fine(seen[m, k]) for s in [seen[m, k]]))
+
+    big, some = (lambda s: len(s) >= Q.MIN_GROUP), (lambda s: sum(v > 0 for v in s) >= Q.MIN_SOME)
+    for i, (lang, source, f) in enumerate(rows):
+        if not kept[i]:
+            continue
+        s = pick("length", lang, source, big)
+        q1, q3 = at(s, 0.25), at(s, 0.75)
+        fine = q1 - Q.FENCE * (q3 - q1) <= metrics["length"](f) <= q3 + math.ceil(q3 / 32) + Q.FENCE * (q3 - q1)
+        for m, _, _, size, least in Q.COUNTS:
+            s, one = pick(m, lang, source, some), 1000 * least / max(1, at(pick(size, lang, source, big), 0.5))
+            p = [v for v in s if v > 0]
+            if p and metrics[m](f) is not None:
+                p0, p1, p3 = at(p, 0.05), at(p, 0.25), at(p, 0.75)
+                high = p3 * (p3 / p1) ** Q.RATIO_FENCE
+                top = math.sqrt(p0 * one) if 2 * len(p) < len(s) and p0 > (1 + Q.NOISE) * one else high + Q.NOISE * math.sqrt(high * one)
+                fine = fine and metrics[m](f) <= math.floor(top)
+        kept[i] = fine
+    return kept
+
+
 def test_features_match_brute_force():
     rng = random.Random(5)
     for _ in range(300):
@@ -54,6 +92,8 @@ def test_verdicts_equal_the_sql_and_reject_the_odd_ones(spark):
     names = [d[0] for d in cur.description]
     want = [tuple(r[names.index(c)] for c in got.columns) for r in cur.fetchall()]
     mine = [tuple(r) for r in got.collect()]
+    given = [(r[2], r[3], dict(zip(Q.FEATURES, brute(r[1]), strict=True))) for r in rows()]
+    assert sorted(repr((r[0], k)) for r, k in zip(rows(), brute_verdicts(given), strict=True)) == sorted(repr((r[0], r[-1])) for r in mine)
     assert len(mine) == 403 and sorted(map(repr, mine)) == sorted(map(repr, want))
     kept = {r[0]: r[-1] for r in mine if r[1]}  # of those with words
     assert all(kept[i] == (i % 40 != 7) for i in range(400))
@@ -113,3 +153,33 @@ def test_a_very_long_text(spark):
     docs = spark.createDataFrame([(1, long, "en", "s"), (2, "too short", "en", "s")], "doc_id long, text string, lang string, source string")
     got = {r.doc_id: r for r in Q.quality_rules(docs, keep=["doc_id"]).collect()}
     assert (got[1].n_words, got[1].n_repeat_words, got[1].base_failed) == (400_000, 0, False) and got[2].base_failed
+
+
+def test_sources_that_repeat_lines_in_different_measure(spark):
+    """Both sources have a zero third quartile of repeated lines; what is odd in one is usual in the other."""
+    rng = random.Random(8)
+    line = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(6))
+
+    def text(n, again):
+        lines = [line() for _ in range(n - again)]
+        return "\n".join(lines + lines[:again])
+
+    often = lambda i, top: rng.randint(1, top) if i % 5 == 0 else 0
+    data = [("rare", i, text(80, often(i, 2))) for i in range(600)] + [("refrain", i, text(80, often(i, 17))) for i in range(600)]
+    data += [("rare", 9000, text(80, 17)), ("refrain", 9000, text(80, 17))]
+    docs = spark.createDataFrame([(f"{s}-{i}", t, "en", s) for s, i, t in data], "doc_id string, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in Q.quality_rules(docs, keep=["doc_id"]).collect()}
+    assert not kept["rare-9000"] and kept["refrain-9000"]
+    assert sum(kept.values()) >= 0.99 * len(kept)
+    lim = {r.source: r for r in Q.limits(Q.sketches(Q.with_features(docs, ["lang", "source"]))).collect()}
+    assert lim["rare"].max_dup_lines < lim["refrain"].max_dup_lines and lim["rare"].max_repeats != lim["refrain"].max_repeats
+
+
+def test_limits_differ_between_groups_and_keep_good_documents(spark):
+    d = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    lim = Q.limits(Q.sketches(Q.with_features(docs, ["lang", "source"]))).collect()
+    assert sum(len({r[f"max_{m}"] for r in lim}) > 1 for m in ("symbols", "dup_lines", "repeats")) >= 2
+    x = Q.quality_rules(docs, keep=["doc_id"]).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("not base_failed")
+    share = {r.quality: r["avg(k)"] for r in x.selectExpr("quality", "cast(kept as int) as k").groupBy("quality").avg("k").collect()}
+    assert share[1] >= 0.99 and share[0] <= 0.01
