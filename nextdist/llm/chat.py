@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, numbered, saved, without
+from .common import discard, numbered, saved, shielded
 
 #: Parts of a quote shorter than this, once normalised, link nothing on their own; the whole of a quote does.
 MIN_LINE = 12
@@ -93,7 +93,8 @@ def quotation_links(messages: DataFrame, keep: list[str] | None = None) -> DataF
     empty result. Input columns named like a result are replaced. Texts of any length are read whole.
     """
     keep = [c for c in (messages.columns if keep is None else keep) if c.lower() not in OWN]
-    msgs = without(messages, [*OWN, "_m"]).withColumn("_m", F.monotonically_increasing_id())
+    msgs, back = shielded(messages, ["conv_id", "turn", "role", "text"], keep)
+    msgs = msgs.withColumn("_m", F.monotonically_increasing_id())
     msgs = saved(msgs, "chat-messages")
     lines = saved(_lines(msgs), "chat-lines")
     gone = (F.col("level") > 0) | ((F.col("next_level") > 0) & F.col("said").rlike(_ATTRIBUTION))
@@ -134,7 +135,7 @@ def quotation_links(messages: DataFrame, keep: list[str] | None = None) -> DataF
     first = slim.groupBy("conv_id").agg(F.min("_g").alias("_f")).withColumnRenamed("conv_id", "_c")
     slim = slim.join(first, F.col("conv_id").eqNullSafe(F.col("_c"))).select(F.col("_m").alias("_k"), (F.col("_g") - F.col("_f")).alias("position"))
     x = x.join(slim, x._m == slim._k)
-    return x.select(*[F.col(f"`{c}`") for c in keep], *OWN)
+    return x.select(*back, *OWN)
 
 
 #: For tables in which no message quotes another, which it checks: every message is its own thread.

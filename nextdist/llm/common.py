@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import discard, numbered, saved, shared_dir
 
-__all__ = ["components", "discard", "file_rows", "numbered", "saved", "shared_dir", "table", "with_rows", "without"]
+__all__ = ["components", "discard", "file_rows", "numbered", "saved", "shared_dir", "shielded", "table", "with_rows", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,12 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def file_rows(docs: DataFrame, name: str = "_row") -> DataFrame:
-    """Add ``name``: a long for each row of a frame read from Parquet files, by the row's file and place in it.
+    """Add ``name``: a long for each row, which stays the same in every scan.
 
-    However a scan is split, and whichever executors read it, a row gets the same number; nothing is written. The
-    files' numbers are a table with one row per file. ``docs`` may select and filter columns, but not join or explode.
+    For a frame read from Parquet files it is made of the row's file and place in it: however a scan is split, and whichever executors read
+    it, a row gets the same number; nothing is written. The files' numbers are a table with one row per file. Rows
+    of other frames (joins, unions, made ones) are numbered and written with their numbers.
     """
-    x = without(docs, [name]).select("*", F.col("_metadata.file_path").alias("_nextdist_file"), F.col("_metadata.row_index").alias("_nextdist_place"))
+    x = without(docs, [name])
+    try:  # the files' own column, whatever the table's columns are called
+        place = x.metadataColumn("_metadata")
+        x = x.select("*", place["file_path"].alias("_nextdist_file"), place["row_index"].alias("_nextdist_place"))
+    except AnalysisException:
+        return saved(x.withColumn(name, F.monotonically_increasing_id()), "file-rows")
     files = sorted(r[0] for r in x.select("_nextdist_file").distinct().collect())
     numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "_nextdist_number long, _nextdist_file string")
     x = x.join(F.broadcast(numbers), "_nextdist_file")  # one row per file
@@ -40,6 +47,18 @@ def with_rows(docs: DataFrame, row: str | None, own: list[str], tag: str) -> tup
     return x.withColumnRenamed(row, "_row"), names
 
 
+def shielded(df: DataFrame, used: list[str], keep: list[str]) -> tuple[DataFrame, list[Column]]:
+    """The columns ``used`` of ``df`` and, under names that nobody else has, the other columns of ``keep``; and the columns that bring ``keep`` back.
+
+    Between the two an operator may name its helper columns as it likes.
+    """
+    own = {c.lower(): c for c in used}
+    rest = [c for c in keep if c.lower() not in own]
+    inner = df.select(*[F.col(f"`{c}`") for c in used], *[F.col(f"`{c}`").alias(f"_nextdist_keep{i}") for i, c in enumerate(rest)])
+    names = {c: f"_nextdist_keep{i}" for i, c in enumerate(rest)} | {c: own[c.lower()] for c in keep if c.lower() in own}
+    return inner, [F.col(f"`{names[c]}`").alias(c) for c in keep]
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """Drop input columns whose names an operator gives to its own results."""
     own = {n.lower() for n in names}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved, without
+from .common import components, saved, shielded
 from .simhash import local_roots
 
 COSINE = 0.98
@@ -159,7 +159,7 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     gives an empty result. Input columns named like a result are replaced.
     """
     keep = [c for c in (["vec_id"] if keep is None else keep) if c.lower() not in OWN]
-    rows = without(vectors, OWN)
+    rows, back = shielded(vectors, ["vec_id", "embedding", "label"], keep)
     e = F.col("embedding").cast("array<double>")
     # nan and infinity are greater than any finite number in Spark's order
     fine = F.expr("label is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and abs(x) <= 1.7976931348623157e308D) and exists(embedding, x -> x <> 0)")
@@ -214,7 +214,7 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     x = rows.withColumn("_key", key).join(group, (F.col("label") == F.col("_label")) & (F.col("_key") == F.col("_embedding")), "left")
     comp_id = F.coalesce("_least", "vec_id")
     return x.select(
-        *[F.col(f"`{c}`") for c in keep],
+        *back,
         F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"),
         comp_id.alias("component_id"),
         F.col("vec_id").eqNullSafe(comp_id).alias("kept"),

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, saved, without
+from .common import discard, saved, shielded, without
 
 #: Fixed rules: (verdict, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -122,13 +122,14 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, tole
     empty table gives an empty result. Input columns named like a result are replaced. Pages of any length are read whole.
     """
     keep = [c for c in (pages.columns if keep is None else keep) if c.lower() not in OWN]
-    judged = judged_by_rules(pages, rules)
+    x, back = shielded(pages, ["url", "html"], keep)
+    judged = judged_by_rules(x, rules)
     scores = host_scores(judged, tolerance)
     # equal up to the last bits is not above
     bad = scores.where(F.col("distrust") - F.col("trust") > margin * F.greatest("distrust", "trust") + F.col("own") + 1e-12).select(F.col("host").alias("_bad"))
     x = judged.join(bad, F.col("host") == F.col("_bad"), "left")
     verdict = F.coalesce("_said", F.when(F.col("_bad").isNotNull(), "block").otherwise("allow"))
-    return x.select(*[F.col(f"`{c}`") for c in keep], "host", "path", "rule", verdict.alias("verdict"))
+    return x.select(*back, "host", "path", "rule", verdict.alias("verdict"))
 
 
 def _oracle() -> str:
