@@ -15,6 +15,8 @@ from ..sources.shared import running_sum, saved
 
 #: A vocabulary up to this many rows is small enough to send to every task.
 BROADCAST_VOCAB = 200_000
+#: Letters of text whose tokens one task gets, where what follows makes many rows of each token.
+LETTERS_PER_TASK = 1 << 22
 
 
 def normalize(docs: DataFrame) -> DataFrame:
@@ -84,6 +86,16 @@ def encode_sequences(docs: DataFrame, vocab: DataFrame, unk: int, size: int) ->
     return docs.select("doc_id", "text").where("text is not null").mapInArrow(run, f"doc_id {kind}, tokens array<int>, length int")
 
 
+def spread(docs: DataFrame, seqs: DataFrame, letters_per_task: int = LETTERS_PER_TASK) -> DataFrame:
+    """The sequences ``(doc_id, tokens, length)`` of ``docs`` in as many partitions as their text has ``letters_per_task``, one per core at least.
+
+    A file of texts is a few splits and its ids are much smaller still, but every token becomes a row or more in what follows.
+    """
+    letters = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-letters // letters_per_task))
+    return seqs.repartition(parts, "doc_id", "length")
+
+
 def decode_words(tokens: DataFrame, vocab: DataFrame, unk: str = "<unk>") -> DataFrame:
     """``(doc_id, text)``: pieces in order, joined by single blanks."""
     x = tokens.join(vocab.select("token", "piece"), "token", "left").withColumn("piece", F.coalesce("piece", F.lit(unk)))

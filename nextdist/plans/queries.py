@@ -88,7 +88,7 @@ def doc_tokens(spark: SparkSession, d: str, size: int = VOCAB) -> DataFrame:
 
 def doc_sequences(spark: SparkSession, d: str, size: int = VOCAB, vocab: DataFrame | None = None) -> DataFrame:
     docs = documents(spark, d)
-    return saved(K.encode_sequences(docs, vocab or K.word_vocab(docs, size), size, size), "doc-sequences")
+    return saved(K.spread(docs, K.encode_sequences(docs, vocab or K.word_vocab(docs, size), size, size)), "doc-sequences")
 
 
 def doc_windows(spark: SparkSession, d: str, T: int = T, stride: int = 1) -> DataFrame:
@@ -999,6 +999,68 @@ def k4(spark, d):
     return encode_bpe(docs, vocab, merges, -1).select("doc_id", F.size("tokens").alias("n_tokens"), F.array_max("tokens").alias("largest"))
 
 
+#: The words of a text between white space, as the subword vocabularies take them.
+WORDS_SQL = r"regexp_extract_all(text, '[^ \t\n\x0b\f\r]+')"
+
+
+@register("k4_byte_bpe_round_trip", "select doc_id, coalesce(text, '') as text from documents")
+def k4b(spark, d):
+    """Every text encoded with a byte-level vocabulary learnt from all of them, and decoded to the very text."""
+    from ..operators.bpe import decode_byte_bpe, encode_byte_bpe, train_byte_bpe
+
+    docs = documents(spark, d)
+    pieces, merges = train_byte_bpe(docs, VOCAB)
+    return decode_byte_bpe(saved(encode_byte_bpe(docs, pieces, merges), "byte-sequences"), pieces)
+
+
+@register("k3_unigram_decode", f"select doc_id, coalesce(array_to_string({WORDS_SQL}, ' '), '') as text from documents")
+def k3u(spark, d):
+    """Every text cut by a unigram vocabulary learnt from all of them; all its letters are pieces, so its words come back."""
+    from ..operators.unigram import decode_unigram, encode_unigram, train_unigram
+
+    docs = documents(spark, d)
+    logp = train_unigram(docs, VOCAB)
+    return decode_unigram(encode_unigram(docs, logp, len(logp)), logp)
+
+
+@register("k3_wordpiece_decode", f"select doc_id, coalesce(array_to_string({WORDS_SQL}, ' '), '') as text from documents")
+def k3w(spark, d):
+    """Every text cut by longest match with a wordpiece vocabulary learnt from all of them, and joined again."""
+    from ..operators.wordpiece import decode_wordpiece, encode_wordpiece, train_wordpiece
+
+    docs = documents(spark, d)
+    pieces = train_wordpiece(docs, VOCAB)
+    return decode_wordpiece(encode_wordpiece(docs, pieces, len(pieces)), pieces)
+
+
+@register("a20_four_tokenizers")
+def a20f(spark, d):
+    """Statistics of the same texts under four vocabularies of one size: bpe, unigram, word and wordpiece, a column for each run's entropy."""
+    return rounded(C.compare_runs(tokenizer_stats(spark, documents(spark, d), VOCAB), "run", "avg_entropy", ["bpe", "unigram", "word", "wordpiece"]))
+
+
+def tokenizer_stats(spark: SparkSession, docs: DataFrame, size: int, T: int = 2) -> DataFrame:
+    """Level statistics with ``run`` for each of the four tokenizers, learnt from and applied to ``docs``."""
+    from ..operators import bpe, unigram, wordpiece
+
+    def sequences(run: str) -> DataFrame:
+        if run == "word":
+            return K.encode_sequences(docs, K.word_vocab(docs, size), size, size)
+        if run == "bpe":
+            vocab, merges = bpe.train_bpe(docs, size)
+            return bpe.encode_bpe(docs, vocab, merges, size)
+        if run == "unigram":
+            return unigram.encode_unigram(docs, unigram.train_unigram(docs, size), size)
+        return wordpiece.encode_wordpiece(docs, wordpiece.train_wordpiece(docs, size), size)
+
+    out = None
+    for run in ("bpe", "unigram", "word", "wordpiece"):
+        w = P.windows_within_documents(saved(sequences(run), "tokenizer-sequences"), T)
+        x = C.level_stats(C.context_next_counts(w, T)).withColumn("run", F.lit(run))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 @register("w2_cross_entropy_by_turn", """with words as (select conv_id as doc_id, row_number() over (partition by conv_id order by turn, i) - 1 as pos, piece from (select conv_id, turn, unnest(string_split(text, ' ')) as piece, generate_subscripts(string_split(text, ' '), 1) as i from conversations)),
 w as (select doc_id, piece as t0, lead(piece) over (partition by doc_id order by pos) as t1 from words), c as (select t0, t1, count(*) as cnt from w where t1 is not null group by all),
 t as (select t0, sum(cnt) as n, count(*) as support, case when count(*) = 1 then 0.0 else ln(sum(cnt)) - sum(cnt * ln(cnt)) / sum(cnt) end as h from c group by t0) select round(sum(n * h) / sum(n), 6) + 0.0 as entropy, sum(n)::bigint as visits, count(*) as contexts from t""")

@@ -295,3 +295,21 @@ def test_sorted_counts_equal_the_grouping(spark):
     want = [(r.level, tuple(r.context), r.next, r.cnt) for r in C.context_next_counts(w, 5).collect()]
     assert sorted(got) == sorted(want)
     assert context_next_counts_sorted(w.limit(0), 5).collect() == []
+
+
+def test_a_window_that_a_third_of_the_corpus_repeats_is_few_rows(spark):
+    """Equal windows are counted before the shuffle, so the largest partition stays near the others, and the statistics are the same."""
+    from nextdist.operators.sorted_stats import _sorted_windows, combined_windows
+
+    rng = random.Random(7)
+    hot = [3, 3, 3, 3, 3]
+    rows = [hot if i % 3 == 0 else [rng.randrange(9) for _ in range(5)] for i in range(30_000)]
+    w = spark.createDataFrame([(r,) for r in rows], "tokens array<int>").repartition(4)
+    x = combined_windows(w, 4)
+    assert x.where(" and ".join(f"t{i} = 3" for i in range(5))).count() <= 4 and x.agg(F.sum("times")).first()[0] == 30_000
+    sizes = sorted(r["count"] for r in _sorted_windows(w, 4, 1000).groupBy(F.spark_partition_id()).count().collect())
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    plain = {(r.level, tuple(r.context), r.next): r.cnt for r in C.context_next_counts(w, 4).collect()}
+    assert {(r.level, tuple(r.context), r.next): r.cnt for r in context_next_counts_sorted(w, 4, rows_per_partition=500).collect()} == plain
+    key = lambda df: sorted(tuple(round(v, 6) for v in (r[c] for c in sorted(df.columns))) for r in df.collect())
+    assert key(level_stats_sorted(w, 4, rows_per_partition=500)) == key(C.level_stats(C.context_next_counts(w, 4)))
