@@ -296,6 +296,16 @@ def s4(spark, d):
     return x.join(F.broadcast(index), "name").select((F.col("first_pos") + F.col("pos")).alias("pos"), "token")  # one row per file
 
 
+@register("s4_token_data_source", f"with {DTOK}, {DSTREAM} select pos, token from dstream")
+def s4b(spark, d):
+    """The stream through the data source ``tokenbin``, written in parts and read in ranges of bytes that don't keep to them."""
+    from ..sources.token_files import read_token_files, write_token_files
+
+    path = scratch(spark, "tokens")
+    write_token_files(doc_stream(spark, d), path, 50_000)
+    return read_token_files(spark, path, span=30_001).select("pos", "token")
+
+
 @register("s7_transitions", f"{ECN} select level, context, next::integer as next, cnt from cn where level = 2")
 def s7(spark, d):
     from ..sources.readers import read_counts
@@ -756,6 +766,25 @@ def j4b(spark, d):
     return rounded(L.soft_labels(w, C.context_next_counts(w, T), T, "l2"))
 
 
+@register("j1_stored_distribution", f"{DCN}, asked as (select unnest(['0', '1-2', '0-0-0', '7-7-7', '500']) as context) select level, context, next::integer as next, round(cnt / sum(cnt) over (partition by level, context), 6) + 0.0 as prob from cn where context in (select context from asked)")
+def j1s(spark, d):
+    """Distributions of some contexts from a bucketed store of all counts of the documents."""
+    from ..sources.count_store import open_count_store, stored_distribution, write_count_store
+
+    path = scratch(spark, "count-store")
+    write_count_store(doc_counts(spark, d), path, 16)
+    return rounded(text(stored_distribution(open_count_store(spark, path), [[0], [1, 2], [0, 0, 0], [7, 7, 7], [500]]), "context"))
+
+
+@register("j4_stored_soft_labels", f"{ECN}, {PREF} select start, pos, next::integer as next, round(cnt / sum(cnt) over (partition by start, pos), 6) + 0.0 as prob from pref join cn using (level, context)")
+def j4s(spark, d):
+    """Soft labels from a bucketed store of the counts, whose rows are not shuffled."""
+    from ..sources.count_store import stored_soft_labels, write_count_store
+
+    w = event_windows(spark, d).select("start", "tokens")
+    return rounded(stored_soft_labels(w, write_count_store(C.context_next_counts(w, T), scratch(spark, "count-store"), 8), T))
+
+
 @register(
     "j5_training_batch",
     f"{ECN}, {PREF}, g as (select level, context, string_agg(next || ':' || cnt, ',' order by next) as soft from (select level, context, next, cnt from cn) group by level, context) select start, t0 || '-' || t1 || '-' || t2 || '-' || t3 as tokens, pos, hard::integer as hard, soft from pref join g using (level, context) join win using (start)",

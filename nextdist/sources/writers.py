@@ -44,29 +44,14 @@ def token_bin_parts(stream: DataFrame, per_part: int = 1 << 26, width: int = 2)
 
 
 def write_token_bin(stream: DataFrame, path: str, per_part: int = 1 << 26, width: int = 2) -> DataFrame:
-    """Write the stream as flat files ``tokens-<part>.bin`` under ``path`` (local or mounted) and return their index.
+    """Write the stream as flat files ``tokens-<part>.bin`` under ``path``, by the data source ``tokenbin``, and return their index.
 
-    Parquet is the canonical sink; these files are for readers that want raw ids. Each file is written under another
-    name and renamed, so a repeated task leaves one whole file.
+    Parquet is the canonical sink; these files are for readers that want raw ids. Files appear when all of them are whole.
     """
+    from .token_files import token_index, write_token_files
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-        import uuid
-
-        os.makedirs(path, exist_ok=True)
-        for b in batches:
-            names = []
-            for part, data in zip(b.column("part").to_pylist(), b.column("data").to_pylist(), strict=True):
-                names.append(f"{path}/tokens-{part:06d}.bin")
-                tmp = f"{path}/.{uuid.uuid4().hex}"
-                with open(tmp, "wb") as f:
-                    f.write(data)
-                os.replace(tmp, names[-1])
-            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("first_pos"), b.column("n"), pa.array(names, pa.string())], ["part", "first_pos", "n", "file"])
-
-    index = token_bin_parts(stream, per_part, width).mapInArrow(run, "part long, first_pos long, n long, file string")
-    return stream.sparkSession.createDataFrame(index.collect(), index.schema)  # one row per file
+    write_token_files(stream, path, per_part, width)
+    return token_index(stream.sparkSession, path)
 
 
 def padded_sequences(seqs: DataFrame, pad: int, bos: int | None = None, eos: int | None = None) -> DataFrame:
