@@ -567,6 +567,17 @@ def a13b(spark, d):
     return C.approx_unique_contexts(doc_windows(spark, d), T)
 
 
+@register("a13_sketched_contexts", f"{DCN}, {TOTALS} select level, sum(n)::bigint as windows, count(*) as exact, true as close from tot group by level")
+def a13c(spark, d):
+    """Distinct contexts from sketches per source, stored and merged, beside the exact number: within three standard errors."""
+    from ..operators.sketches import context_sketches, merge_sketches, sketched_contexts
+
+    w = saved(doc_windows(spark, d).join(documents(spark, d).select("doc_id", "source"), "doc_id"), "sketched-windows")
+    got = sketched_contexts(merge_sketches(saved(context_sketches(w, T, "source"), "context-sketches")))
+    exact = C.context_next_counts(w, T).select("level", "context").distinct().groupBy("level").agg(F.count("*").alias("exact"))
+    return got.join(exact, "level").select("level", "windows", "exact", (F.abs(F.col("contexts") - F.col("exact")) <= 0.025 * F.col("exact")).alias("close"))
+
+
 @register("a14_merge_level_stats", f"{ECN}, {TOTALS}, {STATS} {STATS_OUT}")
 def a14(spark, d):
     """Root statistics for levels 1-2 and shards by start pair beyond; equal to the statistics of the whole."""
@@ -844,6 +855,15 @@ def j8b(spark, d):
     return L.docs_containing(documents(spark, d), CONTAINED)
 
 
+@register("j8_docs_containing_many", f"with {FLC}, t as (select context from flc group by context order by count(*) desc, context limit 2000) select doc_id, t.context from documents, t where contains(text, t.context)")
+def j8c(spark, d):
+    """The 2,000 most frequent pairs of words, searched as substrings of all texts in one reading."""
+    from ..operators.contain import docs_containing_any
+
+    x = P.fixed_length_contexts(doc_pieces(spark, d), 2)
+    return docs_containing_any(documents(spark, d), x.groupBy("context").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "context").limit(2000))
+
+
 TOP2 = "top as (select level, context, n, row_number() over (order by n desc, context) - 1 as id from tot where level = 2 qualify id < 200)"
 OVER = "m as (select id, next from cn join top using (level, context)), ov as (select x.id as a, y.id as b, count(*) as shared from m x join m y on x.next = y.next and x.id < y.id group by all)"
 
@@ -1172,6 +1192,32 @@ def st4(spark, d):
     return rounded(spark.read.parquet(f"{path}/out").select("start", "pos", "prob"))
 
 
+@register("st1_stream_updates", f"{SWIN} select level, context, next, cnt from cn")
+def st1u(spark, d):
+    """Running counts in output mode ``update`` on the RocksDB state store, stopped and started again when the rest of the documents has come."""
+    from ..streaming.stateful import latest_counts, start_updates
+
+    path, docs = scratch(spark, "updates"), documents(spark, d)
+    for i in range(2):
+        docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == i).write.mode("append").parquet(f"{path}/in")
+        w = spark.readStream.schema(docs.schema).parquet(f"{path}/in").select("doc_id", F.split("text", " ", -1).alias("tokens"))
+        start_updates(P.windows_within_documents(w, 2), 2, f"{path}/out", f"{path}/progress").awaitTermination()
+    return latest_counts(spark, f"{path}/out").select("level", F.array_join("context", " ").alias("context"), "next", "cnt")
+
+
+@register("st4_stateful_labels", f"{EWIN}, {PREF} select start, pos, round(row_number() over (partition by level, context, hard order by start) / row_number() over (partition by level, context order by start), 6) + 0.0 as prob from pref")
+def st4b(spark, d):
+    """Labels at insertion from a stateful processor with a map per context, windows arriving in three batches in the order of their starts."""
+    from ..streaming.stateful import start_labels
+
+    path, w = scratch(spark, "labels"), event_windows(spark, d).select("start", "tokens")
+    third = (w.agg(F.max("start")).first()[0] or 0) // 3 + 1
+    for i in range(3):
+        w.where((F.col("start") >= i * third) & (F.col("start") < (i + 1) * third)).write.mode("append").parquet(f"{path}/in")
+        start_labels(spark.readStream.schema(w.schema).parquet(f"{path}/in"), T, f"{path}/out", f"{path}/progress").awaitTermination()
+    return rounded(spark.read.parquet(f"{path}/out").select("start", "pos", "prob"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Level statistics of user event sequences."""
     return a9(spark, d)

@@ -1,6 +1,8 @@
 """Registered queries agree with their SQL on the smallest tables."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -22,3 +24,13 @@ def test_entry(spark):
 def test_query_equals_sql(spark, name):
     ok, said = same(spark, SF, QUERIES[name], ORACLES[name])
     assert ok, said
+
+
+@pytest.mark.parametrize("gone", ["nextdist.llm", "xxhash", "corpus_pipeline"])
+def test_the_core_goes_on_without_the_training_data_operators(gone):
+    """A failed import is told of, and nothing else is lost."""
+    code = f"import sys; sys.modules['{gone}'] = None; import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
+    here = os.path.dirname(os.path.abspath(entry.__file__))
+    got = subprocess.run([sys.executable, "-c", code], cwd=here, capture_output=True, text=True, timeout=120)
+    n, pipeline = got.stdout.split()
+    assert int(n) >= len(QUERIES) and pipeline == "False" and "WARNING" in got.stderr
