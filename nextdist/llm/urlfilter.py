@@ -22,6 +22,8 @@ DAMPING = 0.85
 TOLERANCE = 1e-3
 #: Distrust may exceed trust by this share of the larger of the two before a host is blocked.
 MARGIN = 0.1
+#: A host whose distrust is under this share of the mean over all hosts, what it would have if distrust were spread evenly, is not blocked for it.
+FLOOR = 0.1
 #: Rounds in the SQL, more than the given tables need.
 SQL_ROUNDS = 40
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -115,7 +117,7 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, tole
 
     Adds ``host``, ``path``, ``rule`` and ``verdict`` to the columns ``keep`` (default: all).
     A url that no rule fits gets its host's verdict: block if the host's distrust exceeds its trust by
-    more than ``margin`` of the larger and its ``own`` weight (:func:`host_scores`), else allow. Scores are spread until they stand still.
+    more than ``margin`` of the larger and its ``own`` weight (:func:`host_scores`), and is no mere trace (``FLOOR``), else allow. Scores are spread until they stand still.
 
     Nulls: a url that is null or has no ``://`` has an empty host and path, no rule, and is
     allowed; a null html has no links. Repeated rows are judged alike, and their links count each. An
@@ -126,7 +128,8 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, tole
     judged = judged_by_rules(x, rules)
     scores = host_scores(judged, tolerance)
     # equal up to the last bits is not above
-    bad = scores.where(F.col("distrust") - F.col("trust") > margin * F.greatest("distrust", "trust") + F.col("own") + 1e-12).select(F.col("host").alias("_bad"))
+    floor = FLOOR * (scores.agg(F.avg("distrust")).first()[0] or 0.0)
+    bad = scores.where(F.col("distrust") >= floor).where(F.col("distrust") - F.col("trust") > margin * F.greatest("distrust", "trust") + F.col("own") + 1e-12).select(F.col("host").alias("_bad"))
     x = judged.join(bad, F.col("host") == F.col("_bad"), "left")
     verdict = F.coalesce("_said", F.when(F.col("_bad").isNotNull(), "block").otherwise("allow"))
     return x.select(*back, "host", "path", "rule", verdict.alias("verdict"))
@@ -155,7 +158,7 @@ share as (select src, dst, n / sum(n) over (partition by src) as fwd, n / sum(n)
 seeds as materialized (select host, coalesce(st, 0)::double as st, coalesce(sd, 0)::double as sd, host not in (select src from share) as no_out, host not in (select dst from share) as no_in from (select src as host from share union select dst from share union select host from j where host <> '') left join
  (select host, count(*) filter (said = 'allow') / count(*) as st, count(*) filter (said = 'block') / count(*) as sd from j where host <> '' group by host) using (host)),
 {", ".join(state)},
-bad as (select host from s{SQL_ROUNDS} s join seeds using (host) where s.d - s.t > {MARGIN} * greatest(s.d, s.t) + case when sd > 0 then (1 - st - sd) * kd else 0 end + 1e-12)
+bad as (select host from s{SQL_ROUNDS} s join seeds using (host) where s.d >= {FLOOR} * (select avg(d) from s{SQL_ROUNDS}) and s.d - s.t > {MARGIN} * greatest(s.d, s.t) + case when sd > 0 then (1 - st - sd) * kd else 0 end + 1e-12)
 select page_id, j.host, path, rule, coalesce(said, case when bad.host is not null then 'block' else 'allow' end) as verdict from j left join bad on j.host = bad.host
 """
 
