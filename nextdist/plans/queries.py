@@ -86,9 +86,10 @@ def doc_tokens(spark: SparkSession, d: str, size: int = VOCAB) -> DataFrame:
     return K.encode_words(docs, K.word_vocab(docs, size), size, size=size)
 
 
-def doc_sequences(spark: SparkSession, d: str, size: int = VOCAB, vocab: DataFrame | None = None) -> DataFrame:
+def doc_sequences(spark: SparkSession, d: str, size: int = VOCAB, vocab: DataFrame | None = None, spread: bool = True) -> DataFrame:
     docs = documents(spark, d)
-    return saved(K.spread(docs, K.encode_sequences(docs, vocab or K.word_vocab(docs, size), size, size)), "doc-sequences")
+    seqs = K.encode_sequences(docs, vocab or K.word_vocab(docs, size), size, size)
+    return saved(K.spread(docs, seqs) if spread else seqs, "doc-sequences")
 
 
 def doc_windows(spark: SparkSession, d: str, T: int = T, stride: int = 1) -> DataFrame:
@@ -96,7 +97,7 @@ def doc_windows(spark: SparkSession, d: str, T: int = T, stride: int = 1) -> Dat
 
 
 def doc_stream(spark: SparkSession, d: str) -> DataFrame:
-    return K.flatten_stream(doc_sequences(spark, d))
+    return K.flatten_stream(doc_sequences(spark, d, spread=False))  # which deals them out by their place
 
 
 def text(df: DataFrame, *names: str) -> DataFrame:
