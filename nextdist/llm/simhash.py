@@ -70,23 +70,33 @@ def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(F.col("text").alias("_nextdist_body"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
 
 
-def _distance(x: np.ndarray, v: np.uint64) -> np.ndarray:
-    return np.bitwise_count(x ^ v).astype(np.int64)
+def _distance(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    d = np.bitwise_count(x ^ v).astype(np.int64)
+    return d.sum(1) if d.ndim == 2 else d
 
 
-def _split(x: np.ndarray, rng: np.random.Generator, max_bits: int) -> tuple[np.uint64, int] | None:
-    """A vantage point and radius with few points near the border; None if nothing divides ``x``."""
+def best_ball(x: np.ndarray, rng: np.random.Generator, max_bits: int) -> tuple[float, np.ndarray, int] | None:
+    """The cost, vantage point and radius of a ball with few points near its border; None if nothing divides ``x``.
+
+    Fingerprints are words, or rows of several words.
+    """
     best = None
+    bits = 64 if x.ndim == 1 else 64 * x.shape[1]
     for v in rng.choice(x, min(6, len(x)), replace=False):
-        count = np.bincount(_distance(x, v), minlength=66)
+        count = np.bincount(_distance(x, v), minlength=bits + 2)
         upto = np.cumsum(count)
-        for r in range(64):
+        for r in range(bits):
             inner = upto[r] / len(x)
             if 0.3 <= inner <= 0.7 or (best is None and 0 < inner < 1):
                 near = count[max(0, r - max_bits + 1) : r + max_bits + 1].sum() / len(x)
                 cost = near + abs(inner - 0.5) + (0 if 0.3 <= inner <= 0.7 else 1)
                 if best is None or cost < best[0]:
                     best = (cost, v, r)
+    return best
+
+
+def _split(x: np.ndarray, rng: np.random.Generator, max_bits: int) -> tuple[np.uint64, int] | None:
+    best = best_ball(x, rng, max_bits)
     return None if best is None else (np.uint64(best[1]), int(best[2]))
 
 

@@ -71,3 +71,54 @@ def test_candidates_at_exactly_the_similarity_share_a_key():
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
     assert N.first_of_similar(spark.read.parquet(str(tmp_path / "d"))).collect() == []
+
+
+@pytest.mark.parametrize("one_size", [False, True])
+def test_tree_finds_all_close_fingerprints(spark, one_size):
+    """Every pair that brute force finds is connected, over leaves by sizes and by balls, and nothing else is."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, (150, N.FP_WORDS), dtype=np.uint64)
+    flips = [np.packbits(rng.permutation(64 * N.FP_WORDS) < k).view("<u8") for k in (0, 40, 70, 76, 77, 90)]
+    fp = np.concatenate([base ^ f for f in flips])
+    size = np.full(len(fp), 60) if one_size else rng.integers(40, 120, len(fp))
+    rows = [(7 * i, int(s), bytearray(f.astype("<u8").tobytes())) for i, (s, f) in enumerate(zip(size, fp, strict=True))]
+    each = spark.createDataFrame([*rows, (999_999, 0, bytearray(8 * N.FP_WORDS))], "node long, size long, fp binary")
+    close = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2, dtype=np.int64) <= N.MAX_BITS
+    close &= np.bitwise_count(fp[:, None, :2] ^ fp[None, :, :2]).sum(2, dtype=np.int64) <= N.FIRST_BITS
+    close &= np.minimum.outer(size, size) >= 0.8 * np.maximum.outer(size, size) - 1e-9
+
+    def groups(a, b):
+        root = list(range(len(fp)))
+        for x, y in zip(a, b, strict=True):
+            old, new = root[x], root[y]
+            root = [new if r == old else r for r in root]
+        return [root.index(r) for r in root]
+
+    got = N.candidates(each, leaf_size=60, queries=50).collect()
+    tree = N.fit_tree(size, fp, 15)
+    assert not one_size or all(x[0] is not None for x in tree)
+    assert len({x[0] for x in tree if len(x) == 1}) > 5
+    a, b = np.nonzero(np.triu(close, 1))
+    assert len(a) > 100 and groups([r.a // 7 for r in got], [r.b // 7 for r in got]) == groups(a.tolist(), b.tolist())
+
+
+def test_fingerprints_at_exactly_the_similarity_are_close():
+    rng = np.random.default_rng(1)
+    for n, shared in ((5, 4), (10, 8), (15, 12), (100, 80), (1000, 800)):
+        for _ in range(300):
+            h = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            a, b = h[: shared + (n - shared) // 2], np.concatenate([h[:shared], h[shared + (n - shared) // 2 :]])
+            x = np.frombuffer(N.fingerprint(a), "<u8") ^ np.frombuffer(N.fingerprint(b), "<u8")
+            assert np.bitwise_count(x).sum() <= N.MAX_BITS and np.bitwise_count(x[: N.FP_WORDS // 2]).sum() <= N.FIRST_BITS
+
+
+def test_stage_takes_its_candidates_from_the_tree(spark, tmp_path, monkeypatch):
+    """The vantage-point tree over SimHash fingerprints finds the pairs; without its candidates only copies come together."""
+    base = " ".join(f"w{i}" for i in range(100))
+    data = [(1, base, "en", "s", 1), (2, base + " tail", "en", "s", 1), (3, base, "en", "s", 1)]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    assert [r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()] == [1]
+    found = N.candidates
+    monkeypatch.setattr(N, "candidates", lambda *a, **k: found(*a, **k).where("false"))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == [1, 2]
