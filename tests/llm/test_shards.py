@@ -1,4 +1,6 @@
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -68,3 +70,23 @@ def test_a_very_long_text_and_repeated_rows(spark, tmp_path):
 
 def test_empty_table(spark):
     assert S.training_order(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_shuffle_files_do_not_pile_up_beside_the_shards(spark, tmp_path):
+    """Shards are written in several jobs, and what one shuffled is gone when it ends; the order and the files are the same as in one job."""
+    rows = [(i, f"document {i} says hello " * 40) for i in range(200)]
+    seqs = S.saved(S.sequences(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tokens.tokenizer_path(), 64), "test-sequences")
+    folders = [str(x) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    held = lambda: {x: x.stat().st_size for d in folders for x in Path(d).rglob("shuffle_*.data")}
+    before, made = held(), 1
+    n = S.write_shards(seqs, str(tmp_path / "several"), per_shard=16)
+    for _ in range(100):  # files are removed in the background
+        made = sum(v for k, v in held().items() if k not in before)
+        if made < 10_000:
+            break
+        time.sleep(0.1)
+    assert made < 10_000 < n * S.record(64).itemsize
+    assert (tmp_path / "several" / "_SUCCESS").exists()
+    assert n == S.write_shards(seqs, str(tmp_path / "one"), per_shard=16, writes=1) > 64
+    files = lambda d: [(x.name.split("-")[1], x.read_bytes()) for x in sorted((tmp_path / d).glob("part-*"))]
+    assert files("several") == files("one") and len(files("one")) == -(-n // 16)
