@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import components, saved, with_rows
 from .simhash import _distance, best_ball, local_roots
+from .tokens import release
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -39,6 +40,8 @@ LEAF_SIZE, MIN_LEAVES, LEAF_QUERIES = 65_536, 16, 1 << 17
 SAMPLE_PER_LEAF, MAX_SAMPLE = 64, 200_000
 #: Texts, and shingles in all, that a block of candidates has at most on average.
 BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1 << 20
+#: Candidate pairs that a task holds at most before it reduces them to links, and that are compared by all bits at once.
+MAX_PAIRS, _PAIRS = 1 << 17, 1 << 16
 _STEP = 1024
 _STARTS = np.arange(1, FP_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -84,6 +87,7 @@ def _signatures(rows: DataFrame, words: int) -> DataFrame:
     """``(doc_id, _row, same, size, fp)``: ``same`` names the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             same, size, fp = [], [], []
             for x in b.column("text"):
@@ -173,10 +177,11 @@ def route(tree: list[tuple], size: np.ndarray, fp: np.ndarray, similarity: float
     )
 
 
-def close_pairs(size: np.ndarray, fp: np.ndarray, stored: np.ndarray, own: bool, similarity: float = SIMILARITY, max_bits: int = MAX_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(size: np.ndarray, fp: np.ndarray, stored: np.ndarray, own: bool, similarity: float = SIMILARITY, max_bits: int = MAX_BITS, root: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All candidate pairs of a leaf's stored texts with its queries and, if ``own``, among themselves, as row numbers.
 
-    Blocks of first words are compared as products of signs, and what is left of them by all bits.
+    Blocks of first words are compared as products of signs, and what is left of them by all bits. Pairs whose rows have the same ``root``
+    by the time they come up are left out; the caller may change ``root`` meanwhile.
     """
     order = np.argsort(size, kind="stable")
     s, q = order[stored[order]], order[~stored[order]]
@@ -196,13 +201,44 @@ def close_pairs(size: np.ndarray, fp: np.ndarray, stored: np.ndarray, own: bool,
             high = i + len(part) if among else np.searchsorted(sizes, size[part[-1]] / similarity + 1e-6, "right")
             for j in range(low, high, _STEP):
                 k = min(j + _STEP, high)
-                a, b = np.divmod(np.flatnonzero(left @ right[j:k].T >= bits - 2 * first_bits), k - j)
-                x, y = part[a], s[j + b]
-                small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-                hit = (x != y) & (small >= similarity * large - 1e-6)
-                x, y = x[hit], y[hit]
-                hit = np.bitwise_count(fp[x] ^ fp[y]).sum(1, dtype=np.int64) <= max_bits
-                yield x[hit], y[hit]
+                near = np.flatnonzero(left @ right[j:k].T >= bits - 2 * first_bits)
+                for at in range(0, len(near), _PAIRS):
+                    a, b = np.divmod(near[at : at + _PAIRS], k - j)
+                    x, y = part[a], s[j + b]
+                    hit = x != y if root is None else root[x] != root[y]
+                    x, y = x[hit], y[hit]
+                    small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+                    hit = small >= similarity * large - 1e-6
+                    x, y = x[hit], y[hit]
+                    hit = np.bitwise_count(fp[x] ^ fp[y]).sum(1, dtype=np.int64) <= max_bits
+                    yield x[hit], y[hit]
+
+
+def close_roots(size: np.ndarray, fp: np.ndarray, stored: np.ndarray, own: bool, similarity: float = SIMILARITY, max_bits: int = MAX_BITS, at_once: int = MAX_PAIRS) -> np.ndarray:
+    """Of each row the smallest that it reaches by :func:`close_pairs`.
+
+    Whenever ``at_once`` pairs have come together they are reduced to roots, and rows with one root are not paired again; so a group of
+    near copies takes memory by its members, not by its pairs.
+    """
+    root = np.arange(len(size))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def reduce() -> None:
+        values, low = local_roots(iter(found))
+        to = np.arange(len(root))
+        to[values] = low
+        root[:] = to[root]
+        found.clear()
+
+    held = 0
+    for x, y in close_pairs(size, fp, stored, own, similarity, max_bits, root):
+        found.append((root[x], root[y]))
+        held += len(x)
+        if held >= at_once:
+            reduce()
+            held = 0
+    reduce()
+    return root
 
 
 def candidates(each: DataFrame, similarity: float = SIMILARITY, leaf_size: int = LEAF_SIZE, min_leaves: int = MIN_LEAVES, max_bits: int = MAX_BITS, queries: int = LEAF_QUERIES) -> DataFrame:
@@ -241,10 +277,9 @@ def candidates(each: DataFrame, similarity: float = SIMILARITY, leaf_size: int =
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         node = pdf["node"].to_numpy(np.int64)
-        pairs = close_pairs(pdf["size"].to_numpy(np.int64), _words(pdf["fp"].tolist()), pdf["stored"].to_numpy(bool), int(key[1]) == 0, similarity, max_bits)
-        a, b = local_roots((node[x], node[y]) for x, y in pairs)
-        far = a != b
-        return pd.DataFrame({"a": a[far], "b": b[far]})
+        root = node[close_roots(pdf["size"].to_numpy(np.int64), _words(pdf["fp"].tolist()), pdf["stored"].to_numpy(bool), int(key[1]) == 0, similarity, max_bits)]
+        far = node != root
+        return pd.DataFrame({"a": node[far], "b": root[far]})
 
     dealt = each.mapInArrow(deal, "leaf int, slice int, node long, size long, fp binary, stored boolean")
     return dealt.groupBy("leaf", "slice").applyInPandas(search, "a long, b long")
@@ -288,7 +323,7 @@ def _verified(rows: DataFrame, each: DataFrame, groups: DataFrame, words: int, s
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["root", "p", "q", "node", "hashes"]
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (r for i in range(0, batch.num_rows, 256) for r in batch.slice(i, 256).to_pylist()):
                 n, k = r["blocks"], r["block"]
                 low, high = [min(k, i) for i in range(n)], [max(k, i) for i in range(n)]
                 h = shingles(r["text"], words).tobytes()

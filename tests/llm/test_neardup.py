@@ -122,3 +122,22 @@ def test_stage_takes_its_candidates_from_the_tree(spark, tmp_path, monkeypatch):
     found = N.candidates
     monkeypatch.setattr(N, "candidates", lambda *a, **k: found(*a, **k).where("false"))
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == [1, 2]
+
+
+def test_group_of_near_copies_takes_memory_by_its_members():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    fp = np.repeat(rng.integers(0, 1 << 63, (3, N.FP_WORDS), dtype=np.uint64), [2000, 300, 1], axis=0)
+    fp ^= np.uint64(1) << rng.integers(0, 64, fp.shape, dtype=np.uint64)  # eight bits at most between copies
+    order = rng.permutation(len(fp))
+    fp, kind = fp[order], np.repeat([0, 1, 2], [2000, 300, 1])[order]
+    size, stored = np.full(len(fp), 50), rng.random(len(fp)) < 0.8
+    tracemalloc.start()
+    root = N.close_roots(size, fp, stored, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert root.tolist() == [np.flatnonzero(kind == k)[0] for k in kind]
+    assert peak < 40e6  # two million pairs held at once took some 200 MB and more
+    some = np.concatenate(list(p[0] for p in N.close_pairs(size, fp, stored, True)))
+    assert len(some) > 1_900_000
