@@ -15,6 +15,8 @@ Doubling stops at the longest window, not at the longest document.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,7 @@ from .common import discard, numbered, saved, with_rows
 
 MIN_LINES = 1
 MIN_WORDS = 10
+_BLANKS = " \t\r\x0b\x0c"
 _BLANK = r"[ \t\r\x0b\x0c]+"
 #: Places of the suffix array that one task gets of one interval at most.
 BLOCK = 4096
@@ -36,6 +39,21 @@ def _lines() -> Column:
     return F.split(F.coalesce("text", F.lit("")), "\n", -1)
 
 
+def _trimmed(x: Column) -> Column:
+    """``x`` without blanks at its ends; most lines have none and are not copied."""
+    return F.when(reduce(or_, [f(F.lit(c)) for c in _BLANKS for f in (x.startswith, x.endswith)]), F.btrim(x, F.lit(_BLANKS))).otherwise(x)
+
+
+def _count(x: Column, one: str) -> Column:
+    return F.octet_length(x) - F.octet_length(F.replace(x, F.lit(one), F.lit("")))
+
+
+def _n_words(x: Column) -> Column:
+    """Words of a trimmed line: one more than its spaces; only lines with other blanks, or several in a row, are cut into words."""
+    odd = reduce(or_, [x.contains(c) for c in ["  ", *_BLANKS[1:]]])
+    return F.when(x == "", 0).when(odd, F.size(F.split(x, _BLANK))).otherwise(_count(x, " ") + 1)
+
+
 def _sorted_ids(df: DataFrame, order: list[Column], name: str, tag: str) -> DataFrame:
     """Add an id that grows with ``order``: rows are range-partitioned, sorted and written with it."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -47,10 +65,10 @@ def line_ids(rows: DataFrame, tag: str = "lines-flat") -> DataFrame:
 
     Lines are compared without blanks at their ends.
     """
-    trimmed = F.transform(_lines(), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")))
+    trimmed = F.transform(_lines(), _trimmed)
     ids = F.transform(
         trimmed,
-        lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("line"), x).alias("h2"), F.when(x == "", 0).otherwise(F.size(F.split(x, _BLANK))).alias("words")),
+        lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("line"), x).alias("h2"), _n_words(x).alias("words")),
     )
     flat = rows.select("_row", ids.alias("_ids")).select("_row", F.size("_ids").alias("_n"), F.posexplode("_ids").alias("line", "id"))
     return saved(flat.select("_row", "line", (F.col("_n") - F.col("line")).alias("left"), "id.*", F.monotonically_increasing_id().alias("pos")), tag)
@@ -188,10 +206,13 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN
     gone = saved(gone.groupBy("_row").agg(F.collect_list("line").alias("_gone")), "lines-gone")
     # one plan at every size: texts are shuffled once, against a hash table of deleted line numbers
     x = rows.join(gone.hint("shuffle_hash"), "_row", "left")
-    lines = _lines()
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    counts = [F.size(lines).cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_deleted")]
+    # only texts that lose lines are cut into lines, each once: a column of its own, as a lambda would cut the text for each line anew
+    x = x.withColumn("_nextdist_lines", F.when(F.col("_gone").isNotNull(), _lines()))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_nextdist_lines") - 1), F.col("_gone"))
+    kept = F.transform(left, lambda i: F.get("_nextdist_lines", i))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    n_lines = _count(F.coalesce("text", F.lit("")), "\n") + 1
+    counts = [n_lines.cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_deleted")]
     return x.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names], *counts)
 
 

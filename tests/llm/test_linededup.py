@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -107,3 +108,25 @@ def test_a_change_of_splits_between_scans_changes_nothing(spark, tmp_path, monke
     finally:
         spark.conf.unset("spark.sql.files.minPartitionNum")
     assert got == want
+
+
+def test_words_and_ends_of_lines_with_odd_blanks(spark):
+    rng = random.Random(8)
+    lines = ["".join(rng.choice(["a", "é", " ", "  ", "\t", "\r", "\x0b", "\x0c", " ", "　"]) for _ in range(rng.randint(0, 7))) for _ in range(400)]
+    got = {r.line: r for r in D.line_ids(spark.createDataFrame([(0, 0, "\n".join(lines))], "_row long, doc_id long, text string")).collect()}
+    hashes = {}
+    for i, x in enumerate(lines):
+        x = x.strip(" \t\r\x0b\x0c")
+        assert got[i].words == (len(re.split(r"[ \t\r\x0b\x0c]+", x)) if x else 0)
+        assert hashes.setdefault(x, (got[i].h1, got[i].h2)) == (got[i].h1, got[i].h2)
+    assert len(set(hashes.values())) == len(hashes)
+
+
+def test_a_text_is_cut_into_lines_once(spark):
+    x = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, f"{x}\na\nb"), (2, f"c\n{x}\nd\n"), (3, None)], "doc_id long, text string")
+    got = D.line_dedup(docs)
+    assert sorted(map(tuple, got.collect())) == [(1, f"{x}\na\nb", 3, 0), (2, "c\nd\n", 4, 1), (3, None, 1, 0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction(" in plan and not re.search(r"lambdafunction\([^#]*split\(", plan)
+    assert plan.count("split(") == 1
