@@ -36,44 +36,53 @@ def read_corpus_splits(spark: SparkSession, path: str, splits: tuple[str, ...] =
     return out
 
 
-def read_token_bin(spark: SparkSession, path: str, pct: float | None = None, max_tokens: int | None = None, width: int = 2, whole: int = WHOLE, span: int = SPAN) -> DataFrame:
+def read_token_bin(spark: SparkSession, path: str, pct: float | None = None, max_tokens: int | None = None, width: int = 2, whole: int = WHOLE, span: int = SPAN, index: DataFrame | None = None) -> DataFrame:
     """``(file, pos, token)`` of flat little-endian unsigned files without a header, positions in each file.
 
     ``max_tokens`` overrides ``pct`` (percent of a file's tokens). Files up to ``whole`` bytes come through Spark's ``binaryFile``; of
     larger ones, which no single record can hold, ranges of ``span`` bytes are read each on its own, from any place that Arrow's file systems open.
+    With ``index(file, first_pos)`` only ``(pos, token)`` of its files come, positions from ``first_pos`` of a file on; it is joined to the files, not to their tokens.
     """
     kind = f"<u{width}"
-    schema = "file string, pos long, token int"
+    schema = "pos long, token int" if index is not None else "file string, pos long, token int"
 
-    def tokens(name: str, first: int, data, size: int) -> Iterator[pa.RecordBatch]:
+    index_given = index is not None
+
+    def tokens(name: str, start: int, first: int, data, size: int) -> Iterator[pa.RecordBatch]:
         n = size // width
         upto = n if pct is None else int(n * pct / 100)
         upto = upto if max_tokens is None else min(n, max_tokens)
         x = np.frombuffer(data, dtype=kind, count=len(data) // width)[: max(0, upto - first)]
         for lo in range(0, len(x), CHUNK):
             part = x[lo : lo + CHUNK]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(first + lo, first + lo + len(part))), pa.array(part.astype(np.int32))], ["file", "pos", "token"])
+            got = [pa.array(np.arange(start + first + lo, start + first + lo + len(part))), pa.array(part.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*([] if index_given else [pa.repeat(name, len(part))]), *got], [*([] if index_given else ["file"]), "pos", "token"])
 
     def run_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for name, data, start in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 buf = data.as_buffer()
-                yield from tokens(name, 0, buf, buf.size)
+                yield from tokens(name, start, 0, buf, buf.size)
 
     def run_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         for b in batches:
-            for name, size, lo in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for name, size, start, lo in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 system, at = fs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if re.match("file:/[^/]", name) else name)
                 with system.open_input_file(at) as f:
                     f.seek(lo)
-                    yield from tokens(name, lo // width, f.read(min(step, size - lo)), size)
+                    yield from tokens(name, start, lo // width, f.read(min(step, size - lo)), size)
 
     step = span - span % width
     files = spark.read.format("binaryFile").load(path)
-    small = files.where(F.col("length") <= whole).select("path", "content").mapInArrow(run_whole, schema)
-    ranges = files.where(F.col("length") > whole).select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long"))).alias("lo"))
+    files = files.withColumn("start", F.lit(0).cast("long"))
+    if index is not None:
+        last = lambda c: F.regexp_extract(c, "[^/]+$", 0)
+        starts = index.select(last("file").alias("_name"), F.col("first_pos").cast("long").alias("start"))
+        files = files.drop("start").withColumn("_name", last("path")).join(F.broadcast(starts), "_name")  # one row per file
+    small = files.where(F.col("length") <= whole).select("path", "content", "start").mapInArrow(run_whole, schema)
+    ranges = files.where(F.col("length") > whole).select("path", "length", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long"))).alias("lo"))
     return small.unionByName(ranges.repartition("path", "lo").mapInArrow(run_ranges, schema))
 
 

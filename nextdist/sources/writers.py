@@ -44,13 +44,13 @@ def token_bin_parts(stream: DataFrame, per_part: int = 1 << 26, width: int = 2)
 
 
 def write_token_bin(stream: DataFrame, path: str, per_part: int = 1 << 26, width: int = 2) -> DataFrame:
-    """Write the stream as flat files ``tokens-<part>.bin`` under ``path``, by the data source ``tokenbin``, and return their index.
+    """Write the stream, ``(pos, token)`` or whole sequences ``(offset, tokens)``, as flat files ``tokens-<part>.bin`` under ``path``, by the data source ``tokenbin``, and return their index.
 
     Parquet is the canonical sink; these files are for readers that want raw ids. Files appear when all of them are whole.
     """
-    from .token_files import token_index, write_token_files
+    from .token_files import token_index, write_sequence_files, write_token_files
 
-    write_token_files(stream, path, per_part, width)
+    (write_sequence_files if "tokens" in stream.columns else write_token_files)(stream, path, per_part, width)
     return token_index(stream.sparkSession, path)
 
 

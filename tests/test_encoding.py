@@ -35,3 +35,22 @@ def test_a_text_is_split_once(spark, docs, size, bos, eos):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 1  # it was split again for every piece
     assert sorted(map(tuple, got.collect())) == want
     assert dict(got.dtypes) == {"doc_id": "int", "pos": "bigint", "token": "int"}
+
+
+def test_sequences_are_placed_and_written_without_a_row_for_each_token(spark, tmp_path):
+    from nextdist.sources import readers as R
+    from nextdist.sources import writers as W
+
+    seqs = spark.createDataFrame([(i, [(7 * i + k) % 500 for k in range(i % 9 * 5)]) for i in [*range(40), 3, 3]] + [(None, [1, 2]), (50, None)], "doc_id int, tokens array<int>")
+    placed = K.placed_sequences(seqs)
+    assert placed.count() == 44  # a row for each sequence
+    flat = [(r.pos, r.token) for r in K.flatten_stream(seqs).orderBy("pos").collect()]
+    want = [t for r in sorted(seqs.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0)) for t in r.tokens or []]
+    assert flat == list(enumerate(want))
+    for per_part in (7, 64, 1 << 20):
+        path = str(tmp_path / f"t{per_part}")
+        index = W.write_token_bin(placed, path, per_part)
+        assert sorted((r.part, r.first_pos, r.n) for r in index.collect()) == [(k, k * per_part, min(per_part, len(want) - k * per_part)) for k in range(-(-len(want) // per_part))]
+        for whole in (1 << 30, 40):
+            assert sorted(map(tuple, R.read_token_bin(spark, path, index=index, whole=whole, span=22).collect())) == flat
+    assert W.write_token_bin(placed.where("false"), str(tmp_path / "none")).count() == 0
