@@ -81,3 +81,20 @@ def test_empty_batches_and_stores(spark, tmp_path):
     assert M.counts_so_far(spark, path).count() == 0 and M.growth(spark, path).count() == 0
     M.add_batch(spark.createDataFrame([(0, [1, 2, 3, 4])], SCHEMA), 3, path, 1)
     assert M.counts_so_far(spark, path).count() == 3 and M.growth(spark, path).count() == 3
+
+
+def test_a_first_batch_is_dealt_once_and_read_as_it_lies(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "s")
+    words = spark.createDataFrame([(i, [f"w{i % 3}", f"w{i % 5}", None if i % 7 == 0 else f"w{i % 4}"]) for i in range(200)], "start long, tokens array<string>")
+    monkeypatch.setattr(M, "COMBINED", 30)
+    M.add_batch(words, 2, path, 0)
+    cn = C.context_next_counts(words, 2)
+    got = M.counts_so_far(spark, path)
+    key = lambda df: sorted(((r.level, tuple(r.context), r.next, r.cnt) for r in df.collect()), key=repr)
+    assert key(got) == key(cn)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()  # one run was grouped again
+    want = {r.level: r for r in C.level_stats(cn).collect()}
+    for r in M.growth(spark, path).collect():
+        w = want[r.level]
+        assert (r.total_ctx, r.unique_ctx) == (w.total_visits, w.unique_nodes) and math.isclose(r.entropy, w.avg_entropy, abs_tol=1e-9)
+    assert spark.conf.get(M._CLEANUP, "false") != "true"
